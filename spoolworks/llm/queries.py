@@ -6,25 +6,61 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spoolworks.llm.decontamination import contaminated
 from spoolworks.llm.exact_dedup import exact_duplicates
+from spoolworks.llm.near_dedup import near_duplicates
 from spoolworks.llm.sharding import shard
 from spoolworks.sources.tables import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=80)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=40)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_jump_sharding": op10_jump_sharding,
 }
 
+#: Words of a text and its distinct shingles of five words, or of all its words if it has fewer.
+_SHINGLES = r"""
+    {name}_w AS (SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+    {name} AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM {name}_w)"""
+_DOCUMENTS = _SHINGLES.format(name="d", id="doc_id", table="documents")
+_ITEMS = _SHINGLES.format(name="b", id="item_id", table="benchmark")
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": f"""
+        WITH {_DOCUMENTS}, {_ITEMS},
+        sizes AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+        SELECT d.id AS doc_id, b.id AS item_id, any_value(n) AS n_item, count(*) AS n_shared, count(*) / any_value(n)::DOUBLE AS containment
+        FROM d JOIN b USING (s) JOIN sizes ON sizes.id = b.id
+        GROUP BY d.id, b.id HAVING count(*) * 100 >= any_value(n) * 80""",
+    "op8_minhash_near_dedup": f"""
+        WITH RECURSIVE {_DOCUMENTS},
+        sizes AS (SELECT id, count(*) AS n FROM d GROUP BY id),
+        links AS (
+            SELECT x.id AS a, y.id AS b FROM d x JOIN d y ON x.s = y.s AND x.id <> y.id
+            JOIN sizes p ON p.id = x.id JOIN sizes q ON q.id = y.id
+            GROUP BY x.id, y.id HAVING 100 * count(*) >= 85 * (any_value(p.n) + any_value(q.n) - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+        SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept
+        FROM reach LEFT JOIN sizes ON sizes.id = a GROUP BY a""",
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
