@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spoolworks.llm.decontamination import contaminated
 from spoolworks.llm.exact_dedup import exact_duplicates
+from spoolworks.llm.language_id import identify
+from spoolworks.llm.mixing import mix
 from spoolworks.llm.near_dedup import near_duplicates
 from spoolworks.llm.sharding import shard
 from spoolworks.sources.tables import table
@@ -17,6 +19,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=80)
 
 
+def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(table(spark, sf_dir, "documents"), seed=7)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,14 +32,20 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=40)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op4_pivotal_mixing": op4_pivotal_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_language_id": op9_language_id,
     "op10_jump_sharding": op10_jump_sharding,
 }
 
