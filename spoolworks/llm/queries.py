@@ -11,6 +11,8 @@ from spoolworks.llm.exact_dedup import exact_duplicates
 from spoolworks.llm.language_id import identify
 from spoolworks.llm.mixing import mix
 from spoolworks.llm.near_dedup import near_duplicates
+from spoolworks.llm.quality import classify
+from spoolworks.llm.secrets import digest, find_secrets
 from spoolworks.llm.sharding import shard
 from spoolworks.sources.tables import table
 
@@ -19,6 +21,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=80)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(table(spark, sf_dir, "documents"), seed=7)
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -28,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_col="quality")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -42,8 +52,10 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_secret_scan": op3_secret_scan,
     "op4_pivotal_mixing": op4_pivotal_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_nbsvm_quality": op7_nbsvm_quality,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_jump_sharding": op10_jump_sharding,
