@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spoolworks.llm.decontamination import contaminated
 from spoolworks.llm.exact_dedup import exact_duplicates
 from spoolworks.llm.language_id import identify
+from spoolworks.llm.line_dedup import drop_repeated_lines
 from spoolworks.llm.mixing import mix
 from spoolworks.llm.near_dedup import near_duplicates
 from spoolworks.llm.quality import classify
@@ -34,6 +36,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_col="quality")
 
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_pivotal_mixing": op4_pivotal_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_nbsvm_quality": op7_nbsvm_quality,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_language_id": op9_language_id,
@@ -76,6 +84,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.id AS doc_id, b.id AS item_id, any_value(n) AS n_item, count(*) AS n_shared, count(*) / any_value(n)::DOUBLE AS containment
         FROM d JOIN b USING (s) JOIN sizes ON sizes.id = b.id
         GROUP BY d.id, b.id HAVING count(*) * 100 >= any_value(n) * 80""",
+    "op6_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+        k AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+        m AS (SELECT k.*, owner IS NOT NULL AND owner <> doc_id AS dropped FROM k LEFT JOIN o USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
     "op8_minhash_near_dedup": f"""
         WITH RECURSIVE {_DOCUMENTS},
         sizes AS (SELECT id, count(*) AS n FROM d GROUP BY id),
