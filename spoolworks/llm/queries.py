@@ -16,13 +16,26 @@ from spoolworks.llm.near_dedup import near_duplicates
 from spoolworks.llm.quality import classify
 from spoolworks.llm.secrets import digest, find_secrets
 from spoolworks.llm.sharding import shard
-from spoolworks.sources.tables import table
+from spoolworks.llm.warc import fixity, manifest, record_hashes, warc_record
+from spoolworks.sources.tables import table, written
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=80)
 
 
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, audited against a replica with known damage: bodies turned round where the id leaves
+    5 by 97, records lost where it leaves 17 by 301. The audit itself knows nothing of that rule."""
+    pages = table(spark, sf_dir, "pages")
+    turned = F.when(F.col("page_id") % 97 == 5, F.reverse("html")).otherwise(F.col("html"))
+    now = F.sha2(warc_record(F.col("page_id"), F.col("url"), turned).cast("binary"), 256)
+    first = written(manifest(record_hashes(pages, now.alias("now"))), "manifest")
+    second = first.where(F.col("page_id").isNull() | (F.col("page_id") % 301 != 17)).withColumn("digest", F.col("now"))
+    found = fixity(first, second)
+    return found.select("page_id", "file", "record", "offset", "length", F.col("digest").alias("record_sha256"), F.coalesce("damage", F.lit("none")).alias("damage"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
@@ -59,6 +72,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_merkle_fixity": op2_merkle_fixity,
     "op3_secret_scan": op3_secret_scan,
     "op4_pivotal_mixing": op4_pivotal_mixing,
     "op5_exact_dedup": op5_exact_dedup,
@@ -104,6 +118,17 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
         SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept
         FROM reach LEFT JOIN sizes ON sizes.id = a GROUP BY a""",
+    "op2_merkle_fixity": r"""
+        WITH b AS (SELECT page_id, url, html, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+                   || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+                   || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html
+                   || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+        r AS (SELECT page_id, html, octet_length(encode(record)) AS length, sha256(record) AS record_sha256, md5(page_id::VARCHAR)[1:2] AS bucket,
+              row_number() OVER (PARTITION BY md5(page_id::VARCHAR)[1:2] ORDER BY page_id, url) - 1 AS n FROM b),
+        f AS (SELECT *, bucket || '-' || (n // 256) AS file, n % 256 AS record FROM r)
+        SELECT page_id, file, record, CAST(sum(length) OVER (PARTITION BY file ORDER BY record) - length AS BIGINT) AS "offset", length, record_sha256,
+               CASE WHEN page_id % 301 = 17 THEN 'missing' WHEN page_id % 97 = 5 AND reverse(html) <> html THEN 'changed' ELSE 'none' END AS damage
+        FROM f""",
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
