@@ -150,7 +150,8 @@ def learn(plain: DataFrame, marked: DataFrame, orders: tuple[int, ...] = ORDERS,
             data = [grams.of(t).tobytes() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary())], ["id", "label", "grams"])
 
-    labelled = plain.join(marked, "id").select("id", "text", "label")
+    # By merge at every size: whether the labels would fit a broadcast hangs on their number.
+    labelled = plain.join(marked.hint("merge"), "id").select("id", "text", "label")
     summed = labelled.mapInArrow(count, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()
     counts, rows = np.zeros((2, size)), np.zeros(2)
     for label in (0, 1):
