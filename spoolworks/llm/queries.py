@@ -83,6 +83,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jump_sharding": op10_jump_sharding,
 }
 
+
+
+def _crc_entry(byte: int) -> int:
+    """An entry of the table of the reflected CRC-32."""
+    for _ in range(8):
+        byte = (byte >> 1) ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
 #: Words of a text and its distinct shingles of five words, or of all its words if it has fewer.
 _SHINGLES = r"""
     {name}_w AS (SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
@@ -134,4 +143,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)""",
+    "op10_jump_sharding": f"""
+        WITH RECURSIVE hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        r AS (SELECT doc_id, length(h) // 2 + 16 AS size, md5(doc_id::VARCHAR)[1:2] AS bucket,
+              xor(list_reduce([('0x' || x)::BIGINT FOR x IN regexp_extract_all(h, '..')],
+                  lambda a, b: xor(a >> 8, ({[_crc_entry(i) for i in range(256)]})[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM hexed),
+        g AS (SELECT DISTINCT doc_id, n, 0::BIGINT AS b, 0::BIGINT AS j, doc_id::HUGEINT AS s FROM documents, (VALUES (40), (41)) AS t(n)
+              UNION ALL
+              SELECT doc_id, n, j, floor((j + 1) * (2147483648::DOUBLE / (((s * 2862933555777941757 + 1) % 18446744073709551616 // 8589934592)::DOUBLE + 1)))::BIGINT,
+                     (s * 2862933555777941757 + 1) % 18446744073709551616 FROM g WHERE j < n),
+        p AS (SELECT doc_id, max(b) FILTER (n = 40)::INT AS shard, max(b) FILTER (n = 41)::INT AS grown_shard FROM g WHERE j >= n GROUP BY doc_id)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM r JOIN p USING (doc_id)""",
 }
