@@ -55,7 +55,7 @@ def rational(text: Column) -> Column:
 
 def variable_rate(format_name: Column, nominal: Column, average: Column) -> Column:
     """Whether the rate varies; null if the container can't tell or either rate is unknown."""
-    can_tell = F.arrays_overlap(F.transform(F.split(F.lower(format_name), ","), F.trim), F.array(*[F.lit(x) for x in VFR_ANSWERABLE]))
+    can_tell = F.arrays_overlap(F.transform(F.split(F.lower(format_name), ","), lambda p: F.trim(p)), F.array(*[F.lit(x) for x in VFR_ANSWERABLE]))
     return F.when(can_tell & rational(nominal).isNotNull() & rational(average).isNotNull(), rational(nominal) != rational(average))
 
 

@@ -190,7 +190,7 @@ def expanded_range(text: Column) -> Column:
 
 def parts_of(text: Column, separator: str = r"\s*(?:·|\|)\s*") -> Column:
     """The parts between separators, empty ones left out."""
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, separator), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def review_note(text: Column) -> Column:

@@ -9,11 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spoolworks.functions import text
-from spoolworks.operators import catalog, rows, scan, sequences, tagging
+from spoolworks.operators import plan as plans
+from spoolworks.operators import rows, scan, sequences, tagging
+from spoolworks.sources import files
 from spoolworks.sources.tables import table
 from spoolworks.streaming import jobs, uploads
 
 PLAN = """(VALUES ('03–06', '*yes* if late', 'Spark · SQL | Arrow', '**bold_name**'), ('7', 'no', '', '`x`'), ('01', '', 'one', 'plain'), ('05-04', 'YES', ' · ', '***')) AS t(span, review, tech, cell)"""
+GUIDE = """| 0 – Base Camp | x | 01 |
+| 1 - *Long* Way | x | 02–03 |
+| Wave 1 | 02 | `3 weeks` |
+| 01 | **First** | does a thing | no | Spark · SQL |
+| 02 | Second | another | *yes*, late | Arrow |
+## PROMPT 01 — First
+### Deliverables
+1. one
+   goes on
+2. `two`
+"""
 REPLIES = [
     '{"candidates":[{"content":{"parts":[{"text":"{\\"content_type\\":\\"lift\\",\\"energy_level\\":"},{"text":"\\"high\\"}"}]}}]}',
     '{"candidates":[{"content":{"parts":[{"text":"{\\"content_type\\":5}"}]}}]}',
@@ -68,6 +81,25 @@ def plan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("span", F.array_join(text.expanded_range(F.col("span")), ",").alias("ids"), note["required"].alias("required"), note["note"].alias("note"), F.array_join(text.parts_of(F.col("tech")), ",").alias("tech"), text.without_emphasis(F.col("cell")).alias("cell"))
 
 
+def plan_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = plans.prompts(spark.createDataFrame([("guide", GUIDE)], "path string, text string"))
+    return found.select("id", "name", "review_required", "wave", "wave_title", "timeline", F.array_join("tech", ",").alias("tech"), F.array_join("deliverables", ";").alias("deliverables"))
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, lengths and digests of a table's files."""
+    return files.digests(spark, f"{sf_dir}/region.parquet").select("name", "length", "sha256")
+
+
+def clip_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tenth event's frame handle looked up by position in its user's times; beyond them the error is endless."""
+    events = table(spark, sf_dir, "events")
+    times = events.groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("times"))
+    asked = events.where("event_id % 10 = 0").select("user_id", "event_id", (F.col("event_id") % 90).cast("int").alias("frame")).join(times, "user_id")
+    at = F.get("times", F.col("frame"))
+    return asked.select("event_id", "frame", F.coalesce(F.abs(at - F.col("event_id")).cast("double"), F.lit(1e308)).alias("error"))
+
+
 def plan_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary lookup with defaults: orders to their priority's wave, `Unassigned` and -1 without one."""
     waves = spark.sql("SELECT * FROM VALUES ('1-URGENT', 1, 'now'), ('2-HIGH', 2, 'soon') AS t(o_orderpriority, wave, title)")
@@ -154,7 +186,7 @@ def resume_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    title_matches, leak_verdict, text_windows, page_sections, folded_turns, plan_cells, plan_lookup, model_replies, prompt_metrics, token_bucket,
+    title_matches, leak_verdict, text_windows, page_sections, folded_turns, plan_cells, plan_prompts, stored_files, clip_neighbours, plan_lookup, model_replies, prompt_metrics, token_bucket,
     cached_tagging, job_state_machine, job_recovery, upload_fold, adopted_uploads, resume_offsets,
 )}
 
@@ -175,6 +207,10 @@ ORACLE_SQL = {
         WITH m AS (SELECT conv_id, turn, trim(text, ' ') AS t, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS item FROM conversations)
         SELECT conv_id, item, md5(string_agg(t, ' ' ORDER BY turn)) AS text_md5 FROM m WHERE item > 0 GROUP BY conv_id, item""",
     "plan_cells": """SELECT * FROM (VALUES ('03–06', '03,04,05,06', true, 'yes if late', 'Spark,SQL,Arrow', 'bold_name'), ('7', '', false, 'no', '', 'x'), ('01', '01', false, NULL, 'one', 'plain'), ('05-04', '', true, 'YES', '', '')) AS t(span, ids, required, note, tech, cell)""",
+    "plan_prompts": """SELECT * FROM (VALUES ('01', 'First', false, 0, 'Base Camp', 'not stated', 'Spark,SQL', 'one goes on;two'), ('02', 'Second', true, 1, 'Long Way', '3 weeks', 'Arrow', ''))
+        AS t(id, name, review_required, wave, wave_title, timeline, tech, deliverables)""",
+    "clip_neighbours": """WITH t AS (SELECT user_id, event_id AS moment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame FROM events)
+        SELECT event_id, (event_id % 90)::INT AS frame, coalesce(abs(moment - event_id)::DOUBLE, 1e308::DOUBLE) AS error FROM events e LEFT JOIN t ON t.user_id = e.user_id AND t.frame = event_id % 90 WHERE event_id % 10 = 0""",
     "plan_lookup": """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE -1 END AS wave, CASE o_orderpriority WHEN '1-URGENT' THEN 'now' WHEN '2-HIGH' THEN 'soon' ELSE 'Unassigned' END AS title FROM orders""",
     "model_replies": "SELECT * FROM (VALUES (0, true, 'lift', 'high'), (1, false, NULL, NULL), (2, true, NULL, NULL), (3, false, NULL, NULL), (4, false, NULL, NULL), (5, false, NULL, NULL)) AS t(id, usable, content_type, energy_level)",
     "prompt_metrics": "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN printf('%.2f', p_size / 4 + 0.001::DOUBLE) ELSE 'not measured' END AS metric FROM part",
