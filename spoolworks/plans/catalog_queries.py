@@ -28,7 +28,7 @@ def media_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scene_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenes = table(spark, sf_dir, "documents").where("source = 'src3'").select(F.col("doc_id").alias("id"), "lang", "n_chars")
     cache = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("scene_id"), F.col("quality").alias("prompt_version"), "toxic", F.when(F.col("toxic") == 0, F.lit("{}")).alias("raw_response_json"))
-    return catalog.tagged(scenes, cache, F.lit(1), ["toxic"]).select("id", "lang", "n_chars", F.col("tags").isNotNull().alias("has_tags"), F.col("tags.toxic").alias("toxic")).orderBy("id")
+    return catalog.tagged(scenes, cache, F.lit(1), ["toxic"]).select("id", "lang", "n_chars", F.col("tags").isNotNull().alias("has_tags"), F.coalesce("tags.toxic", F.lit(-1)).alias("toxic")).orderBy("id")
 
 
 def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def open_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs of one project or none, and open ones only, by list."""
     events = table(spark, sf_dir, "events").withColumn("project_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")))
     kept = events.where(F.col("event_type").isin("click", "view", "purchase") & (F.col("project_id").isNull() | (F.col("project_id") == 7)))
-    return kept.select("event_id", "project_id", "event_type")
+    return kept.select("event_id", F.coalesce("project_id", F.lit(-1)).alias("project_id"), "event_type")
 
 
 def wave_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,11 +166,11 @@ ORACLE_SQL = {
                o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N' AND {_CURRENT}) AS "has_N",
                o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND {_CURRENT}) AS "has_R"
         FROM orders JOIN customer ON c_custkey = o_custkey""",
-    "scene_tags": """SELECT d.doc_id AS id, lang, n_chars, coalesce(toxic = 0, false) AS has_tags, CASE WHEN toxic = 0 THEN toxic END AS toxic
+    "scene_tags": """SELECT d.doc_id AS id, lang, n_chars, coalesce(toxic = 0, false) AS has_tags, CASE WHEN toxic = 0 THEN toxic ELSE -1 END AS toxic
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 1 WHERE source = 'src3'""",
     "recent_jobs": "SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "point_lookup": "SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 7",
-    "open_jobs": """SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN user_id END AS project_id, event_type FROM events
+    "open_jobs": """SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN user_id ELSE -1 END AS project_id, event_type FROM events
         WHERE event_type IN ('click', 'view', 'purchase') AND (user_id % 5 = 0 OR user_id = 7)""",
     "wave_rollup": f"SELECT o_orderpriority, {_ROLL} FROM orders GROUP BY o_orderpriority",
     "plan_totals": f"SELECT {_ROLL} FROM orders",

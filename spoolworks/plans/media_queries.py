@@ -70,7 +70,7 @@ def media_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     change = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return sequences.cuts_to_scenes(events.withColumn("change", change), "user_id", ["ts", "event_id"], "change", 27.0, 3)
+    return sequences.cuts_to_scenes(events.withColumn("change", change), "user_id", ["ts", "event_id"], "change", 27.0, 3).select("user_id", "sequence_index", F.col("start_frame").cast("long").alias("start_frame"), F.col("end_frame").cast("long").alias("end_frame"))
 
 
 def latest_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probe_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = spark.sql(f"SELECT * FROM {RATES}")
-    return rates.select("nominal", "average", "container", F.round(probe.rational(F.col("nominal")), 9).alias("nominal_fps"), F.round(probe.rational(F.col("average")), 9).alias("average_fps"), probe.variable_rate(F.col("container"), F.col("nominal"), F.col("average")).alias("variable"))
+    return rates.select("nominal", "average", "container", F.round(probe.rational(F.col("nominal")), 9).alias("nominal_fps"), F.round(probe.rational(F.col("average")), 9).alias("average_fps"), text.rate_mode(probe.variable_rate(F.col("container"), F.col("nominal"), F.col("average"))).alias("mode"))
 
 
 def probe_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +142,7 @@ def job_failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = spark.sql(f"SELECT header, CAST(size AS BIGINT) AS size FROM {RANGES}").withColumn("r", text.byte_range(F.col("header"), F.col("size")))
-    return ranges.select("header", "size", F.col("r.start").alias("first_byte"), F.col("r.end").alias("last_byte"), "r.status")
+    return ranges.select("header", "size", F.coalesce("r.start", F.lit(-1)).alias("first_byte"), F.coalesce("r.end", F.lit(-1)).alias("last_byte"), "r.status")
 
 
 def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,8 +226,8 @@ ORACLE_SQL = {
     "stream_drift": """SELECT user_id, round(abs(max(e) FILTER (event_id % 2 = 0) - max(e) FILTER (event_id % 2 = 1)), 6) AS drift
         FROM (SELECT *, event_id / 10 + coalesce(value, 0) / 1000 AS e FROM events) GROUP BY user_id""",
     "probe_rates": f"""SELECT nominal, average, container, round({_RATIONAL.format("nominal")}, 9) AS nominal_fps, round({_RATIONAL.format("average")}, 9) AS average_fps,
-        CASE WHEN list_has_any(string_split(lower(container), ','), ['mov', 'mp4', 'm4a', '3gp', '3g2', 'mj2']) AND ({_RATIONAL.format("nominal")}) IS NOT NULL AND ({_RATIONAL.format("average")}) IS NOT NULL
-        THEN ({_RATIONAL.format("nominal")}) <> ({_RATIONAL.format("average")}) END AS variable FROM {RATES}""",
+        CASE CASE WHEN list_has_any(string_split(lower(container), ','), ['mov', 'mp4', 'm4a', '3gp', '3g2', 'mj2']) AND ({_RATIONAL.format("nominal")}) IS NOT NULL AND ({_RATIONAL.format("average")}) IS NOT NULL
+        THEN ({_RATIONAL.format("nominal")}) <> ({_RATIONAL.format("average")}) END WHEN true THEN 'variable' WHEN false THEN 'constant' ELSE 'unknown' END AS mode FROM {RATES}""",
     "job_failure_class": """SELECT * FROM (VALUES (1, 'unsupported_codec', 'Unknown encoder libx264'), (2, 'filter_graph', 'No such filter: y'), (3, 'encode', 'opening .../a.mp4 failed'),
         (4, 'encode', ''), (5, 'no_space', 'Write: No space left on device .../blob.bin'), (6, 'unreadable', 'Could not find codec parameters for .../b.mov')) AS t(id, failure_class, detail)""",
     "byte_ranges": f"""
@@ -235,8 +235,8 @@ ORACLE_SQL = {
                           coalesce(regexp_matches(header, '^bytes=[0-9]*-[0-9]*$'), false) AND size > 0 AS ok FROM {RANGES}),
         s AS (SELECT *, CASE WHEN NOT ok OR (f = '' AND l = '') THEN 200 WHEN f = '' THEN CASE WHEN l::BIGINT = 0 THEN 416 ELSE 206 END
                              WHEN f::BIGINT >= size THEN 416 WHEN l <> '' AND l::BIGINT < f::BIGINT THEN 200 ELSE 206 END AS status FROM p)
-        SELECT header, size, CASE status WHEN 200 THEN 0 WHEN 206 THEN CASE WHEN f = '' THEN greatest(0, size - l::BIGINT) ELSE f::BIGINT END END AS first_byte,
-               CASE status WHEN 200 THEN size - 1 WHEN 206 THEN CASE WHEN f = '' OR l = '' THEN size - 1 ELSE least(l::BIGINT, size - 1) END END AS last_byte, status FROM s""",
+        SELECT header, size, CASE status WHEN 200 THEN 0 WHEN 206 THEN CASE WHEN f = '' THEN greatest(0, size - l::BIGINT) ELSE f::BIGINT END ELSE -1 END AS first_byte,
+               CASE status WHEN 200 THEN size - 1 WHEN 206 THEN CASE WHEN f = '' OR l = '' THEN size - 1 ELSE least(l::BIGINT, size - 1) END ELSE -1 END AS last_byte, status FROM s""",
     "path_safety": """SELECT * FROM (VALUES ('media/blobs/ab', '-i', true, false, false), ('../etc/passwd', 'http://host/x', false, false, false), ('a/../../b', 'C:/clips/a.mp4', false, true, false),
         ('a/../b', 'clip.mp4', true, true, false), ('/etc/shadow', 'file:x', false, false, false), ('C:/x', 'a-b.mp4', false, true, false), ('', 'OneDrive - Team/x', true, true, true),
         ('a/./b', 'home/OneDrive/x', true, true, true), ('..', 'x:y', false, true, false)) AS t(path, source, contained, safe, synced)""",

@@ -58,7 +58,7 @@ def leak_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan.windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 1000, 100)
-    return found.select("doc_id", "window", "start", F.length("text").alias("n"))
+    return found.select("doc_id", "window", "start", F.length("text").cast("long").alias("n"))
 
 
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
