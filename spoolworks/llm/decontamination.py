@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolworks.llm.words import WIDTH, shingle_hashes, words
+from spoolworks.llm.words import WIDTH, shingle_hashes, slices, words
 
 #: A benchmark whose texts take up to so many bytes goes to the executors whole; a larger one goes by the join.
 BROADCAST_BYTES = 64 << 20
@@ -99,7 +99,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = build(shared.value, percent)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 found = words(text)
@@ -120,7 +120,7 @@ def _by_join(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """The same for a benchmark of any size: sketch values and shingles meet in shuffled joins."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, values, least = [], [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 found = bottom(shingle_hashes(words(text)), percent)
@@ -130,13 +130,13 @@ def _by_join(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.int64()), pa.array(least, pa.int64())], ["item_id", "value", "least"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 found = np.unique(shingle_hashes(words(text)))
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array(found), pa.array([len(found)] * len(found), pa.int64())], ["doc_id", "value", "n"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist()]
             columns += [batch.column(i).cast(pa.large_binary()).to_pylist() for i in (2, 3)]

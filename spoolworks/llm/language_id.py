@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from spoolworks.llm.words import slices
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bounds of what is learned from: documents and distinct words of each language.
 SAMPLE_DOCUMENTS = 1500
@@ -27,7 +29,7 @@ ROUNDS = 3
 #: Pseudo-counts of the mean over languages in each language's counts, and of each piece in that mean.
 SMOOTHING = 50.0
 FLOOR = 0.1
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 WORD_START = "▁"
@@ -191,7 +193,7 @@ def learn(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str, la
     sample = own.join(F.broadcast(shares), "l").where(place < F.col("share")).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found: dict[tuple[str, str], int] = defaultdict(int)
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in words_of(text):
@@ -217,11 +219,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         guess = Model(*shared.value).predictor()
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                found = list(guess(part.column(at).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names)
+        for part in slices(batches):
+            found = list(guess(part.column(at).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names)
 
     return docs.mapInArrow(run, schema)
 

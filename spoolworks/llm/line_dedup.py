@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from spoolworks.llm.perfect_hash import PerfectHash
+from spoolworks.llm.words import slices
 from spoolworks.sources.tables import written
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -46,7 +47,7 @@ def line_hashes(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(hi, lo, doc_id) for each distinct line key of each row of `docs` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, found = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 keys = {line_hash(k) for line in (text or b"").split(b"\n") if (k := line_key(line, shortest)) is not None}
@@ -130,7 +131,7 @@ def drop_repeated_lines(docs: DataFrame, shortest: int = SHORTEST, id_col: str =
     both = plain.join(lost, "doc_id", "left").select("doc_id", "text", "lost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lines, dropped, kept = [], [], []
             for text, lost in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 split = (text or b"").split(b"\n")

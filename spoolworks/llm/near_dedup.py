@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spoolworks.llm.components import components
-from spoolworks.llm.words import shingle_set
+from spoolworks.llm.words import shingle_set, slices
 from spoolworks.sources.tables import written
 
 SKETCH = 64
@@ -49,7 +49,7 @@ def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     """(doc_id, hi, lo, n, sketch) of each row of `docs` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hi, lo, size, low = [], [], [], []
             for text in batch.column(1).cast(pa.large_binary()).to_pylist():
                 found = shingle_set(text)
@@ -70,7 +70,7 @@ def full_sets(docs: DataFrame, parity_words: int = PARITY_WORDS) -> DataFrame:
     """(id, members, parity) of each row of `docs` (id, text): the shingles, and their parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             members, parity = [], []
             for text in batch.column(1).cast(pa.large_binary()).to_pylist():
                 found = shingle_set(text)
@@ -114,7 +114,8 @@ def near_duplicates(
     Two texts are linked if 100 * |intersection| >= percent * |union| of their shingle sets. `component_id` is the
     smallest id reachable over links; `kept` says that it is the row's own. Texts with fewer than five words have
     one shingle, the whole sequence; null texts and texts without words have none and are linked with nothing.
-    Rows that repeat an id are kept or dropped alike. A null id never is a component's id unless its class has no
+    An id should have one text: rows that repeat it with the same text fare alike, with another text each is classed
+    by its own and any one of them stands for the id when links are verified. A null id never is a component's id unless its class has no
     other: then component_id is null and the row is kept. Other columns are left behind.
     """
     least = overlap(percent / 100, k)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
+from spoolworks.llm.words import slices
+
 ORDERS = (1, 2, 3, 4)
 BITS = 18
 #: Bound of what the linear model is fitted on: rows of each class, and distinct features that a row gives to it.
@@ -135,7 +137,7 @@ def learn(plain: DataFrame, marked: DataFrame, orders: tuple[int, ...] = ORDERS,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts, rows = Grams(orders, bits), np.zeros((2, size), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 counts[label][grams.of(text)] += 1
                 rows[label] += 1
@@ -146,7 +148,7 @@ def learn(plain: DataFrame, marked: DataFrame, orders: tuple[int, ...] = ORDERS,
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(orders, bits)
-        for batch in batches:
+        for batch in slices(batches):
             data = [grams.of(t).tobytes() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary())], ["id", "label", "grams"])
 
@@ -192,7 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Model(*shared.value).scorer()
-        for batch in batches:
+        for batch in slices(batches):
             scores = [score(t) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from spoolworks.llm.words import slices
+
 # The expressions of each kind and the least length of what they must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -94,7 +96,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data in batch.column(1).cast(pa.large_binary()).to_pylist():
                 rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scanner.spans(data)])

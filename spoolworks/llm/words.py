@@ -7,13 +7,23 @@ bytes equals working on code points.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WIDTH = 5
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of `rows` rows at most, so that only so many texts are Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
