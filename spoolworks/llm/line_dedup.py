@@ -5,8 +5,9 @@
 2. The repeated hashes are dealt into shards of bounded size. A shard is a minimal perfect hash with three arrays in
    its order: a 64-bit fingerprint (the half of the hash that the perfect hash does not see), a count and an owner.
    Lines that are not repeated need no place: their fingerprints don't match.
-3. The line hashes of the documents stream past the arrays of their shard. A shard's arrays are sent to `SALTS`
-   tasks and a document's hashes to one of them by its id, so a line that most documents hold is probed by many tasks.
+3. The line hashes of the documents stream past the arrays of their shard. A shard's arrays are sent to as many tasks
+   as its share of all hashes asks for, and a document's hashes to one of them by its id, so a line that most documents
+   hold is probed by many tasks while an ordinary shard's arrays are sent once.
 4. The hits that the document does not own are the keys it loses.
 """
 
@@ -28,7 +29,8 @@ from spoolworks.sources.tables import written
 SPACES = b" \t\n\x0b\x0c\r"
 SHORTEST = 10
 KEYS_PER_SHARD = 1 << 14
-SALTS = 16
+#: No part of a shard gets more than a share of 1 / (SPREAD * shuffle partitions) of the hashes on average.
+SPREAD = 2
 
 
 def line_key(line: bytes, shortest: int = SHORTEST) -> bytes | None:
@@ -74,14 +76,24 @@ def build_index(repeated: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> tu
     return dealt.groupBy("shard").applyInArrow(build, "shard int, hash binary, fingerprints binary, counts binary, owners binary"), shards
 
 
-def probe(hashes: DataFrame, index: DataFrame, shards: int, salts: int = SALTS) -> DataFrame:
+def salted(hashes: DataFrame, shards: int, parts: int) -> DataFrame:
+    """(shard, salts) of the shards that hold more than 1 / `parts` of the hashes; so there are fewer than `parts` rows."""
+    loads = hashes.groupBy(F.pmod("hi", F.lit(shards)).cast("int").alias("shard")).count()
+    return loads.select("shard", F.ceil(F.col("count") * parts / max(1, hashes.count())).cast("int").alias("salts")).where("salts > 1")
+
+
+def probe(hashes: DataFrame, index: DataFrame, shards: int, spread: int = SPREAD) -> DataFrame:
     """(doc_id, key, n) for each of `hashes` (hi, lo, doc_id) that the index holds under another owner."""
-    arrays = index.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"),
+    parts = spread * int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(written(salted(hashes, shards, parts), "hot-shards"))
+    salts = F.coalesce("salts", F.lit(1))
+    arrays = index.join(hot, "shard", "left").select(
+        "shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"),
         *[F.lit(None).cast("long").alias(c) for c in ("hi", "lo", "doc_id")], "hash", "fingerprints", "counts", "owners",
     )
-    probes = hashes.select(
-        F.pmod("hi", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"),
+    placed = hashes.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int")).join(hot, "shard", "left")
+    probes = placed.select(
+        "shard", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"),
         "hi", "lo", "doc_id", *[F.lit(None).cast("binary").alias(c) for c in ("hash", "fingerprints", "counts", "owners")],
     )
 
