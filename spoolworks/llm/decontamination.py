@@ -19,10 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoolworks.llm.words import WIDTH, shingle_hashes, slices, words
+from spoolworks.sources.tables import written
 
-#: A benchmark whose texts take up to so many bytes goes to the executors whole; a larger one goes by the join.
-BROADCAST_BYTES = 64 << 20
+#: A benchmark whose texts take up to so many bytes goes to the executors whole; a larger one goes by the join. Its
+#: shingles are some 20 times as many bytes in each Python worker.
+BROADCAST_BYTES = 8 << 20
 FILTER_BITS = 20
+#: Bits of the filter over sketch values that the join sends ahead: 16 MB, whatever the size of the benchmark.
+JOIN_FILTER_BITS = 27
 MATCHES = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 
 
@@ -116,8 +120,28 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return docs.mapInArrow(run, MATCHES)
 
 
+def _filter_of(sketched: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap over the last `bits` bits of all sketch values, packed. Blocks of 2**15 bits are filled by the tasks, so
+    the driver gets 2**bits / 8 bytes at most."""
+    width = min(15, bits)
+
+    def fill(key: tuple, group: pa.Table) -> pa.Table:
+        block = np.zeros(1 << width, bool)
+        block[group.column("bit").to_numpy()] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "packed": pa.array([np.packbits(block).tobytes()], pa.binary())})
+
+    place = F.col("value").bitwiseAND(F.lit((1 << bits) - 1))
+    placed = sketched.select(F.shiftright(place, width).alias("block"), place.bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("bit")).distinct()
+    packed = np.zeros((1 << bits) // 8, np.uint8)
+    step = (1 << width) // 8
+    for row in placed.groupBy("block").applyInArrow(fill, "block long, packed binary").collect():
+        packed[row.block * step : (row.block + 1) * step] = np.frombuffer(row.packed, np.uint8)
+    return packed
+
+
 def _by_join(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The same for a benchmark of any size: sketch values and shingles meet in shuffled joins."""
+    """The same for a benchmark of any size: sketch values and shingles meet in shuffled joins. Of a document only the
+    shingles that a bit filter over the sketch values lets through are shuffled."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -130,10 +154,13 @@ def _by_join(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.int64()), pa.array(least, pa.int64())], ["item_id", "value", "least"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = passing.value
         for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 found = np.unique(shingle_hashes(words(text)))
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array(found), pa.array([len(found)] * len(found), pa.int64())], ["doc_id", "value", "n"])
+                place = found & ((1 << JOIN_FILTER_BITS) - 1)
+                near = found[(packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(near), pa.int64()), pa.array(near), pa.array([len(found)] * len(near), pa.int64())], ["doc_id", "value", "n"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -147,7 +174,8 @@ def _by_join(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
                     rows.append((doc, item, len(need), count))
             yield _match_rows(rows)
 
-    sketched = items.mapInArrow(sketch, "item_id long, value long, least long")
+    sketched = written(items.mapInArrow(sketch, "item_id long, value long, least long"), "item-sketches")
+    passing = docs.sparkSession.sparkContext.broadcast(_filter_of(sketched, JOIN_FILTER_BITS))
     spread_out = docs.mapInArrow(spread, "doc_id long, value long, n long")
     pairs = spread_out.join(sketched, "value").where("n >= least").select("doc_id", "item_id").distinct()
     both = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "wanted"), "item_id")
