@@ -8,7 +8,6 @@ expectation-maximisation over the same lattices. Words repeat, so each worker ke
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +30,6 @@ SMOOTHING = 50.0
 FLOOR = 0.1
 KNOWN_WORDS = 300_000
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 WORD_START = "▁"
 
 
@@ -44,6 +42,11 @@ def pieces(path: str = VOCABULARY) -> list[str]:
     return sorted({p for p in found if p == p.lower()})
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L); digits and number signs are none."""
+    return any(map(str.isalpha, text))
+
+
 def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
@@ -141,7 +144,7 @@ class Model:
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                 rows = [np.concatenate([*rows, lattices.log_probabilities(new, self.table)])]
             for text, found in zip(texts, split, strict=True):
-                if not self.languages or not text or not LETTER.search(text):
+                if not self.languages or not text or not has_letter(text):
                     yield UNDETERMINED, 0.0
                     continue
                 total = rows[0][np.fromiter(map(known.__getitem__, found), np.int64, len(found))].sum(axis=0)

@@ -224,6 +224,12 @@ def test_line_dedup_corner_cases(odd, none):
     assert of[8].text.startswith("ß é 中文")
 
 
+def test_only_hot_shards_are_salted(spark):
+    hashes = spark.createDataFrame([(8, i, i) for i in range(600)] + [(i, 0, i) for i in range(1200)], "hi long, lo long, doc_id long")
+    assert {(r.shard, r.salts) for r in line_dedup.salted(hashes, 64, 12).collect()} == {(8, 5)}
+    assert line_dedup.salted(hashes.limit(0), 64, 12).count() == 0
+
+
 def test_quality(spark, odd, none):
     draw = random.Random(4)
     texts = [(i, " ".join(draw.choice("abcdefgh") * 3 for _ in range(30)) + (" !!" if i % 4 == 0 else "")) for i in range(600)]
@@ -272,6 +278,7 @@ def test_language_id(spark, sf, odd, none):
     of = {r.doc_id: r for r in language_id.identify(odd).collect() if r.doc_id is not None}
     assert of[1].lang_pred == of[2].lang_pred == of[3].lang_pred == "und"
     assert language_id.identify(none).count() == 0
+    assert not any(map(language_id.has_letter, ["", "12 ½ ² Ⅷ", "_-!"])) and all(map(language_id.has_letter, ["1a", "é", "中"]))
 
 
 def test_fixity_finds_what_was_changed_lost_and_added(spark):
