@@ -2,9 +2,9 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
-
-from spoolworks.functions import probe, text, timing
+from spoolworks.functions import probe, requests, text, timing
 from spoolworks.plans.media_queries import PROBES
 
 
@@ -65,3 +65,16 @@ def test_contrast(spark):
 def test_version_token(spark):
     assert one(spark, text.version_token(F.col("s")), s="ffmpeg version 6.1.1-static x\nmore") == "6.1.1-static"
     assert one(spark, text.version_token(F.col("s")), s="other version 1") is None
+
+
+@pytest.mark.parametrize("limit", [-1, 0, 201])
+def test_limits_out_of_bounds_are_refused(limit):
+    assert [requests.page_limit(n) for n in (1, 200)] == [1, 200]
+    with pytest.raises(ValueError):
+        requests.page_limit(limit)
+
+
+def test_sending_steps_and_seeks(spark):
+    rows = [("sending scene 2 of 9 to Gemini for analysis", 5.0, 40.0), ("Sending scene 2 of 9", -9.0, float("nan")), (None, 99.0, 40.0)]
+    found = spark.createDataFrame(rows, "step string, delta double, duration double").select(requests.sending_step(F.col("step")).alias("s"), requests.seek(F.lit(3.0), F.col("delta"), F.col("duration")).alias("at")).collect()
+    assert [r.s and tuple(r.s) for r in found] == [(2, 9), None, None] and [r.at for r in found] == [8.0, 0.0, 40.0]
