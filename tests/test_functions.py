@@ -4,6 +4,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+
 from spoolworks.functions import probe, requests, text, timing
 from spoolworks.plans.media_queries import PROBES
 
