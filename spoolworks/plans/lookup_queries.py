@@ -36,8 +36,8 @@ def finished_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scoped_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes of one clip by both keys, numbered from 0, with their context; base64 of what is sent."""
-    scenes = table(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 7 AND l_partkey >= 0")
+    """Scenes of every clip, numbered from 0, with their context; base64 of what is sent."""
+    scenes = table(spark, sf_dir, "lineitem")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")).cast("long") - 1
     context = requests.scene_context(F.col("l_quantity"), F.col("l_quantity") + F.col("l_linenumber"))
     return scenes.select("l_orderkey", place.alias("scene"), "l_partkey", context["duration"].alias("duration"), context["position"].alias("position"), F.base64(F.col("l_returnflag").cast("binary")).alias("payload"))

@@ -42,12 +42,12 @@ def energy_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    events = table(spark, sf_dir, "events")
     return events.select("event_id", F.posexplode(timing.candidate_times(F.col("value"), F.col("value") + 5, 3))).select("event_id", "pos", F.round("col", 6).alias("at"))
 
 
 def sample_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    events = table(spark, sf_dir, "events")
     picks = timing.sample_frames(F.col("value"), F.col("value") + F.col("event_id") % 3 * 0.5, F.lit(30.0), 8)
     return events.select("event_id", F.explode(picks).alias("frame"))
 
@@ -85,8 +85,7 @@ def monotone_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monotone_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("event_id % 40 = 0")
-    return sequences.is_monotone(events, "user_id", ["event_id"], "value")
+    return sequences.is_monotone(table(spark, sf_dir, "events"), "user_id", ["event_id"], "value")
 
 
 def sparkline_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,10 +92,10 @@ def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tenth event's frame handle looked up by position in its user's times; beyond them the error is endless."""
+    """Each event's frame handle looked up by position in its user's times; beyond them the error is endless."""
     events = table(spark, sf_dir, "events")
     times = events.groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("times"))
-    asked = events.where("event_id % 10 = 0").select("user_id", "event_id", (F.col("event_id") % 90).cast("int").alias("frame")).join(times, "user_id")
+    asked = events.select("user_id", "event_id", (F.col("event_id") % 90).cast("int").alias("frame")).join(times, "user_id")
     at = F.get("times", F.col("frame"))
     return asked.select("event_id", "frame", F.coalesce(F.abs(at - F.col("event_id")).cast("double"), F.lit(1e308)).alias("error"))
 
