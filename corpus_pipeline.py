@@ -1,7 +1,7 @@
 """The training-data pipeline: documents in, shards out. Every stage is written as Parquet and reread by the next.
 
 Columns of `documents` pass through unchanged until the last stage. Stages take nulls in any column, empty tables and
-more columns than they know; names that start with `__` are theirs.
+more columns than they know; names that start with `__` are theirs. Each row is decided for itself: ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -21,6 +21,12 @@ NEAR_PERCENT = 80
 LEAK_PERCENT = 80
 MIX_SEED = 7
 SHARDS = 40
+ROW = "__row"
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a key of each row's own. Written first, so that every later read sees the same keys."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,21 +37,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id. Texts without words stay."""
-    lost = near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates, the one with the smallest id (null last, then any one row of it).
+    Texts without words stay."""
+    rows = keyed(docs, "near-rows")
+    found = near_duplicates(rows, percent=NEAR_PERCENT, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    stay = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order)[ROW].alias(ROW))
+    return rows.join(stay.select(ROW), ROW, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark"), percent=LEAK_PERCENT).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs, "leak-rows")
+    leaks = contaminated(rows, table(spark, sf_dir, "benchmark"), percent=LEAK_PERCENT, id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, 0 to 3 times, a row each time. Rows that repeat an id are taken alike."""
-    taken = mix(docs, seed=MIX_SEED).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    """Documents as often as the mix takes them, 0 to 3 times, a row each time."""
+    rows = keyed(docs, "mix-rows")
+    taken = mix(rows, seed=MIX_SEED, row_col=ROW).select(ROW, F.col("copies").alias("__copies")).where("__copies > 0")
+    both = rows.join(taken, ROW)
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 

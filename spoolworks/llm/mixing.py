@@ -96,27 +96,31 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
     """Every row of `docs` with what the mix takes of it: (doc_id, source, size, source_size, target, taken, copies).
 
     `size` counts the runs of characters other than white space (null: 0), `taken` is copies * size, and copies never
     exceed `most`. A source without words has target 0 and no copies; a document without words is taken as often as
     its source's whole part says. Rows that repeat an id are rounded each for themselves; a null source is a source,
-    null ids are ids. An empty table gives no rows; other columns are left behind.
+    null ids are ids. An empty table gives no rows; other columns are left behind, but for `row_col`: a key of each row's
+    own, which settles the order of rows that tie on size and id.
     """
+    own = [row_col] if row_col else []
     sized = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.pmod(F.xxhash64(F.col(id_col)), F.lit(PARTS)).cast("int").alias("part"),
+            *own,
         ),
         "sizes",
     )
     shares = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most), "targets")
     # Documents are numbered in each part of a source, so no task sees a source whole. The part of a repeated id is
     # one, its numbers differ.
-    inside = Window.partitionBy("source", "part").orderBy(F.desc("size"), "doc_id")
+    inside = Window.partitionBy("source", "part").orderBy(F.desc("size"), "doc_id", *own)
     times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     placed = written(
         sized.withColumn("place", F.row_number().over(inside).cast("long") - 1)
@@ -160,4 +164,4 @@ def mix(
     ups = last.where("up = 1").select(F.col("source").alias("s"), F.col("part").alias("q"), F.col("place").alias("n"), "up")
     rounded = placed.join(ups, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("q")) & (F.col("place") == F.col("n")), "left")
     copies = F.col("whole") + F.coalesce("up", F.lit(0))
-    return rounded.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return rounded.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *own)

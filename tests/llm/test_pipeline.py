@@ -5,6 +5,7 @@ import collections
 import pytest
 
 import corpus_pipeline
+from spoolworks.llm.mixing import mix
 from spoolworks.llm.words import shingle_set
 from spoolworks.sources.tables import written
 
@@ -23,6 +24,28 @@ def test_stages_keep_columns_and_take_anything(spark, sf):
         assert corpus_pipeline.STAGES[-1][1](spark, frame, sf).count() == frame.count()
 
 
+def test_null_and_repeated_ids_are_decided_row_by_row(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n int"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("text IS NOT NULL").first().text
+    twin, other = "one plain text of seven small words", "quite another text that has no twin here"
+    rows = [(None, twin), (None, twin), (5, twin), (5, twin), (7, twin), (7, other), (None, "a null id with its own text"), (None, None), (None, item), (9, item), (9, "nine again without any item inside")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, n) for n, (i, t) in enumerate(rows)], schema)
+    near = {r.n for r in stage("near_dedup")(spark, docs, sf).collect()}
+    assert len(near & {2, 3}) == 1 and near - {2, 3} == {5, 6, 7, 9, 10}
+    clean = sorted(r.n for r in stage("decontamination")(spark, docs, sf).collect())
+    assert clean == [0, 1, 2, 3, 4, 5, 6, 7, 10]
+
+
+def test_mixing_of_null_ids_stays_near_the_target(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n int"
+    docs = spark.createDataFrame([(None, "w " * (1 + n % 7), "en", "ab"[n % 2], 1, n) for n in range(400)], schema)
+    wanted = {r.source: r.target for r in mix(docs, seed=corpus_pipeline.MIX_SEED).select("source", "target").distinct().collect()}
+    words = collections.Counter()
+    for r in stage("mixing")(spark, docs, sf).collect():
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - t) <= 7 for s, t in wanted.items())
+
+
 @pytest.fixture(scope="module")
 def passed(spark, sf):
     """What each stage returned, in order."""
