@@ -45,10 +45,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     levelled = (
         ordered.withColumn("all", F.sum("source_size").over(everything).cast("double"))
         .withColumn("taken", F.coalesce(F.sum("source_size").over(before), F.lit(0)) * most)
+        .withColumn("place", F.row_number().over(by_ratio))
         .withColumn("level", (F.col("all") - F.col("taken")) / F.sum("weight").over(after))
         .withColumn("capped", F.col("level") > F.col("ratio") * most)
     )
-    rest = F.min(F.when(~F.col("capped"), F.struct("ratio", "source", "level"))).over(everything)
+    # By the window's own place: a struct would put the null source first where it ties.
+    rest = F.min(F.when(~F.col("capped"), F.struct("place", "level"))).over(everything)
     level = F.coalesce(rest["level"], F.lit(0.0))
     return levelled.select("source", "source_size", F.when(F.col("capped"), F.col("source_size") * float(most)).otherwise(level * F.col("weight")).alias("target"), "rows")
 

@@ -180,6 +180,11 @@ def test_secrets(spark, sf, odd, none):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
 
 
+def test_mixing_targets_where_a_null_source_ties(spark):
+    sizes = spark.createDataFrame([("a", 5, 1), (None, 2, 1)], "source string, source_size long, rows long")
+    assert {r.source: r.target for r in mixing.targets(sizes).collect()} == {"a": 5.0, None: 2.0}
+
+
 def test_mixing(spark, odd, none):
     draw = random.Random(2)
     docs = [(i, " ".join(["w"] * draw.choice([0, 1, 40, 300, 2000])), ["a", "b", None, "tiny"][min(3, int(draw.random() ** 2 * 4))]) for i in range(1500)]
