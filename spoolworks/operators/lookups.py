@@ -23,11 +23,22 @@ def named_match(found: DataFrame, names: DataFrame, key: str, order: str, name:
 
 
 def finished_signature(jobs: DataFrame, scope: str, job: str, status: str, still_open: tuple[str, ...] = OPEN) -> DataFrame:
-    """(scope, finished): `id:status` of the jobs that ended, sorted as text; a change says that the list must be read again."""
+    """(scope, finished): `id:status` of the jobs that ended, sorted as text; a change says that the list must be read again.
+
+    The text is as long as the scope's ended jobs together and is made in one row: for scopes of up to a million jobs.
+    `finished_sum` says the same of scopes of any size.
+    """
     ended = F.when(~F.col(status).isin(*still_open), F.concat_ws(":", F.col(job).cast("string"), status))
     return jobs.groupBy(scope).agg(F.array_join(F.sort_array(F.collect_list(ended)), ",").alias("finished"))
 
 
+def finished_sum(jobs: DataFrame, scope: str, job: str, status: str, still_open: tuple[str, ...] = OPEN) -> DataFrame:
+    """(scope, n, finished): how many jobs ended, and the sum of their hashes; it hangs on no order and gathers nothing."""
+    ended = ~F.col(status).isin(*still_open)
+    hashed = F.when(ended, F.xxhash64(F.col(job).cast("string"), status).cast("decimal(38,0)"))
+    return jobs.groupBy(scope).agg(F.count_if(ended).alias("n"), F.coalesce(F.sum(hashed), F.lit(0)).cast("decimal(38,0)").alias("finished"))
+
+
 def problem_fields(paths: Column) -> Column:
     """The fields of an array of paths (arrays of names) that failed, each once, in the order of their first failure."""
     return F.array_join(F.array_distinct(F.filter(F.transform(paths, lambda p: F.array_join(p, ".")), lambda f: F.length(f) > 0)), ", ")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from spoolworks.streaming.folds import fold
+
 
 def latest(df: DataFrame, key: str, seq: str) -> DataFrame:
     """The newest row of each key."""
@@ -36,14 +39,24 @@ def cuts_to_scenes(frames: DataFrame, key: str, order: list[str], change: str, t
 
     Frames are numbered from 0 in `order`. A cut is a frame whose change reaches the threshold; it is accepted if it is
     `least` frames or more after the last accepted one (the start counts as one). A clip without cuts is one scene. The
-    fold runs over a key's cuts alone, so what is gathered is bounded by a clip's cuts and not by its frames.
+    fold streams a key's cuts past the last accepted one, so no key is gathered.
     """
-    numbered = frames.withColumn("frame", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
-    gathered = numbered.groupBy(key).agg(F.count("*").cast("int").alias("frames"), F.sort_array(F.collect_list(F.when(F.col(change) >= threshold, F.col("frame")))).alias("cuts"))
-    accepted = F.aggregate("cuts", F.array(F.lit(0)), lambda kept, c: F.when(c - F.element_at(kept, -1) >= least, F.array_append(kept, c)).otherwise(kept))
-    starts = gathered.withColumn("starts", accepted)
-    exploded = starts.select(key, "frames", "starts", F.posexplode("starts").alias("sequence_index", "start_frame"))
-    return exploded.select(key, "sequence_index", "start_frame", F.coalesce(F.get("starts", F.col("sequence_index") + 1), F.col("frames")).alias("end_frame"))
+    clip = F.to_json(F.struct(F.col(key).alias("k"))).alias("clip")  # a null key has a text too
+    numbered = frames.withColumn("frame", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long") - 1)
+    cuts = numbered.where(F.col(change) >= threshold).select(clip, "frame", F.lit(False).alias("over"))
+    ends = frames.groupBy(key).agg(F.count("*").alias("frame")).select(clip, "frame", F.lit(True).alias("over"))
+
+    def step(state: dict | None, event: dict) -> tuple[dict, dict]:
+        state = state or {"index": 0, "start": 0}
+        answer = {"clip": event["clip"], "sequence_index": -1, "start_frame": state["start"], "end_frame": event["frame"]}
+        if event["over"] or event["frame"] - state["start"] >= least:
+            answer["sequence_index"] = state["index"]
+            state = {"index": state["index"] + 1, "start": event["frame"]}
+        return state, answer
+
+    found = fold(cuts.union(ends), "clip", ["frame", "over"], step, "clip string, sequence_index int, start_frame long, end_frame long")
+    back = F.from_json("clip", StructType([StructField("k", frames.schema[key].dataType)]))["k"].alias(key)
+    return found.where("sequence_index >= 0").select(back, "sequence_index", "start_frame", "end_frame")
 
 
 def folded_lines(lines: DataFrame, key: str, order: str, text: str, is_item: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 
+from spoolworks.operators import lookups, sequences
 from spoolworks.plans.registry import QUERIES
 
 
@@ -53,3 +54,27 @@ def test_scoped_scenes_numbers_every_clip(spark, sf):
     for found in places.values():
         found.sort()
         assert [s for s, _ in found] == list(range(len(found))) and [p for _, p in found] == sorted(p for _, p in found)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_key_is_gathered_into_an_array(spark, sf):
+    for name in ("clip_neighbours", "scenes"):
+        assert "collect_list" not in plan_of(QUERIES[name](spark, sf))
+
+
+def test_scenes_of_null_and_busy_clips(spark):
+    frames = [(None, i, 30.0 if i in (2, 4, 5) else 0.0) for i in range(7)] + [(1, i, 30.0) for i in range(5000)] + [(2, 0, None)]
+    found = sequences.cuts_to_scenes(spark.createDataFrame(frames, "k long, i long, change double"), "k", ["i"], "change", 27.0, 3).collect()
+    want = {(None, 0, 0, 4), (None, 1, 4, 7), (2, 0, 0, 1)} | {(1, n, 3 * n, min(3 * n + 3, 5000)) for n in range(1667)}
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_finished_sum_tells_changes_and_not_order(spark):
+    one = [("a", 1, "done"), ("a", 2, "failed"), ("a", 3, "queued"), ("b", 4, "running"), (None, 5, "done")]
+    sums = lambda rows: {r.s: (r.n, r.finished) for r in lookups.finished_sum(spark.createDataFrame(rows, "s string, j long, status string"), "s", "j", "status").collect()}
+    first = sums(one)
+    assert first == sums(one[::-1]) and first["b"] == (0, 0) and first["a"][0] == 2 and first[None][0] == 1
+    assert sums([*one[:2], ("a", 3, "done"), *one[3:]])["a"] != first["a"]
