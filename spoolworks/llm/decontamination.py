@@ -178,7 +178,10 @@ def _by_join(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     passing = docs.sparkSession.sparkContext.broadcast(_filter_of(sketched, JOIN_FILTER_BITS))
     spread_out = docs.mapInArrow(spread, "doc_id long, value long, n long")
     pairs = spread_out.join(sketched, "value").where("n >= least").select("doc_id", "item_id").distinct()
-    both = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "wanted"), "item_id")
+    # Null ids are matched too, as where the benchmark is broadcast.
+    texts = docs.select(F.col("doc_id").alias("d"), "text")
+    wanted = items.select(F.col("item_id").alias("i"), F.col("text").alias("wanted"))
+    both = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).join(wanted, F.col("item_id").eqNullSafe(F.col("i")))
     return both.select("doc_id", "item_id", "text", "wanted").mapInArrow(verify, MATCHES)
 
 

@@ -152,6 +152,15 @@ def test_decontamination(spark, odd, none):
         assert decontamination.contaminated(odd, benchmark.where("false"), broadcast_bytes=limit).count() == 0
 
 
+def test_decontamination_matches_null_ids_on_both_paths(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame(rows((None, f"so {text} on"), (None, "nothing here that is in any item"), (1, text)), SCHEMA)
+    benchmark = spark.createDataFrame([(None, text), (2, text)], "item_id long, text string")
+    for limit in (decontamination.BROADCAST_BYTES, 0):
+        found = [(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, benchmark, broadcast_bytes=limit).collect()]
+        assert len(found) == 4 and set(found) == {(None, None), (None, 2), (1, None), (1, 2)}
+
+
 def brute_secrets(text):
     found = [(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in secrets.ACCESS.finditer(text) if len(m[0]) >= 20]
