@@ -30,7 +30,8 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: texts without a letter go, and those no learned language has half the probability of."""
+    """Documents with a language: texts without a letter go, and those no learned language has half the probability of.
+    In practice only the former: the probability of a whole text is near 1 after a few words."""
     model = learn(docs, pieces(), "doc_id", "text", "lang")
     found = predict(docs, model, lang_col="__lang", score_col="__share")
     return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__share") >= LEAST_SHARE)).select(*docs.columns)

@@ -31,6 +31,8 @@ FLOOR = 0.1
 KNOWN_WORDS = 300_000
 UNDETERMINED = "und"
 WORD_START = "▁"
+#: Marked words longer than this are counted in logarithms, so many characters at a time.
+LONG_WORD, LONG_CHARACTERS = 60, 100_000
 
 
 def pieces(path: str = VOCABULARY) -> list[str]:
@@ -100,17 +102,42 @@ class Lattices:
             out[members] = np.log(np.maximum(ring[length], 1e-300)) + scale
         return out
 
-    def grouped(self, words: list[str]) -> list[tuple[np.ndarray, int, list[tuple[int, int, np.ndarray]]]]:
-        """(positions in `words`, length, edges) for each length of word."""
+    def grouped(self, words: list[str]) -> list[tuple[np.ndarray, int, list]]:
+        """(positions in `words`, length, edges) for each length of word; long words themselves instead of their edges,
+        which would be held all at once."""
         groups: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             groups[len(w) + 1].append(i)
-        return [(np.array(g), n, list(self.edges([WORD_START + words[i] for i in g]))) for n, g in groups.items() if n <= 60]
+        found: list[tuple[np.ndarray, int, list]] = []
+        for n, g in groups.items():
+            if n <= LONG_WORD:
+                found.append((np.array(g), n, list(self.edges([WORD_START + words[i] for i in g]))))
+            else:
+                many = max(1, LONG_CHARACTERS // n)
+                found += [(np.array(part := g[i : i + many]), n, [WORD_START + words[j] for j in part]) for i in range(0, len(g), many)]
+        return found
+
+    def long_counts(self, counts: np.ndarray, marked: list[str], length: int, weights: np.ndarray, column: np.ndarray) -> None:
+        """Adds the expected counts of words of any one length, in logarithms, which do not run out of range."""
+        with np.errstate(divide="ignore"):
+            costs = np.log(column)
+        ahead, back = np.full((length + 1, len(marked)), -np.inf), np.full((length + 1, len(marked)), -np.inf)
+        ahead[0], back[length] = 0, 0
+        edges = list(self.edges(marked))
+        for start, end, ids in edges:
+            ahead[end] = np.logaddexp(ahead[end], ahead[start] + costs[ids])
+        for start, end, ids in reversed(edges):
+            back[start] = np.logaddexp(back[start], back[end] + costs[ids])
+        for start, end, ids in edges:
+            np.add.at(counts, ids, np.exp(ahead[start] + costs[ids] + back[end] - ahead[length]) * weights)
 
     def expected_counts(self, grouped: list, weights: np.ndarray, column: np.ndarray) -> np.ndarray:
         """How often each piece is used in the segmentations of the weighted words, under one language's column."""
         counts = np.zeros(len(column))
         for members, length, edges in grouped:
+            if length > LONG_WORD:
+                self.long_counts(counts, edges, length, weights[members], column)
+                continue
             ahead, back = np.zeros((length + 1, len(members))), np.zeros((length + 1, len(members)))
             ahead[0], back[length] = 1, 1
             for start, end, ids in edges:
@@ -214,7 +241,8 @@ def learn(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str, la
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """`docs` with two columns more: the language and its probability among those learned.
 
-    A null text or one without a letter is `und` with score 0, as is every text if nothing was learned from.
+    A null text or one without a letter is `und` with score 0, as is every text if nothing was learned from. The
+    probability is of the whole text, so it is near 1 after a few words, whatever the text is.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.vocabulary, model.table))
     schema = StructType([*docs.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())])

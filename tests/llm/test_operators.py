@@ -161,6 +161,18 @@ def test_decontamination_matches_null_ids_on_both_paths(spark):
         assert len(found) == 4 and set(found) == {(None, None), (None, 2), (1, None), (1, 2)}
 
 
+def test_long_words_count_in_training(monkeypatch):
+    lattices = language_id.Lattices(["a", "ab", "b", "ba", "▁", "▁a"])
+    column = np.array([0.2, 0.1, 0.2, 0.1, 0.1, 0.2, 0.1, 0.0])
+    sizes = np.array([1, 2, 1, 2, 1, 2, 1, 0])
+    long = lattices.expected_counts(lattices.grouped(["ab" * 1000, "c" * 70]), np.array([1.0, 2.0]), column)
+    assert abs((long * sizes).sum() - (2001 + 2 * 71)) < 1e-6 and abs(long[lattices.unknown] - 140) < 1e-6
+    short, weights = ["abba", "abca", "b"], np.array([1.0, 3.0, 2.0])
+    plain = lattices.expected_counts(lattices.grouped(short), weights, column)
+    monkeypatch.setattr(language_id, "LONG_WORD", 0)
+    assert np.allclose(plain, lattices.expected_counts(lattices.grouped(short), weights, column))
+
+
 def brute_secrets(text):
     found = [(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in secrets.ACCESS.finditer(text) if len(m[0]) >= 20]
