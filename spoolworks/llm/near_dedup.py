@@ -35,7 +35,8 @@ DEVIATIONS = 6.0
 
 
 def overlap(threshold: float, k: int) -> int:
-    """Retained values that a pair at the threshold shares, less six standard deviations (missed once in 10**9)."""
+    """Retained values that a pair at the threshold shares, less six standard deviations. With k of 64 a pair right at it holds
+    fewer with a chance of 3.5e-8 at 0.85 (37) and 1.9e-8 at 0.80 (32), the exact binomial tail."""
     return max(1, math.floor(k * threshold - DEVIATIONS * math.sqrt(k * threshold * (1 - threshold))))
 
 
