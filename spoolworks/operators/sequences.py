@@ -28,6 +28,12 @@ def is_monotone(df: DataFrame, key: str, order: list[str], value: str) -> DataFr
     return df.withColumn("__before", before).groupBy(key).agg(F.bool_and(F.coalesce(F.col(value) >= F.col("__before"), F.lit(True))).alias("monotone"))
 
 
+def stream_end(df: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, end): the last time plus the step before it, as the last frame's duration; a single frame has none."""
+    stepped = df.select(key, at, (F.col(at) - F.lag(at).over(Window.partitionBy(key).orderBy(at))).alias("__step"))
+    return stepped.groupBy(key).agg((F.max(at) + F.coalesce(F.max_by("__step", F.struct(at, F.coalesce("__step", F.lit(0.0)))), F.lit(0.0))).alias("end"))
+
+
 def islands(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Rows that have the value, with `island`: how many gaps came before."""
     gaps = F.sum(F.when(F.col(value).isNull(), 1).otherwise(0)).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))

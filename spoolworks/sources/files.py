@@ -28,6 +28,12 @@ def present(rows: DataFrame, listing: DataFrame, stored: str = "stored_path") ->
     return rows.join(there, F.col(stored) == F.col("__there"), "left").withColumn("on_disk", F.col("__there").isNotNull()).drop("__there")
 
 
+def without_lost(rows: DataFrame, listing: DataFrame, stored: str = "stored_path") -> DataFrame:
+    """`rows` without those whose file is gone; a null path has no file. listing: (stored path)."""
+    lost = present(rows, listing, stored).where("NOT on_disk").select(F.col(stored).alias("__lost")).distinct()
+    return rows.where(F.col(stored).isNotNull()).join(lost, F.col(stored) == F.col("__lost"), "left_anti")
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of each text file, whole."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

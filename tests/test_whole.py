@@ -4,6 +4,7 @@ import collections
 
 from spoolworks.operators import lookups, sequences
 from spoolworks.plans.registry import QUERIES
+from spoolworks.sources import files
 
 
 def events_of(spark, sf):
@@ -78,3 +79,13 @@ def test_finished_sum_tells_changes_and_not_order(spark):
     first = sums(one)
     assert first == sums(one[::-1]) and first["b"] == (0, 0) and first["a"][0] == 2 and first[None][0] == 1
     assert sums([*one[:2], ("a", 3, "done"), *one[3:]])["a"] != first["a"]
+
+
+def test_stream_end_adds_the_last_step(spark):
+    times = spark.createDataFrame([("a", 0.0), ("a", 3.5), ("a", 3.0), ("b", 2.0), (None, 1.0), (None, 3.0)], "k string, t double")
+    assert {tuple(r) for r in sequences.stream_end(times, "k", "t").collect()} == {("a", 4.0), ("b", 2.0), (None, 5.0)}
+
+
+def test_rows_of_lost_files_go(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (4, "x")], "id int, stored_path string")
+    assert sorted(r.id for r in files.without_lost(rows, spark.createDataFrame([("x",), ("x",), ("z",)], "path string")).collect()) == [1, 4]
