@@ -88,7 +88,7 @@ ORACLE_SQL = {
     "scoped_scenes": """
         SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS scene,
                l_partkey, l_quantity + l_linenumber - l_quantity AS duration, l_quantity AS position, base64(encode(l_returnflag)) AS payload
-        FROM lineitem WHERE l_orderkey % 100 = 7""",
+        FROM lineitem""",
     "scene_of_clip": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber = 3 AND l_orderkey = 7",
     "player_seeks": """
         SELECT DISTINCT l_linenumber, l_quantity, 1.0::DOUBLE / CASE WHEN l_linenumber % 3 = 0 AND l_quantity > 0 THEN l_quantity ELSE 30 END AS frame,

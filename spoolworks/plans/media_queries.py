@@ -188,9 +188,9 @@ _RATIONAL = "CASE WHEN contains({0}, '/') AND try_cast(split_part({0}, '/', 2) A
 ORACLE_SQL = {
     "energy_scores": _ENERGY,
     "energy_spread": f"SELECT min(energy_score) AS least, max(energy_score) AS most, round(max(energy_score) - min(energy_score), 2) AS spread, greatest(0.0001::DOUBLE, max(audio_energy)) AS loudest FROM ({_ENERGY})",
-    "candidate_timestamps": """SELECT event_id, (i - 1)::INT AS pos, round(value + 5.0::DOUBLE * i / 4, 6) AS at FROM events, range(1, 4) AS t(i) WHERE event_id % 10 = 0""",
+    "candidate_timestamps": """SELECT event_id, (i - 1)::INT AS pos, round(value + 5.0::DOUBLE * i / 4, 6) AS at FROM events, range(1, 4) AS t(i)""",
     "sample_indices": """
-        WITH s AS (SELECT event_id, round_even(value * 30, 0)::BIGINT AS first, round_even((value + event_id % 3 * 0.5::DOUBLE) * 30, 0)::BIGINT AS last FROM events WHERE event_id % 10 = 0),
+        WITH s AS (SELECT event_id, round_even(value * 30, 0)::BIGINT AS first, round_even((value + event_id % 3 * 0.5::DOUBLE) * 30, 0)::BIGINT AS last FROM events),
         k AS (SELECT event_id, first, greatest(first + 1, last) AS last, greatest(2, least(8, greatest(first + 1, last) - first + 1)) AS n FROM s)
         SELECT DISTINCT event_id, round_even(first + (last - first) * i / (n - 1)::DOUBLE, 0)::BIGINT AS frame FROM k, range(8) AS t(i) WHERE i < n""",
     "media_arithmetic": """
@@ -210,7 +210,7 @@ ORACLE_SQL = {
     "latest_job_state": "SELECT user_id, event_id, event_type, value FROM events WHERE event_id % 2 = 0 OR event_type <> 'ping' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "monotone_progress": "SELECT user_id, event_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, max(value / 100) OVER (PARTITION BY user_id ORDER BY event_id))) AS progress FROM events",
     "monotone_check": """SELECT user_id, bool_and(ok) AS monotone FROM (
-        SELECT user_id, coalesce(value >= lag(value) OVER (PARTITION BY user_id ORDER BY event_id), true) AS ok FROM events WHERE event_id % 40 = 0) GROUP BY user_id""",
+        SELECT user_id, coalesce(value >= lag(value) OVER (PARTITION BY user_id ORDER BY event_id), true) AS ok FROM events) GROUP BY user_id""",
     "sparkline_segments": """
         WITH p AS (SELECT user_id, event_id, CASE WHEN event_id % 7 <> 3 THEN value END AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
         q AS (SELECT *, greatest(0.0001::DOUBLE, max(y) OVER (PARTITION BY user_id)) AS top, count(*) FILTER (y IS NULL) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM p)

@@ -211,7 +211,7 @@ ORACLE_SQL = {
     "plan_prompts": """SELECT * FROM (VALUES ('01', 'First', false, 0, 'Base Camp', 'not stated', 'Spark,SQL', 'one goes on;two'), ('02', 'Second', true, 1, 'Long Way', '3 weeks', 'Arrow', ''))
         AS t(id, name, review_required, wave, wave_title, timeline, tech, deliverables)""",
     "clip_neighbours": """WITH t AS (SELECT user_id, event_id AS moment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame FROM events)
-        SELECT event_id, (event_id % 90)::INT AS frame, coalesce(abs(moment - event_id)::DOUBLE, 1e308::DOUBLE) AS error FROM events e LEFT JOIN t ON t.user_id = e.user_id AND t.frame = event_id % 90 WHERE event_id % 10 = 0""",
+        SELECT event_id, (event_id % 90)::INT AS frame, coalesce(abs(moment - event_id)::DOUBLE, 1e308::DOUBLE) AS error FROM events e LEFT JOIN t ON t.user_id = e.user_id AND t.frame = event_id % 90""",
     "plan_lookup": """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE -1 END AS wave, CASE o_orderpriority WHEN '1-URGENT' THEN 'now' WHEN '2-HIGH' THEN 'soon' ELSE 'Unassigned' END AS title FROM orders""",
     "model_replies": "SELECT * FROM (VALUES (0, true, 'lift', 'high'), (1, false, NULL, NULL), (2, true, NULL, NULL), (3, false, NULL, NULL), (4, false, NULL, NULL), (5, false, NULL, NULL)) AS t(id, usable, content_type, energy_level)",
     "prompt_metrics": "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN printf('%.2f', p_size / 4 + 0.001::DOUBLE) ELSE 'not measured' END AS metric FROM part",
