@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolworks.llm.decontamination import contaminated
-from spoolworks.llm.language_id import UNDETERMINED, learn, pieces, predict
+from spoolworks.llm.language_id import UNDETERMINED, VOCABULARY, learn, pieces, predict
 from spoolworks.llm.mixing import mix
 from spoolworks.llm.near_dedup import near_duplicates
 from spoolworks.llm.sharding import shard
@@ -29,10 +29,11 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Documents with a language: texts without a letter go, and those no learned language has half the probability of.
-    In practice only the former: the probability of a whole text is near 1 after a few words."""
-    model = learn(docs, pieces(), "doc_id", "text", "lang")
+    In practice only the former: the probability of a whole text is near 1 after a few words. `vocabulary` is a file on
+    the driver's disk."""
+    model = learn(docs, pieces(vocabulary), "doc_id", "text", "lang")
     found = predict(docs, model, lang_col="__lang", score_col="__share")
     return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__share") >= LEAST_SHARE)).select(*docs.columns)
 

@@ -14,10 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder;
+    on a cluster each executor would write to a disk of its own, so that is an error."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.spoolworks.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spoolworks-')}"
         spark.conf.set("spark.spoolworks.shared.dir", where)
     return where
@@ -26,10 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` computed once, kept as a Parquet table in the shared folder, and read from there.
 
-    Lineage ends at that table, so a lost executor costs a reread and no recomputation.
+    Lineage ends at that table, so a lost executor costs a reread and no recomputation. The table stays; `Scratch`
+    can remove its tables.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, name)
+
+
+class Scratch:
+    """Written tables of one computation, by name. `remove` those that neither a later step nor the result reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        schema = df.schema
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(schema).parquet(path)
+
+    def remove(self, *names: str) -> None:
+        java = self.spark.sparkContext._jvm
+        for name in names:
+            path = java.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
