@@ -31,8 +31,11 @@ FLOOR = 0.1
 KNOWN_WORDS = 300_000
 UNDETERMINED = "und"
 WORD_START = "▁"
-#: Marked words longer than this are counted in logarithms, so many characters at a time.
-LONG_WORD, LONG_CHARACTERS = 60, 100_000
+#: Marked words longer than this go alone.
+LONG_WORD = 200
+# Odd multipliers of the hashes.
+BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+FILTER_BITS = 20
 
 
 def pieces(path: str = VOCABULARY) -> list[str]:
@@ -53,27 +56,84 @@ def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
+def code_points(words: list[str]) -> np.ndarray:
+    """Words of one length as a matrix, a row a word."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+
+
+def prefix_hashes(codes: np.ndarray) -> np.ndarray:
+    """Polynomial hashes modulo 2**64 of all beginnings, a row for each length from 0."""
+    out = np.zeros((codes.shape[1] + 1, len(codes)), np.uint64)
+    for i in range(codes.shape[1]):
+        out[i + 1] = out[i] * BASE + (codes[:, i].astype(np.uint64) + np.uint64(1))
+    return out
+
+
+#: (start, end, words, pieces): in these words the stretch from start to end is this piece.
+Place = tuple[int, int, np.ndarray, np.ndarray]
+
+
 class Lattices:
-    """Segmentation lattices of words over a vocabulary: piece number, or `unknown` for a character outside it."""
+    """Segmentation lattices of words over a vocabulary: the pieces that stand in a word, and where.
+
+    A character outside the vocabulary is the piece `unknown`; `none` stands for no piece. A stretch is looked up by
+    its 64-bit hash for all words of one length at once. Words of more than `LONG_WORD` characters go alone, place by place.
+    """
 
     def __init__(self, vocabulary: list[str]):
-        self.number = {p: i for i, p in enumerate(vocabulary)}
         self.longest = max(map(len, vocabulary), default=1)
-        self.unknown = len(vocabulary)
-        self.none = self.unknown + 1
-
-    def edges(self, marked: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, end, piece number of each word) for words of one length, in the order of the ends."""
-        get, none = self.number.get, self.none
-        length = len(marked[0])
-        for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
-                ids = np.fromiter((get(w[start:end], none) for w in marked), np.int64, len(marked))
+        self.unknown, self.none = len(vocabulary), len(vocabulary) + 1
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i, p in enumerate(vocabulary):
+            by_length[len(p)].append(i)
+        hashes = np.zeros(len(vocabulary), np.uint64)
+        for members in by_length.values():
+            hashes[members] = prefix_hashes(code_points([vocabulary[i] for i in members]))[-1]
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE)]), dtype=np.uint64)
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self._slots(hashes)] = True
+
+    @staticmethod
+    def _slots(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * SPREAD) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+    def _found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, pieces) of the hashes that are pieces."""
+        near = np.flatnonzero(self.filter[self._slots(hashes)])
+        if not len(near):
+            return near, near
+        at = np.minimum(np.searchsorted(self.hashes, hashes[near]), len(self.hashes) - 1)
+        good = self.hashes[at] == hashes[near]
+        return near[good], self.order[at[good]]
+
+    def places(self, marked: list[str]) -> Iterator[Place]:
+        """The lattices of words of one length, in the order of the ends."""
+        before = prefix_hashes(code_points(marked))
+        count = len(marked)
+        every = np.arange(count)
+        for end in range(1, len(before)):
+            first = max(0, end - self.longest)
+            at, ids = self._found((before[end] - before[first:end] * self.power[end - first : 0 : -1, None]).ravel())
+            cuts = np.searchsorted(at, np.arange(end - first + 1) * count)
+            for start, low, high in zip(range(first, end), cuts, cuts[1:], strict=False):
                 if end == start + 1:
-                    ids[ids == none] = self.unknown
-                elif (ids == none).all():
-                    continue
-                yield start, end, ids
+                    pieces = np.full(count, self.unknown)
+                    pieces[at[low:high] % count] = ids[low:high]
+                    yield start, end, every, pieces
+                elif low < high:
+                    yield start, end, at[low:high] % count, ids[low:high]
+
+    def along(self, marked: str) -> np.ndarray:
+        """The lattice of one word: for each place, the piece of each length that ends there."""
+        before = prefix_hashes_of_one(marked)
+        ids = np.full((len(marked), self.longest), self.none, np.int32)
+        ids[:, 0] = self.unknown
+        for length in range(1, min(self.longest, len(marked)) + 1):
+            rows, found = self._found(before[length:] - before[:-length] * self.power[length])
+            ids[rows + length - 1, length - 1] = found
+        return ids
 
     def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """The log of the summed probability of all segmentations, a row a word and a column a language.
@@ -81,74 +141,111 @@ class Lattices:
         `table` has a row for each piece, one for unknown characters and one of zeros.
         """
         out = np.empty((len(words), table.shape[1]))
-        groups: dict[int, list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            groups[len(w) + 1].append(i)
-        for length, members in groups.items():
-            marked = [WORD_START + words[i] for i in members]
-            ring = {0: np.ones((len(members), table.shape[1]))}
-            scale, at = np.zeros((len(members), 1)), 0
-            for start, end, ids in self.edges(marked):
-                if end > at:
-                    # Long words are rescaled now and then, over the window that later ends still read.
-                    if at and at % 8 == 0:
-                        peak = ring[at].max(axis=1, keepdims=True)
-                        for k in ring:
-                            ring[k] = ring[k] / peak
-                        scale += np.log(peak)
-                    ring.pop(end - self.longest - 1, None)
-                    ring[end], at = np.zeros_like(ring[0 if at == 0 else at]), end
-                ring[end] += ring[start] * table[ids]
-            out[members] = np.log(np.maximum(ring[length], 1e-300)) + scale
-        return out
-
-    def grouped(self, words: list[str]) -> list[tuple[np.ndarray, int, list]]:
-        """(positions in `words`, length, edges) for each length of word; long words themselves instead of their edges,
-        which would be held all at once."""
-        groups: dict[int, list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            groups[len(w) + 1].append(i)
-        found: list[tuple[np.ndarray, int, list]] = []
-        for n, g in groups.items():
-            if n <= LONG_WORD:
-                found.append((np.array(g), n, list(self.edges([WORD_START + words[i] for i in g]))))
+        for members, marked in marked_groups(words):
+            if len(marked[0]) > LONG_WORD:
+                out[members] = [sums_along(self.along(w), table)[-1] for w in marked]
             else:
-                many = max(1, LONG_CHARACTERS // n)
-                found += [(np.array(part := g[i : i + many]), n, [WORD_START + words[j] for j in part]) for i in range(0, len(g), many)]
-        return found
+                out[members] = sums(self.places(marked), len(marked), len(marked[0]), self.longest, table)[-1]
+        return out
 
-    def long_counts(self, counts: np.ndarray, marked: list[str], length: int, weights: np.ndarray, column: np.ndarray) -> None:
-        """Adds the expected counts of words of any one length, in logarithms, which do not run out of range."""
+    def expected_counts(self, lattices: list, weights: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """How often each piece is used in the segmentations of the weighted words, under one language's column.
+        lattices: (members, length, places) of `held()`."""
+        counts = np.zeros(len(column))
+        table = column[:, None]
         with np.errstate(divide="ignore"):
             costs = np.log(column)
-        ahead, back = np.full((length + 1, len(marked)), -np.inf), np.full((length + 1, len(marked)), -np.inf)
-        ahead[0], back[length] = 0, 0
-        edges = list(self.edges(marked))
-        for start, end, ids in edges:
-            ahead[end] = np.logaddexp(ahead[end], ahead[start] + costs[ids])
-        for start, end, ids in reversed(edges):
-            back[start] = np.logaddexp(back[start], back[end] + costs[ids])
-        for start, end, ids in edges:
-            np.add.at(counts, ids, np.exp(ahead[start] + costs[ids] + back[end] - ahead[length]) * weights)
-
-    def expected_counts(self, grouped: list, weights: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """How often each piece is used in the segmentations of the weighted words, under one language's column."""
-        counts = np.zeros(len(column))
-        for members, length, edges in grouped:
-            if length > LONG_WORD:
-                self.long_counts(counts, edges, length, weights[members], column)
+        for members, length, found in lattices:
+            if isinstance(found, np.ndarray):
+                back_ids = np.full_like(found, self.none)
+                for k in range(min(self.longest, length)):
+                    back_ids[: length - k, k] = found[k:, k]
+                ahead, back = sums_along(found, table)[:, 0], sums_along(back_ids[::-1], table)[::-1, 0]
+                for k in range(min(self.longest, length)):
+                    ids = found[k:, k]
+                    share = np.exp(ahead[: length - k] + costs[ids] + back[k + 1 :] - ahead[length])
+                    np.add.at(counts, ids, share * weights[members])
                 continue
-            ahead, back = np.zeros((length + 1, len(members))), np.zeros((length + 1, len(members)))
-            ahead[0], back[length] = 1, 1
-            for start, end, ids in edges:
-                ahead[end] += ahead[start] * column[ids]
-            for start, end, ids in reversed(edges):
-                back[start] += back[end] * column[ids]
-            per_word = weights[members] / np.maximum(ahead[length], 1e-300)
-            for start, end, ids in edges:
-                np.add.at(counts, ids, ahead[start] * column[ids] * back[end] * per_word)
+            mirrored = sorted(((length - end, length - start, rows, ids) for start, end, rows, ids in found), key=lambda p: p[1])
+            ahead = sums(iter(found), len(members), length, self.longest, table)[:, :, 0]
+            back = sums(iter(mirrored), len(members), length, self.longest, table)[::-1, :, 0]
+            for start, end, rows, ids in found:
+                share = np.exp(ahead[start, rows] + costs[ids] + back[end, rows] - ahead[length, rows])
+                np.add.at(counts, ids, share * weights[members[rows]])
+        counts[self.none] = 0
         return counts
 
+    def held(self, words: list[str]) -> list[tuple]:
+        """The lattices of `words`, kept: (members, length, places), or (member, length, pieces along it) of a long one."""
+        found: list[tuple] = []
+        for members, marked in marked_groups(words):
+            if len(marked[0]) > LONG_WORD:
+                found += [(members[i : i + 1], len(w), self.along(w)) for i, w in enumerate(marked)]
+            else:
+                found.append((members, len(marked[0]), list(self.places(marked))))
+        return found
+
+
+def prefix_hashes_of_one(word: str) -> np.ndarray:
+    """prefix_hashes() of one word of any length, as a vector."""
+    codes, out, value = code_points([word])[0].tolist(), [0], 0
+    for c in codes:
+        value = (value * int(BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
+        out.append(value)
+    return np.array(out, np.uint64)
+
+
+def marked_groups(words: list[str], most: int = 4096) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(positions, words with the mark of a word's start) for each length of word, so many at a time."""
+    groups: dict[int, list[int]] = defaultdict(list)
+    for i, w in enumerate(words):
+        groups[len(w)].append(i)
+    for members in groups.values():
+        for first in range(0, len(members), most):
+            part = members[first : first + most]
+            yield np.array(part), [WORD_START + words[i] for i in part]
+
+
+def sums(places: Iterator[Place], count: int, length: int, longest: int, table: np.ndarray) -> np.ndarray:
+    """The forward algorithm: logs of the summed probabilities up to each place, [place, word, language].
+
+    Now and then the window that later places still read is scaled to the last place, so no word runs out of range.
+    """
+    ahead, logs = np.zeros((length + 1, count, table.shape[1])), np.zeros((length + 1, count, table.shape[1]))
+    ahead[0] = 1
+    scale, at = np.zeros((count, table.shape[1])), 0
+    for start, end, rows, ids in places:
+        if end != at:
+            if at:
+                logs[at] = np.log(ahead[at]) + scale
+                if at % 8 == 0:
+                    peak = ahead[at].copy()
+                    ahead[max(0, at - longest) : at + 1] /= peak
+                    scale += np.log(peak)
+            at = end
+        ahead[end, rows] += ahead[start, rows] * table[ids]
+    logs[length] = np.log(ahead[length]) + scale
+    return logs
+
+
+def sums_along(ids: np.ndarray, table: np.ndarray, step: int = 4096) -> np.ndarray:
+    """sums() of one word given by the pieces along it, [place, language]: time in proportion to its length."""
+    length, longest = ids.shape
+    logs = np.zeros((length + 1, table.shape[1]))
+    window, scale = np.zeros((longest, table.shape[1])), np.zeros(table.shape[1])
+    window[0] = 1
+    for first in range(0, length, step):
+        chances = table[ids[first : first + step]]
+        for i, chance in enumerate(chances):
+            new = (window * chance).sum(axis=0)
+            window[1:] = window[:-1]
+            window[0] = new
+            logs[first + i + 1] = np.log(new) + scale
+            if i % 8 == 7:
+                window /= new
+                scale = scale + np.log(new)
+    return logs
+
 
 class Model:
     """Languages and the piece probabilities of each."""
@@ -157,53 +254,62 @@ class Model:
         self.languages, self.vocabulary, self.table = languages, vocabulary, table
 
     def predictor(self):
-        """A function from a text to (language, probability) that keeps the scores of words it has seen."""
-        lattices, known, rows = Lattices(self.vocabulary), {}, []
+        """A function from texts to (language, probability) that keeps the scores of words it has seen, but for long ones."""
+        lattices, known = Lattices(self.vocabulary), {}
+        rows = np.empty((0, len(self.languages)))
 
         def predict(texts: list[str | None]) -> Iterator[tuple[str, float]]:
             nonlocal rows
             split = [words_of(t) for t in texts]
-            new = list(set().union(*split) - known.keys())
-            if len(known) + len(new) > KNOWN_WORDS:
+            every = set().union(*split)
+            if len(known) + len(every) > KNOWN_WORDS:
                 known.clear()
-                rows, new = [], list(set().union(*split))
+                rows = rows[:0]
+            new = sorted(every - known.keys(), key=len)
             if new:
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                rows = [np.concatenate([*rows, lattices.log_probabilities(new, self.table)])]
+                rows = np.concatenate([rows, lattices.log_probabilities(new, self.table)])
             for text, found in zip(texts, split, strict=True):
                 if not self.languages or not text or not has_letter(text):
                     yield UNDETERMINED, 0.0
                     continue
-                total = rows[0][np.fromiter(map(known.__getitem__, found), np.int64, len(found))].sum(axis=0)
+                total = rows[np.fromiter(map(known.__getitem__, found), np.int64, len(found))].sum(axis=0)
                 shares = np.exp(total - total.max())
                 best = int(np.argmax(total))
                 yield self.languages[best], float(shares[best] / shares.sum())
+            while new and len(new[-1]) > LONG_WORD:
+                del known[new.pop()]
+            rows = rows[: len(known)]
 
         return predict
 
 
-def fit(counted: dict[str, list[tuple[str, int]]], vocabulary: list[str], rounds: int = ROUNDS) -> Model:
-    """The model of word counts by language."""
-    lattices, languages = Lattices(vocabulary), sorted(counted)
+def piece_counts(words: list[str], numbers: np.ndarray, vocabulary: list[str], rounds: int = ROUNDS) -> np.ndarray:
+    """Expectation-maximisation: how often each piece is used in words that occur `numbers` times each."""
+    lattices = Lattices(vocabulary)
+    held = lattices.held(words)
+    # A long piece starts as likely as a short one, so one piece beats two.
+    column = np.full(lattices.none + 1, 1.0 / lattices.none)
+    column[lattices.none] = 0
+    counts = np.zeros(len(column))
+    for _ in range(rounds):
+        counts = lattices.expected_counts(held, numbers, column)
+        column = (counts + 1e-3) / (counts + 1e-3).sum()
+        column[lattices.none] = 0
+    return counts
+
+
+def fit(counts: dict[str, np.ndarray], vocabulary: list[str]) -> Model:
+    """The model of piece counts by language: each is smoothed by the mean over languages."""
+    languages = sorted(counts)
     if not languages:
         return Model([], vocabulary, np.zeros((len(vocabulary) + 2, 0)))
-    columns = []
-    for language in languages:
-        grouped, weights = lattices.grouped([w for w, _ in counted[language]]), np.array([float(n) for _, n in counted[language]])
-        # A long piece starts as likely as a short one, so one piece beats two.
-        column = np.full(lattices.none + 1, 1.0 / lattices.none)
-        column[lattices.none] = 0
-        for _ in range(rounds):
-            counts = lattices.expected_counts(grouped, weights, column)
-            counts[lattices.none] = 0
-            column = (counts + 1e-3) / (counts + 1e-3).sum()
-            column[lattices.none] = 0
-        columns.append(counts)
+    columns = [counts[language] for language in languages]
     mean = sum(c / max(c.sum(), 1) for c in columns) / len(columns)
     mean = mean * 1e5 + FLOOR
     mean /= mean.sum()
     table = np.stack([(c + SMOOTHING * mean) / (c.sum() + SMOOTHING) for c in columns], axis=1)
-    table[lattices.none] = 0
+    table[-1] = 0
     return Model(languages, vocabulary, table)
 
 
@@ -214,7 +320,8 @@ def held_out(id_col: Column) -> Column:
 
 def learn(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCUMENTS, most_words: int = SAMPLE_WORDS) -> Model:
     """The model of a bounded sample of `docs`: about `per_language` rows of each language by the hash of their ids,
-    and the `most_words` most frequent words of each. Only these counts reach the driver."""
+    and the `most_words` most frequent words of each. A task fits each language; a number for each piece and language, and
+    the rows of each language, reach the driver. Languages are taken to be thousands at most."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
     sizes = [(r.l, min(1.0, per_language / r["count"])) for r in own.groupBy("l").count().collect()]
@@ -232,10 +339,15 @@ def learn(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str, la
 
     counted = sample.mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= most_words)
-    words: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    for r in top.orderBy("l", "r").collect():
-        words[r.l].append((r.w, r.n))
-    return fit(words, vocabulary)
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def train(key: tuple, group: pa.Table) -> pa.Table:
+        counts = piece_counts(group.column("w").to_pylist(), group.column("n").to_numpy().astype(float), shared.value)
+        return pa.table({"l": pa.array([key[0].as_py()], pa.string()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    trained = top.select("l", "w", "n").groupBy("l").applyInArrow(train, "l string, counts binary").collect()
+    shared.destroy()
+    return fit({r.l: np.frombuffer(r.counts) for r in trained}, vocabulary)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

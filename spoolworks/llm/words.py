@@ -17,11 +17,17 @@ WIDTH = 5
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of `rows` rows at most, so that only so many texts are Python objects at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of `rows` rows and `size` bytes at most (a row alone may be larger), so that only so much
+    text is Python objects at a time."""
     for batch in batches:
-        for first in range(0, batch.num_rows, rows):
-            yield batch.slice(first, rows)
+        first = 0
+        while first < batch.num_rows:
+            count = min(rows, batch.num_rows - first)
+            while count > 1 and batch.slice(first, count).nbytes > size:
+                count //= 2
+            yield batch.slice(first, count)
+            first += count
 
 
 def words(text: bytes | None) -> list[bytes]:
