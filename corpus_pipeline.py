@@ -6,8 +6,10 @@ more columns than they know; names that start with `__` are theirs. Each row is
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spoolworks.llm.decontamination import contaminated
 from spoolworks.llm.language_id import UNDETERMINED, VOCABULARY, learn, pieces, predict
@@ -25,8 +27,14 @@ ROW = "__row"
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """`docs` with a key of each row's own. Written first, so that every later read sees the same keys."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """`docs` with a key of each row's own that is the same in every read: the number of its file and its place there.
+    Rows that come from no file are written first."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    files = written(placed.select("__file").distinct().withColumn("__n", F.row_number().over(Window.orderBy("__file"))), name)
+    return placed.join(files, "__file").withColumn(ROW, F.col("__n") * (1 << 40) + F.col("__at")).drop("__file", "__at", "__n")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
