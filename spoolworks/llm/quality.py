@@ -1,8 +1,9 @@
 """Quality classifier: Naive Bayes support vectors (Wang and Manning, 2012).
 
-A text's features are indicators of its byte n-grams, hashed, and of n-grams of the symbol "the same word again"
-(n = 1, 2, 4, ...), which no fixed word can stand for. Each is scaled by the log of the ratio of its shares in the two classes; a linear hinge-loss model on the scaled indicators of unit length is fitted by dual coordinate descent
-(Hsieh et al., 2008). The class counts behind the ratios come from every labelled row that may be learned from; the
+A text's features are indicators of n-grams of two sequences: its bytes (n = 1 to 4, hashed), and its words written as
+the symbols "same as the word before" and "another word" (runs of the first, n = 1, 2, 4, ...), which byte n-grams of
+bounded length can't express. Each is scaled by the log of the ratio of its shares in the two classes; a linear
+hinge-loss model on the scaled indicators of unit length is fitted by dual coordinate descent (Hsieh et al., 2008). The class counts behind the ratios come from every labelled row that may be learned from; the
 linear model is fitted on a bounded sample of them. Margins become scores by a logistic curve (Platt, 1999).
 """
 
@@ -15,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from spoolworks.llm.words import slices
 
 ORDERS = (1, 2, 3, 4)
 BITS = 18
-#: Bound of what the linear model is fitted on: rows of each class, and distinct features that a row gives to it.
+#: Bounds of what the linear model is fitted on: rows of each class, and bytes of their features on the driver (four a
+#: distinct feature). Long texts lower the number of rows, never the features of a row.
 SAMPLE_ROWS = 2500
+SAMPLE_BYTES = 64 << 20
 PENALTY = 1.0
 EPOCHS = 12
 #: The last features are not hashed to: a run of 2**i words that equal the word before.
@@ -129,10 +133,11 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def learn(plain: DataFrame, marked: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BITS, sample_rows: int = SAMPLE_ROWS) -> Model:
+def learn(plain: DataFrame, marked: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """The model of `plain` (id, text) and `marked` (id, label 0 or 1). Every labelled row counts in the ratios; about
-    `sample_rows` rows of each class, chosen by the hash of their ids, fit the linear model on the driver. The sample
-    is drawn from the labels, so its ids are few enough to be broadcast to the texts."""
+    `sample_rows` rows of each class, chosen by the hash of their ids, fit the linear model on the driver, fewer if their
+    features take more than `sample_bytes`. The sample is drawn from the labels, so its ids are few enough to be
+    broadcast to the texts."""
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +174,11 @@ def learn(plain: DataFrame, marked: DataFrame, orders: tuple[int, ...] = ORDERS,
     place = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
     chosen = marked.where(place < F.when(F.col("label") == 1, float(shares[1])).otherwise(float(shares[0])))
     drawn = plain.join(F.broadcast(chosen), "id").select("id", "text", "label")
-    sample = drawn.mapInArrow(draw, StructType([drawn.schema["id"], StructField("label", IntegerType())]).add("grams", "binary")).toPandas().sort_values("id")
+    offered = drawn.mapInArrow(draw, StructType([drawn.schema["id"], StructField("label", IntegerType())]).add("grams", "binary"))
+    # Not more rows than the sample has meet in this window. Either class gets half of the bytes, and the first row at least.
+    so_far = Window.partitionBy("label").orderBy(place, "id", "grams")
+    bounded = offered.withColumn("n", F.row_number().over(so_far)).withColumn("bytes", F.sum(F.octet_length("grams")).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sample = bounded.where((F.col("bytes") <= sample_bytes // 2) | (F.col("n") == 1)).select("id", "label", "grams").toPandas().sort_values("id")
     if sample.label.nunique() < 2:
         return Model(scale, np.append(scale, 0.0), (1.0, float(np.log(rows[1] / rows[0]))), orders, bits)
     found, labels = [np.frombuffer(g, np.int32) for g in sample.grams], sample.label.to_numpy()
@@ -184,7 +193,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Every row of `docs` as (doc_id, held_out, score, predicted), learned from the rows of `labels` not held out.
 
     Texts alone are scored; a null or empty text scores what the intercept gives. Rows whose label is neither 0 nor 1
-    and rows of null ids are not learned from; without labels everything scores 0.5 and is predicted 1. Repeated rows
+    and rows of null ids are not learned from; a text counts once for each row of its id in the labels, and each row of
+    a repeated id with its own text; without labels everything scores 0.5 and is predicted 1. Repeated rows
     score alike. An empty table gives no rows; other columns are left behind.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
