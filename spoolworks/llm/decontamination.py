@@ -151,7 +151,7 @@ def _by_join(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
                 ids += [item] * len(found)
                 values += found.tolist()
                 least += [required(len(shingles_as_bytes(words(text))), percent)] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.int64()), pa.array(least, pa.int64())], ["item_id", "value", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.int64()), pa.array(least, pa.int64())], ["item", "value", "least"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = passing.value
@@ -160,7 +160,7 @@ def _by_join(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
                 found = np.unique(shingle_hashes(words(text)))
                 place = found & ((1 << JOIN_FILTER_BITS) - 1)
                 near = found[(packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(near), pa.int64()), pa.array(near), pa.array([len(found)] * len(near), pa.int64())], ["doc_id", "value", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(near), pa.int64()), pa.array(near), pa.array([len(found)] * len(near), pa.int64())], ["doc", "value", "n"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -174,14 +174,16 @@ def _by_join(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
                     rows.append((doc, item, len(need), count))
             yield _match_rows(rows)
 
-    sketched = written(items.mapInArrow(sketch, "item_id long, value long, least long"), "item-sketches")
+    # Rows are told apart by the hash of all they hold, so null and repeated ids are no hot keys; verify() sees the texts.
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    items = items.withColumn("row", F.xxhash64("item_id", "text"))
+    sketched = written(items.select("row", "text").mapInArrow(sketch, "item long, value long, least long"), "item-sketches")
     passing = docs.sparkSession.sparkContext.broadcast(_filter_of(sketched, JOIN_FILTER_BITS))
-    spread_out = docs.mapInArrow(spread, "doc_id long, value long, n long")
-    pairs = spread_out.join(sketched, "value").where("n >= least").select("doc_id", "item_id").distinct()
-    # Null ids are matched too, as where the benchmark is broadcast.
-    texts = docs.select(F.col("doc_id").alias("d"), "text")
-    wanted = items.select(F.col("item_id").alias("i"), F.col("text").alias("wanted"))
-    both = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).join(wanted, F.col("item_id").eqNullSafe(F.col("i")))
+    spread_out = docs.select("row", "text").mapInArrow(spread, "doc long, value long, n long")
+    pairs = spread_out.join(sketched, "value").where("n >= least").select("doc", "item").distinct()
+    texts = docs.select(F.col("row").alias("doc"), "doc_id", "text")
+    wanted = items.select(F.col("row").alias("item"), "item_id", F.col("text").alias("wanted"))
+    both = pairs.join(texts, "doc").join(wanted, "item")
     return both.select("doc_id", "item_id", "text", "wanted").mapInArrow(verify, MATCHES)
 
 
@@ -199,8 +201,8 @@ def contaminated(
 
     An item is contained when at least `percent` of its distinct five-word shingles are among the document's; with
     fewer words, its whole sequence is its one shingle, and a document counts as holding it only if the document is
-    that sequence. Items and documents that are null, empty or without words match nothing. Rows that repeat an id
-    are matched each; repeated items give repeated rows. Empty tables give no rows; other columns are left behind.
+    that sequence. Items and documents that are null, empty or without words match nothing. Null ids are ids. Rows that
+    repeat an id are matched each by their own text; repeated items give repeated rows. Empty tables give no rows; other columns are left behind.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoolworks.llm.skew import hot_keys, spread_join
 from spoolworks.sources.tables import written
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -37,7 +38,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
     shared = classes.groupBy("hash").agg(F.count("*").alias("texts")).where("texts > 1").select("hash")
     if shared.isEmpty():
-        return hashed.select("doc_id", "hash").join(classes, "hash").select(*found)
+        # A class of very many copies is known by its size, and its rows are dealt over many tasks.
+        hot = hot_keys(classes.select("hash", F.col("group_size").alias("rows")), ["hash"])
+        return spread_join(hashed.select("doc_id", "hash"), classes, hot, ["hash"], ["doc_id"]).select(*found)
     # A collision of MD5: these hashes are told apart by the SHA-256 of the texts, of which classes has one each.
     sided = hashed.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)).drop("norm")
     return sided.join(classes, ["hash", "text_sha256"]).select(*found)

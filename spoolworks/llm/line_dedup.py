@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from spoolworks.llm.perfect_hash import PerfectHash
 from spoolworks.llm.words import slices
-from spoolworks.sources.tables import written
+from spoolworks.sources.tables import Scratch, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 SHORTEST = 10
@@ -135,12 +135,18 @@ def drop_repeated_lines(docs: DataFrame, shortest: int = SHORTEST, id_col: str =
     id are no document: they keep all lines and take none from others. Other columns are left behind.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hashes = written(line_hashes(plain.where("doc_id IS NOT NULL"), shortest), "line-hashes")
+    scratch = Scratch(docs.sparkSession)
+    hashes = scratch.written(line_hashes(plain.where("doc_id IS NOT NULL"), shortest), "line-hashes")
     counted = hashes.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"))
-    repeated = written(counted.where("owner < top").drop("top"), "repeated-lines")
+    repeated = scratch.written(counted.where("owner < top").drop("top"), "repeated-lines")
     index, shards = build_index(repeated)
-    lost = probe(hashes, written(index, "line-index"), shards).groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
-    both = plain.join(lost, "doc_id", "left").select("doc_id", "text", "lost")
+    index = scratch.written(index, "line-index")
+    scratch.remove("repeated-lines")
+    lost = scratch.written(probe(hashes, index, shards).groupBy("doc_id").agg(F.collect_set("key").alias("lost")), "lost-lines")
+    scratch.remove("line-hashes", "line-index")
+    # Null ids lose nothing, so they stay out of the join, where they would be one key.
+    both = plain.where("doc_id IS NOT NULL").join(lost, "doc_id", "left").select("doc_id", "text", "lost")
+    both = both.union(plain.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("lost")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

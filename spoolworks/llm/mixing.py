@@ -21,8 +21,8 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 BLOCK = 128
 RESERVE = 512
-#: Parts that a source is dealt into, so a large one is numbered by many tasks.
-PARTS = 256
+#: A source is dealt into 16 ** n parts, two at least, so that a part of all rows has about so many: tasks number them.
+ROWS_OF_A_PART = 1 << 22
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -114,7 +114,7 @@ def mix(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(PARTS)).cast("int").alias("part"),
+            F.xxhash64(F.col(id_col)).alias("dealt"),
             *own,
         ),
         "sizes",
@@ -122,10 +122,15 @@ def mix(
     shares = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most), "targets")
     # Documents are numbered in each part of a source, so no task sees a source whole. The part of a repeated id is
     # one, its numbers differ.
+    rounds, many = 2, sized.count()
+    while many > ROWS_OF_A_PART * 16**rounds:
+        rounds += 1
     inside = Window.partitionBy("source", "part").orderBy(F.desc("size"), "doc_id", *own)
     times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     placed = written(
-        sized.withColumn("place", F.row_number().over(inside).cast("long") - 1)
+        sized.withColumn("part", F.pmod("dealt", F.lit(16**rounds)).cast("int"))
+        .drop("dealt")
+        .withColumn("place", F.row_number().over(inside).cast("long") - 1)
         .join(shares.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named")))
         .drop("named")
         .withColumn("times", times)
@@ -143,12 +148,12 @@ def mix(
     level_rows = level_rows.where("NOT reserved").drop("reserved")
     deepest = placed.agg(F.max("place")).first()[0] or 0
     settled, depth = [], 0
-    # Blocks of BLOCK in a part, blocks of those blocks, ... until a part has one; then the parts themselves.
+    # Blocks of BLOCK in a part, blocks of those blocks, ... until a part has one; then 16 parts at a time.
     spans = []
     while deepest >= BLOCK:
         spans.append("part")
         deepest //= BLOCK
-    spans += ["part", "parts", "source", "reserve"]
+    spans += ["part", *["parts"] * rounds, "reserve"]
     for span in spans:
         if span == "reserve":
             level_rows = level_rows.union(reserve)

@@ -16,7 +16,7 @@ from spoolworks.llm.near_dedup import near_duplicates
 from spoolworks.llm.quality import classify
 from spoolworks.llm.secrets import digest, find_secrets
 from spoolworks.llm.sharding import shard
-from spoolworks.llm.warc import fixity, manifest, record_hashes, warc_record
+from spoolworks.llm.warc import bucket_digits, fixity, manifest, record_hashes, warc_record
 from spoolworks.sources.tables import table, written
 
 
@@ -30,7 +30,7 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     turned = F.when(F.col("page_id") % 97 == 5, F.reverse("html")).otherwise(F.col("html"))
     now = F.sha2(warc_record(F.col("page_id"), F.col("url"), turned).cast("binary"), 256)
-    first = written(manifest(record_hashes(pages, now.alias("now"))), "manifest")
+    first = written(manifest(record_hashes(pages, now.alias("now")), digits=bucket_digits(pages.count())), "manifest")
     second = first.where(F.col("page_id").isNull() | (F.col("page_id") % 301 != 17)).withColumn("digest", F.col("now"))
     found = fixity(first, second)
     return found.select("page_id", "file", "record", "offset", "length", F.col("digest").alias("record_sha256"), F.coalesce("damage", F.lit("none")).alias("damage"))

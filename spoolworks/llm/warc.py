@@ -41,13 +41,21 @@ def record_hashes(pages: DataFrame, *more: Column) -> DataFrame:
     return pages.select("page_id", "url", F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("digest"), *more)
 
 
-def manifest(records: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
+def bucket_digits(rows: int, rows_of_a_bucket: int = 1 << 22) -> int:
+    """Hex digits of a bucket's name, two at least, so that a bucket has about so many rows."""
+    digits = 2
+    while rows > rows_of_a_bucket * 16**digits:
+        digits += 1
+    return digits
+
+
+def manifest(records: DataFrame, per_file: int = RECORDS_PER_FILE, digits: int = 2) -> DataFrame:
     """`records` placed into files: file, record (0, 1, ... in the file), offset and length besides what they have.
 
-    A file holds `per_file` records at most, in the order of page_id, of one of 256 buckets by the MD5 of the id.
-    Hashes and lengths stand for the records here, so numbering moves no bodies.
+    A file holds `per_file` records at most, in the order of page_id, of one bucket: the first `digits` hex digits of the
+    MD5 of the id (zeros for a null id). Hashes and lengths stand for the records here, so numbering moves no bodies.
     """
-    bucket = F.coalesce(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2), F.lit("00"))
+    bucket = F.coalesce(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, digits), F.lit("0" * digits))
     inside = Window.partitionBy("bucket").orderBy("page_id", "url", "digest")
     numbered = records.withColumn("bucket", bucket).withColumn("n", F.row_number().over(inside) - 1)
     filed = numbered.withColumn("file", F.concat_ws("-", "bucket", F.floor(F.col("n") / per_file).cast("string"))).withColumn("record", (F.col("n") % per_file).cast("long"))

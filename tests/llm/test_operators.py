@@ -14,6 +14,7 @@ from spoolworks.llm import decontamination, exact_dedup, language_id, line_dedup
 from spoolworks.llm.components import components
 from spoolworks.llm.perfect_hash import PerfectHash
 from spoolworks.llm.queries import ORACLE_SQL, QUERIES
+from spoolworks.llm.skew import hot_keys, spread_join
 from spoolworks.llm.words import shingle_set, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, kept string, score string, hi string"
@@ -140,6 +141,42 @@ def test_near_duplicates_corner_cases(odd, none):
     assert [r.component_id for r in found if r.doc_id is None and r.n_shingles] == [4]
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Each row is linked as its own text is, whatever its id."""
+    draw = random.Random(1)
+    one, two, three = ([f"{k}{draw.randrange(10**6)}" for _ in range(80)] for k in "abc")
+    near = lambda found: " ".join([*found[:-1], "end"])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (None, " ".join(three)), (None, near(three)), (None, near(one)), (5, "alone with its own words here"), (5, "and another text of its own"), (None, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, row string, rows int")
+    found = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert found == collections.Counter(
+        [(1, 76, 1, True)] * 2 + [(2, 76, 1, False), (3, 76, 1, False), (None, 76, 1, False)] + [(None, 76, None, True)] * 2 + [(5, 2, 5, True)] * 2 + [(None, 0, None, True), (5, 0, 5, True)]
+    )
+
+
+@pytest.mark.parametrize("block", [512, 40])
+def test_long_lists_of_sets_that_are_not_linked(spark, monkeypatch, block):
+    """A passage that makes up most of very many texts of similar size, with a few links among them."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    draw = random.Random(6)
+    passage = " ".join(f"p{draw.randrange(10**6)}" for _ in range(75))
+    texts = {i: passage + " " + " ".join(f"q{draw.randrange(10**6)}" for _ in range(draw.randrange(26, 34))) for i in range(900)}
+    for i in range(900, 960):
+        texts[i] = texts[draw.randrange(i)] + f" more{i}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == brute_components(texts, 85) and len(set(found.values())) == 900
+
+
+def test_spread_join_is_a_join(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "k long, v long")
+    table = spark.createDataFrame([(i, f"t{i}") for i in range(2000)], "k long, t string")
+    hot = hot_keys(rows.groupBy("k").agg(F.count("*").alias("rows")), ["k"])
+    assert [r.k for r in hot.collect()] == [1]
+    assert sorted(spread_join(rows, table, hot, ["k"], ["v"]).collect()) == sorted(rows.join(table, "k").collect())
+    assert hot_keys(table.groupBy("k").agg(F.count("*").alias("rows")), ["k"]) is None
+
+
 def test_decontamination(spark, odd, none):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "only four words here"), (3, None), (4, ""), (5, " ".join(f"w{i}" for i in range(500, 540)))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -161,16 +198,82 @@ def test_decontamination_matches_null_ids_on_both_paths(spark):
         assert len(found) == 4 and set(found) == {(None, None), (None, 2), (1, None), (1, 2)}
 
 
-def test_long_words_count_in_training(monkeypatch):
-    lattices = language_id.Lattices(["a", "ab", "b", "ba", "▁", "▁a"])
-    column = np.array([0.2, 0.1, 0.2, 0.1, 0.1, 0.2, 0.1, 0.0])
-    sizes = np.array([1, 2, 1, 2, 1, 2, 1, 0])
-    long = lattices.expected_counts(lattices.grouped(["ab" * 1000, "c" * 70]), np.array([1.0, 2.0]), column)
-    assert abs((long * sizes).sum() - (2001 + 2 * 71)) < 1e-6 and abs(long[lattices.unknown] - 140) < 1e-6
-    short, weights = ["abba", "abca", "b"], np.array([1.0, 3.0, 2.0])
-    plain = lattices.expected_counts(lattices.grouped(short), weights, column)
-    monkeypatch.setattr(language_id, "LONG_WORD", 0)
-    assert np.allclose(plain, lattices.expected_counts(lattices.grouped(short), weights, column))
+def corner_benchmark(spark):
+    items = [(1, "one two"), (None, LONG), (None, "a line of text that repeats other"), (3, "a line of text that repeats once"), (3, LONG), (3, LONG), (4, None), (None, ""), (None, "one two")]
+    return spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, doc_id string, n int")
+
+
+def test_decontamination_is_the_same_on_both_paths(spark, odd):
+    """Null and repeated ids, repeated rows, texts of one id that differ, clashing columns: with a benchmark that matches."""
+    ways = [sorted(map(str, decontamination.contaminated(odd, corner_benchmark(spark), broadcast_bytes=limit).collect())) for limit in (decontamination.BROADCAST_BYTES, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) > 15
+    items = [(r.item_id, r.text) for r in corner_benchmark(spark).collect()]
+    want = collections.Counter()
+    for d in odd.collect():
+        there = decontamination.shingles_as_bytes(words((d.text or "").encode()))
+        for i, t in items:
+            need = decontamination.shingles_as_bytes(words((t or "").encode()))
+            if need and len(need & there) * 100 >= len(need) * 80:
+                want[d.doc_id, i] += 1
+    found = decontamination.contaminated(odd, corner_benchmark(spark), broadcast_bytes=0).collect()
+    assert collections.Counter((r.doc_id, r.item_id) for r in found) == want
+
+
+def segmentations(text, number, unknown):
+    if not text:
+        yield []
+    for n in range(1, len(text) + 1):
+        piece = number.get(text[:n], unknown if n == 1 else None)
+        if piece is not None:
+            for rest in segmentations(text[n:], number, unknown):
+                yield [piece, *rest]
+
+
+VOCABULARY = ["a", "ab", "b", "ba", "▁", "▁a"]
+
+
+def plain_training(words, weights, rounds):
+    """Expectation-maximisation by listing all segmentations."""
+    number, unknown = {p: i for i, p in enumerate(VOCABULARY)}, len(VOCABULARY)
+    column = np.full(unknown + 2, 1.0 / (unknown + 1))
+    for _ in range(rounds):
+        counts = np.zeros(unknown + 2)
+        for word, weight in zip(words, weights, strict=True):
+            ways = list(segmentations("▁" + word, number, unknown))
+            chances = [np.prod(column[w]) for w in ways]
+            for way, chance in zip(ways, chances, strict=True):
+                np.add.at(counts, way, weight * chance / sum(chances))
+        column = (counts + 1e-3) / (counts + 1e-3).sum()
+    return counts
+
+
+@pytest.mark.parametrize("long", [200, 0])
+def test_training_is_that_of_all_segmentations(monkeypatch, long):
+    monkeypatch.setattr(language_id, "LONG_WORD", long)
+    words, weights = ["abba", "abca", "b", "aab", "c", "baba"], np.array([1.0, 3.0, 2.0, 5.0, 1.0, 2.0])
+    assert np.allclose(language_id.piece_counts(words, weights, VOCABULARY, rounds=4), plain_training(words, weights, 4))
+
+
+def test_long_words_count_in_training():
+    sizes = np.array([len(p) for p in VOCABULARY] + [1, 0])
+    counts = language_id.piece_counts(["ab" * 1000, "c" * 270], np.array([1.0, 2.0]), VOCABULARY)
+    assert abs((counts * sizes).sum() - (2001 + 2 * 271)) < 1e-6 and abs(counts[len(VOCABULARY)] - 540) < 1e-6
+
+
+def test_a_script_without_spaces_is_learned(spark):
+    """Texts of one word each: the words of one are far longer than any cap, and short ones mix both alphabets."""
+    draw = random.Random(8)
+    text = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    kinds = {"zh": ("的一是不了人我在有他这中大来上国", 80), "zx": ("的一是不了人我在有他这中上国国国", 80), "en": ("etaoinshrdlu", 90)}
+    rows = [(i, text(*kinds[k]), k) for i in range(600) for k in [list(kinds)[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [r for r in language_id.identify(docs).collect() if r.held_out]
+    assert len(found) > 150 and np.mean([r.lang_pred == rows[r.doc_id][2] for r in found]) > 0.97
+
+
+def test_one_very_long_word_takes_time_in_proportion(spark):
+    docs = spark.createDataFrame([(i, w, "en") for i, w in enumerate(["the cat sat", "x" * 200_000, "abc " * 50, "dé" * 100_000])], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(docs).collect()} == {"en"}
 
 
 def brute_secrets(text):
@@ -271,27 +374,47 @@ def test_quality(spark, odd, none):
     assert len(unlabelled) == odd.count() and {r.score for r in unlabelled} == {0.5}
 
 
+def test_solver_is_that_of_a_plain_dual(spark):
+    """Against projected gradient steps on the whole dual of 50 rows."""
+    draw = np.random.default_rng(3)
+    rows = [np.flatnonzero(draw.random(40) < 0.2).astype(np.int32) for _ in range(50)]
+    labels, scale = (draw.random(50) < 0.5).astype(int), draw.normal(size=40)
+    dense = np.zeros((50, 41))
+    for i, r in enumerate(rows):
+        dense[i, r] = scale[r] / np.linalg.norm(scale[r])
+    dense[:, 40] = 1
+    signed = dense * np.where(labels > 0, 1.0, -1.0)[:, None]
+    gram, alpha = signed @ signed.T, np.zeros(50)
+    step = 1 / np.linalg.norm(gram, 2)
+    for _ in range(100_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, 1)
+    found = quality.dual_coordinate_descent(rows, labels, scale, epochs=3000)
+    assert np.allclose(found, signed.T @ alpha, atol=1e-4)
+
+
+def test_quality_with_long_texts_and_few_bytes(spark):
+    """Texts of 20,000 words: few rows fit the budget of the driver, all of them count in the ratios."""
+    draw = random.Random(9)
+    texts = [(i, " ".join(draw.choice(("lorem", "ipsum", "dolor") if i % 2 else ("amet", "elit", "sed")) + str(draw.randrange(99)) for _ in range(20_000))) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, "x") for i, _ in texts] * 2, "doc_id long, quality int, text string")
+    found = quality.classify(docs, labels, sample_bytes=40_000).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in found) and any(r.held_out for r in found)
+
+
 def test_longest_repeat():
     assert [quality.longest_repeat(t) for t in (b"", b"a", b"a b", b"a a", b"x a a a b b")] == [0, 0, 0, 1, 2]
 
 
 def test_forward_sums_all_segmentations():
     vocabulary = ["▁a", "a", "b", "ab", "▁ab", "ba"]
-    lattices = language_id.Lattices(vocabulary)
+    lattices, number = language_id.Lattices(vocabulary), {p: i for i, p in enumerate(vocabulary)}
     p = np.random.default_rng(0).random((len(vocabulary) + 2, 2))
     p[lattices.none] = 0
-
-    def brute(text):
-        if not text:
-            return np.ones(2)
-        total = np.zeros(2)
-        for n in range(1, len(text) + 1):
-            i = lattices.number.get(text[:n], lattices.unknown if n == 1 else lattices.none)
-            total = total + p[i] * brute(text[n:])
-        return total
-
     for word in ("a", "ab", "abba", "xab", "bab" * 3):
-        assert np.allclose(lattices.log_probabilities([word], p)[0], np.log(brute("▁" + word)))
+        chances = [np.prod(p[w], axis=0) for w in segmentations("▁" + word, number, lattices.unknown)]
+        assert np.allclose(lattices.log_probabilities([word, word], p), np.log(sum(chances)))
+        assert np.allclose(language_id.sums_along(lattices.along("▁" + word), p)[-1], np.log(sum(chances)))
     assert np.isfinite(lattices.log_probabilities(["x" * 3000], p)).all()
 
 
@@ -318,6 +441,17 @@ def test_fixity_finds_what_was_changed_lost_and_added(spark):
     assert warc.fixity(first.where("false"), first.where("false")).count() == 0
 
 
+def test_fixity_of_shifted_offsets_and_more_columns(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i % 7}", "b" * (i % 9), "x", i) for i in range(300)], "page_id long, url string, html string, file string, record long")
+    first = warc.manifest(warc.record_hashes(pages), per_file=4, digits=1)
+    assert first.columns == ["page_id", "url", "length", "digest", "file", "record", "offset"] and first.select("file").distinct().count() > 60
+    place = F.col("file") == first.select("file").orderBy("file").first().file
+    shifted = first.withColumn("offset", F.col("offset") + F.when(place & (F.col("record") >= 2), 1).otherwise(0))
+    damaged = warc.fixity(first, shifted).where("damage IS NOT NULL").collect()
+    assert [(r.record, r.damage) for r in sorted(damaged, key=lambda r: r.record)] == [(2, "changed"), (3, "changed")]
+    assert [warc.bucket_digits(n) for n in (0, 1 << 30, (1 << 30) + 1)] == [2, 2, 3]
+
+
 def test_words_are_those_of_the_contract():
     text = "A\x0bB\x1cC D\x85E   F\x0c\rG"
     assert [w.decode() for w in words(text.encode())] == [w.lower() if w.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
