@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SENDING_STEP = r"^sending scene (\d+) of (\d+) to Gemini for analysis$"
 ASSUMED_FPS = 30.0
 LIMITS = (1, 200)
+STORE_CAUSE = "the media store could not be read or written"
+UNKNOWN_CAUSE = "this job failed unexpectedly - the engine log has the details"
+#: Faults that carry a message for the user, and faults of the store's disk.
+NAMED_FAULTS = ("job_failed", "encoder", "probe", "scene_detection", "motion_read", "frame_scoring")
+STORE_FAULTS = ("os_error", "file_missing", "permission", "disk_full")
 
 
 def allowed_origin(origin: Column, allowed: list[str]) -> Column:
@@ -54,6 +59,11 @@ def finalize_outcome(fault: Column) -> Column:
     return F.struct(code.cast("int").alias("code"), status.alias("status"))
 
 
+def failure_cause(kind: Column, message: Column) -> Column:
+    """What the user is told of a fault: a named one's own message, one sentence for the store's, one for all others."""
+    return F.when(kind.isin(*NAMED_FAULTS), message).when(kind.isin(*STORE_FAULTS), STORE_CAUSE).otherwise(UNKNOWN_CAUSE)
+
+
 def scene_context(start: Column, end: Column) -> Column:
     """struct(duration, position) of a scene."""
     return F.struct((end - start).alias("duration"), start.alias("position"))

@@ -58,6 +58,13 @@ SIGNALS = {
     ),
     "report_paths": (r"docs/reports/prompt-(\d{2})\.md", 1),
 }
+# Suffixes of files that may hold video, and where a plan binds a title to a number.
+VIDEO_SUFFIXES = [".mp4", ".mov", ".m4v", ".mkv", ".webm", ".avi", ".3gp", ".mts", ".m2ts", ".ts", ".wmv"]
+TITLES = [
+    r"(?:PROMPT|Prompt)\s*\d{1,2}\s*[\u2014\u2013:\-]\s*([^\n|]{4,80})",
+    r"(?:WAVE|Wave)\s*\d\s*[\u2014\u2013:\-]\s*([^\n|]{3,60})",
+]
+LEAST_TITLE = 8
 FAMILY_LIMIT, COMBINED_LIMIT = 3, 6
 MOST_DETAIL = 200
 UNKNOWN = "—"
@@ -203,6 +210,18 @@ def signal_hits(text: Column) -> Column:
     return F.struct(*[F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(g)), lambda h: F.lower(F.trim(h)))).alias(name) for name, (p, g) in SIGNALS.items()])
 
 
+def plan_titles(text: Column) -> Column:
+    """The distinct titles of prompts and waves in a plan, white space and trailing emphasis off, short ones left out."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in TITLES]))
+    plain = F.transform(found, lambda t: F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r"[.*_ ]+$", ""))
+    return F.array_distinct(F.filter(plain, lambda t: F.length(t) >= LEAST_TITLE))
+
+
+def has_video_suffix(name: Column) -> Column:
+    """Whether the last extension of a file name, in lower case, is one of video. A name that only has a leading dot has none."""
+    return F.lower(F.regexp_extract(name, r"[^/.][^/]*?(\.[^./]*)$", 1)).isin(*VIDEO_SUFFIXES)
+
+
 def metric(value: Column) -> Column:
     """Two decimals, or that it wasn't measured."""
     return F.when(value.isNull(), "not measured").otherwise(F.format_string("%.2f", value))

@@ -73,6 +73,14 @@ def progress_fraction(line: Column, total_seconds: Column) -> Column:
     return F.when(micros.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), micros / 1e6 / total_seconds)))
 
 
+def utc_time(text: Column) -> Column:
+    """struct(at, refused): an ISO time with an offset as UTC wall clock text; one without an offset is refused, as its moment
+    is unknown. Null is neither."""
+    moment = F.when(text.rlike(r"[0-9](Z|[+-][0-9]{2}:?[0-9]{2})$"), text.try_cast("timestamp"))
+    shown = F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+    return F.struct(shown.alias("at"), (text.isNotNull() & moment.isNull()).alias("refused"))
+
+
 def span_progress(at: Column, until: Column, i: Column, n: Column) -> Column:
     """Progress after item i (from 0) of n within [at, until)."""
     return at + (until - at) * i / F.greatest(n, F.lit(1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoolworks.sources.tables import Scratch
+
 # States that a job leaves again.
 OPEN = ("queued", "running")
 
@@ -45,12 +47,22 @@ def problem_fields(paths: Column) -> Column:
 
 
 def descendants(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """(root, node, depth) of every node of a forest under its root, itself included: recursive SQL over (node, parent).
-    Nodes with a null parent are roots."""
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE walk(root, node, depth) AS (
-              SELECT {node}, {node}, 0 FROM {{nodes}} WHERE {parent} IS NULL
-              UNION ALL SELECT w.root, n.{node}, w.depth + 1 FROM walk w JOIN {{nodes}} n ON n.{parent} = w.node)
-            SELECT * FROM walk""",
-        nodes=nodes,
-    )
+    """(root, node, depth) of every node of a forest under its root, itself included, whatever the depth.
+
+    Nodes with a null parent are roots. Each round doubles how far up every node sees, so a chain of n nodes takes about
+    log2(n) rounds, each a join written to the shared folder. Nodes on a cycle or under a parent that isn't there have no
+    root and are left out.
+    """
+    scratch = Scratch(nodes.sparkSession)
+    is_root = F.col(parent).isNull()
+    start = nodes.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("above"), F.when(is_root, 0).otherwise(1).alias("depth"), is_root.alias("done"))
+    walked, turn = scratch.written(start, "walk-0"), 0
+    left, before = walked.where("NOT done").count(), None
+    while left and left != before:
+        up = walked.select(F.col("node").alias("above"), F.col("above").alias("higher"), F.col("depth").alias("more"), F.col("done").alias("over"))
+        moved = walked.where("NOT done").join(up, "above").select("node", F.col("higher").alias("above"), (F.col("depth") + F.col("more")).alias("depth"), F.col("over").alias("done"))
+        turn += 1
+        walked = scratch.written(walked.where("done").union(moved), f"walk-{turn}")
+        scratch.remove(f"walk-{turn - 1}")
+        left, before = walked.where("NOT done").count(), left
+    return walked.where("done").select(F.col("above").alias("root"), "node", "depth")

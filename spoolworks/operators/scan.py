@@ -4,47 +4,107 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoolworks.functions.text import COMBINED_LIMIT, FAMILY_LIMIT, SIGNALS, folded, signal_hits
+from spoolworks.sources.tables import written
 
-#: Titles of up to so many bytes go to the executors as one automaton; more go through a join.
-AUTOMATON_BYTES = 64 << 20
+#: Titles of up to so many bytes go to the executors as one automaton, some 20 times as large there; more go through a join.
+AUTOMATON_BYTES = 4 << 20
 WINDOW, OVERLAP = 1_000_000, 4_096
+GRAM = 8
+#: Bits of the filter over the titles' first grams that the join sends ahead: 2 MB, whatever their number.
+FILTER_BITS = 24
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def title_matches(docs: DataFrame, titles: DataFrame, least: int = 8, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+def gram_hashes(text: str) -> np.ndarray:
+    """The hash of each run of GRAM characters, in their order; none for shorter texts."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(codes) < GRAM:
+        return np.empty(0, np.int64)
+    total = codes[: len(codes) - GRAM + 1].copy()
+    for i in range(1, GRAM):
+        total = total * FACTOR + codes[i : len(codes) - GRAM + 1 + i]
+    return ((total ^ (total >> np.uint64(32))) * FACTOR).view(np.int64)
+
+
+def _filter(grams: DataFrame) -> np.ndarray:
+    """A packed bitmap over the last FILTER_BITS bits of `grams` (gram); tasks fill blocks of 2**15 bits."""
+
+    def fill(key: tuple, group: pa.Table) -> pa.Table:
+        block = np.zeros(1 << 15, bool)
+        block[group.column("bit").to_numpy()] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "packed": pa.array([np.packbits(block).tobytes()], pa.binary())})
+
+    place = F.col("gram").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    placed = grams.select(F.shiftright(place, 15).alias("block"), place.bitwiseAND(F.lit((1 << 15) - 1)).cast("int").alias("bit")).distinct()
+    packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in placed.groupBy("block").applyInArrow(fill, "block long, packed binary").collect():
+        packed[row.block * 4096 : (row.block + 1) * 4096] = np.frombuffer(row.packed, np.uint8)
+    return packed
+
+
+def _titles_by_join(flat_docs: DataFrame, flat_titles: DataFrame) -> DataFrame:
+    """A document holds the first gram of each title in it. Of a document only the grams that a bit filter lets through are
+    shuffled, without its text, which is fetched once for each candidate and searched."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [int(gram_hashes(t[:GRAM])[0]) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.int64())], ["key", "gram"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = passing.value
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.unique(gram_hashes(text or ""))
+                place = found & ((1 << FILTER_BITS) - 1)
+                near = found[(packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(near), pa.int64()), pa.array(near)], ["row", "gram"])
+
+    titles = written(flat_titles.withColumn("key", F.monotonically_increasing_id()), "titles")
+    grams = written(titles.select("key", "title").mapInArrow(first, "key long, gram long"), "title-grams")
+    passing = flat_docs.sparkSession.sparkContext.broadcast(_filter(grams))
+    rows = flat_docs.withColumn("row", F.xxhash64("doc_id", "flat"))
+    pairs = rows.select("row", "flat").mapInArrow(spread, "row long, gram long").join(grams, "gram").select("row", "key").distinct()
+    both = rows.join(pairs, "row").join(titles, "key")
+    return both.where(F.contains("flat", F.col("title"))).select("doc_id", "title_id")
+
+
+def title_matches(docs: DataFrame, titles: DataFrame, least: int = GRAM, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """(doc_id, title_id): each title that a document contains, white space and case folded in both.
 
-    docs (doc_id, text), titles (title_id, text). One pass of an automaton over each document finds all titles at once;
-    titles too large for one executor are joined on the bucket of their length and compared there.
+    docs (doc_id, text), titles (title_id, text). A row for each row of `docs` and row of `titles` that is in it: repeated rows
+    give repeated results, on both ways. One pass of an automaton over each document finds all titles at once; titles too
+    large for one executor are joined on a gram. Titles shorter than `least` (GRAM at least) are left out.
     """
     flat_docs = docs.select("doc_id", folded(F.col("text")).alias("flat"))
-    flat_titles = titles.select("title_id", folded(F.trim("text")).alias("title")).where(F.length("title") >= least)
+    flat_titles = titles.select("title_id", folded(F.trim("text")).alias("title")).where(F.length("title") >= max(least, GRAM))
     size = flat_titles.agg(F.sum(F.octet_length("title") + 64)).first()[0] or 0
     if size > automaton_bytes:
-        # Each title's first four characters must be four in a row of the document.
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("flat") - 3)), lambda i: F.col("flat").substr(i, F.lit(4))))
-        keyed = flat_docs.withColumn("gram", F.explode(grams))
-        return keyed.join(flat_titles.withColumn("gram", F.substring("title", 1, 4)), "gram").where(F.contains("flat", F.col("title"))).select("doc_id", "title_id").distinct()
+        return _titles_by_join(flat_docs, flat_titles)
     rows = [(r.title_id, r.title) for r in flat_titles.collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
+        automaton, ids = ahocorasick.Automaton(), {}
         for title_id, title in shared.value:
-            automaton.add_word(title, [*automaton.get(title, []), title_id])
+            ids.setdefault(title, []).append(title_id)
+        for title in ids:
+            automaton.add_word(title, title)
         automaton.make_automaton()
         for batch in batches:
             docs_found, titles_found = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {t for _, ids in automaton.iter(text) for t in ids} if text and len(automaton) else ()
-                docs_found += [doc] * len(found)
-                titles_found += found
+                for title in {t for _, t in automaton.iter(text)} if text and len(automaton) else ():
+                    docs_found += [doc] * len(ids[title])
+                    titles_found += ids[title]
             yield pa.RecordBatch.from_arrays([pa.array(docs_found, pa.int64()), pa.array(titles_found, pa.int64())], ["doc_id", "title_id"])
 
     return flat_docs.mapInArrow(run, "doc_id long, title_id long")

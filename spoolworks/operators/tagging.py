@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from spoolworks.functions.timing import backoff
 
 TAGS = ["content_type", "exercise_guess", "environment", "lighting_quality", "lighting_temperature", "lighting_direction", "energy_level", "aesthetic_notes"]
 
@@ -63,6 +66,28 @@ def token_bucket(requests: DataFrame, per_minute: int, per_day: int) -> DataFram
     return dealt.mapInPandas(run, GRANTS)
 
 
+def retried(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """(scene_id, source, tries, tokens, waited) of what the attempts of each scene come to.
+
+    attempts (scene_id, attempt from 0, granted, status): status is that of the reply, null where none came. A reply ends
+    the tries; so does a token that is not granted, and a refusal that would be the same again (4xx other than 429). Other
+    failures are tried again after a wait, `most` times in all. Each request that is sent costs a token. No row of a scene
+    meets the others in one array: the end is a minimum, what comes before it is a filtered sum.
+    """
+    permanent = F.col("status").between(400, 499) & (F.col("status") != 429)
+    ends = ~F.col("granted") | F.coalesce((F.col("status") == 200) | permanent, F.lit(False))
+    tried = attempts.where(F.col("attempt") < most)
+    stopped = tried.withColumn("__stop", F.min(F.when(ends, F.col("attempt"))).over(Window.partitionBy("scene_id")))
+    made = stopped.where(F.col("__stop").isNull() | (F.col("attempt") <= F.col("__stop")))
+    waits = F.when(F.col("__stop").isNull() | (F.col("attempt") < F.col("__stop")), F.when(F.col("attempt") < most - 1, backoff(F.col("attempt"), F.lit(0.0))))
+    return made.groupBy("scene_id").agg(
+        F.when(F.bool_or(F.col("granted") & F.coalesce(F.col("status") == 200, F.lit(False))), "api").otherwise("degraded").alias("source"),
+        F.count("*").alias("tries"),
+        F.count_if("granted").alias("tokens"),
+        F.coalesce(F.sum(waits), F.lit(0.0)).alias("waited"),
+    )
+
+
 def cache_first(scenes: DataFrame, cache: DataFrame, granted: DataFrame, call: Callable[[pd.Series], pd.Series], context: str) -> tuple[DataFrame, DataFrame]:
     """(tags of every scene with their source, the rows to add to the cache).
 

@@ -1,5 +1,5 @@
 """Scene, frame, energy, probe and display queries. Stand-ins: events per user for clips and job reports,
-embeddings as frames of 8 by 8 pixels; probe documents, reports and headers are inline rows."""
+embeddings as frames of 8 by 8 pixels, parts and events for probe documents, paths, headers and reports."""
 
 from __future__ import annotations
 
@@ -11,23 +11,26 @@ from spoolworks.functions import probe, text, timing
 from spoolworks.operators import frames, sequences
 from spoolworks.sources.tables import table
 
-# Inline rows, as SQL that Spark and DuckDB both read.
-RATES = """(VALUES ('30/1', '1560/121', 'mov,mp4,m4a,3gp,3g2,mj2'), ('30/1', '30/1', 'mov,mp4,m4a,3gp,3g2,mj2'), ('30/1', '25/1', 'matroska,webm'),
-    ('0/0', '30/1', 'mp4'), ('N/A', '30/1', 'mp4'), ('', '', 'mp4'), ('30', '30/1', 'MP4'), ('30000/1001', '60/2', 'avi'), (NULL, '30/1', 'mp4'), ('-5/1', '5/-1', 'mp4'), ('60/2', '30/1', '3gp')) AS t(nominal, average, container)"""
-PATHS = """(VALUES ('media/blobs/ab', '-i'), ('../etc/passwd', 'http://host/x'), ('a/../../b', 'C:/clips/a.mp4'), ('a/../b', 'clip.mp4'), ('/etc/shadow', 'file:x'),
-    ('C:/x', 'a-b.mp4'), ('', 'OneDrive - Team/x'), ('a/./b', 'home/OneDrive/x'), ('..', 'x:y')) AS t(path, source)"""
-RANGES = """(VALUES ('bytes=0-99', 1000), ('bytes=-500', 1000), ('bytes=-0', 1000), ('bytes=900-', 1000), ('bytes=900-5000', 1000), ('bytes=1000-', 1000),
-    ('bytes=50-10', 1000), ('bytes=-', 1000), ('bytes=0-1,5-6', 1000), ('items=0-5', 1000), (NULL, 1000), ('bytes=0-5', 0), ('bytes=-5000', 1000)) AS t(header, size)"""
-REPORTS = """(VALUES (1, 'x' || chr(10) || 'Unknown encoder libx264'), (2, 'moov atom not found' || chr(10) || 'No such filter: y'), (3, 'opening /home/me/clips/a.mp4 failed' || chr(10) || 'bad'),
-    (4, ''), (5, '  Write: No space left on device /mnt/store/blob.bin '), (6, 'Could not find codec parameters for C:/users/me/b.mov')) AS t(id, report)"""
-PROBES = [
-    '{"streams":[{"codec_type":"video","codec_name":"h264","width":1920,"height":1080,"r_frame_rate":"30/1","avg_frame_rate":"1560/121","side_data_list":[{"rotation":-90}]},{"codec_type":"audio","codec_name":"aac","sample_rate":"44100"}],"format":{"format_name":"mov,mp4,m4a,3gp,3g2,mj2","duration":"12.5"}}',
-    '{"streams":[{"codec_type":"video","codec_name":"vp9","width":640,"height":360,"r_frame_rate":"25/1","avg_frame_rate":"0/0","duration":"3.5","tags":{"rotate":"180"},"color_transfer":" arib-std-b67 "}],"format":{"format_name":"matroska,webm","duration":"N/A"}}',
-    '{"streams":[{"codec_type":"audio","codec_name":"aac"}],"format":{"format_name":"mp4","duration":"1"}}',
-    '{"streams":[{"codec_type":"video","width":10,"height":10}],"format":{"format_name":"mp4"}}',
-    '{"streams":[{"codec_type":"video","width":0,"height":10}],"format":{"format_name":"mp4","duration":"2"}}',
-    "not json",
-]
+# Inputs by rule over all parts, as SQL that Spark and DuckDB both read; `||` and chr() mean the same in both.
+_RATE = """CASE (p_partkey {0}) % 11 WHEN 0 THEN '30/1' WHEN 1 THEN '1560/121' WHEN 2 THEN '25/1' WHEN 3 THEN '0/0' WHEN 4 THEN 'N/A' WHEN 5 THEN '' WHEN 6 THEN '30'
+    WHEN 7 THEN '30000/1001' WHEN 8 THEN NULL WHEN 9 THEN '-5/1' ELSE p_size || '/' || (p_partkey % 4) END"""
+RATES = f"""SELECT p_partkey, {_RATE.format("+ 0")} AS nominal, {_RATE.format("* 5 + 3")} AS average,
+    CASE p_partkey % 5 WHEN 0 THEN 'mov,mp4,m4a,3gp,3g2,mj2' WHEN 1 THEN 'matroska,webm' WHEN 2 THEN 'MP4' WHEN 3 THEN 'avi' ELSE '3gp' END AS container FROM {{part}}"""
+PATHS = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'media/' || p_name WHEN 1 THEN '../' || p_brand WHEN 2 THEN 'a/../../' || p_name WHEN 3 THEN 'a/../' || p_name WHEN 4 THEN '/' || p_name
+    WHEN 5 THEN 'C:/' || p_name WHEN 6 THEN '' WHEN 7 THEN './' || p_brand || '/./b/..' ELSE 'a/b/../../..' END AS path,
+    CASE p_partkey % 8 WHEN 0 THEN '-' || p_name WHEN 1 THEN 'http://host/' || p_size WHEN 2 THEN 'C:/clips/' || p_size || '.mp4' WHEN 3 THEN p_name WHEN 4 THEN 'file:' || p_size WHEN 5 THEN 'OneDrive - ' || p_brand || '/x'
+    WHEN 6 THEN 'home/OneDrive/' || p_size ELSE 'home/OneDriver/x' END AS source FROM {part}"""
+RANGES = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'bytes=0-' || p_size WHEN 1 THEN 'bytes=-' || (p_size - 1) WHEN 2 THEN 'bytes=' || (p_size * 30) || '-' WHEN 3 THEN 'bytes=' || p_size || '-5000'
+    WHEN 4 THEN 'bytes=50-' || p_size WHEN 5 THEN 'bytes=-' WHEN 6 THEN 'bytes=0-1,5-6' WHEN 7 THEN 'items=0-' || p_size END AS header, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1000 END AS size FROM {part}"""
+REPORTS = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'opening /home/u' || user_id || '/clips/' || event_id || '.mp4 failed' || chr(10) WHEN 1 THEN '   ' || chr(10) WHEN 2 THEN 'Could not find codec parameters for C:/users/me/' || event_id || '.mov' || chr(10) ELSE '' END
+    || CASE event_id % 7 WHEN 0 THEN 'Unknown encoder lib' || user_id WHEN 1 THEN 'moov atom not found' WHEN 2 THEN '  Write: No space left on device /mnt/store/' || event_id || '.bin ' WHEN 3 THEN 'Invalid filtergraph' || chr(10) || 'unknown decoder' WHEN 4 THEN 'frame ' || event_id
+       WHEN 5 THEN 'x' || chr(10) || 'No such filter: y' ELSE '' END AS report FROM {events}"""
+PROBES = """SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'not json' ELSE '{{"streams":[' || CASE WHEN p_partkey % 13 = 0 THEN '' ELSE '{{"codec_type":"video","codec_name":"' || p_brand || '","width":' || (p_size * (p_partkey % 19)) || ',"height":' || p_size
+    || ',"r_frame_rate":"' || CASE p_partkey % 4 WHEN 0 THEN '30/1' WHEN 1 THEN '0/0' WHEN 2 THEN '25/1' ELSE 'N/A' END || '","avg_frame_rate":"' || CASE p_partkey % 3 WHEN 0 THEN '30/1' WHEN 1 THEN '0/0' ELSE '30000/1001' END || '"'
+    || CASE p_partkey % 5 WHEN 0 THEN ',"side_data_list":[{{"rotation":-90}}]' WHEN 1 THEN ',"tags":{{"rotate":"180"}}' WHEN 2 THEN ',"side_data_list":[{{"rotation":450}},{{"rotation":1}}],"tags":{{"rotate":"180"}}' WHEN 3 THEN ',"tags":{{"rotate":"sideways"}}' ELSE '' END
+    || CASE p_partkey % 7 WHEN 0 THEN ',"duration":"3.5"' ELSE '' END || CASE p_partkey % 11 WHEN 0 THEN ',"color_transfer":" arib-std-b67 "' WHEN 1 THEN ',"color_primaries":"bt2020"' WHEN 2 THEN ',"color_transfer":" "' ELSE '' END || '}},' END
+    || '{{"codec_type":"audio","codec_name":"aac","sample_rate":"' || CASE WHEN p_partkey % 6 = 0 THEN 'x' ELSE '44100' END || '"}}],"format":{{"format_name":"' || CASE p_partkey % 3 WHEN 0 THEN 'mov,mp4,m4a,3gp,3g2,mj2' WHEN 1 THEN 'matroska,webm' ELSE 'mp4' END
+    || '","duration":"' || CASE p_partkey % 8 WHEN 0 THEN 'N/A' WHEN 1 THEN '0' ELSE CAST(p_size AS STRING) || '.5' END || '"}}}}' END AS document FROM {part}"""
 
 
 def energy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,27 +128,28 @@ def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = spark.sql(f"SELECT * FROM {RATES}")
-    return rates.select("nominal", "average", "container", F.round(probe.rational(F.col("nominal")), 9).alias("nominal_fps"), F.round(probe.rational(F.col("average")), 9).alias("average_fps"), text.rate_mode(probe.variable_rate(F.col("container"), F.col("nominal"), F.col("average"))).alias("mode"))
+    rates = spark.sql(RATES, part=table(spark, sf_dir, "part"))
+    return rates.select("p_partkey", F.round(probe.rational(F.col("nominal")), 9).alias("nominal_fps"), F.round(probe.rational(F.col("average")), 9).alias("average_fps"), text.rate_mode(probe.variable_rate(F.col("container"), F.col("nominal"), F.col("average"))).alias("mode"))
 
 
 def probe_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame(list(enumerate(PROBES)), "id int, document string")
-    return docs.select("id", probe.parsed(F.col("document")).alias("p")).select("id", "p.*").withColumn("fps_source", F.round("fps_source", 6))
+    docs = spark.sql(PROBES, part=table(spark, sf_dir, "part"))
+    return docs.select("p_partkey", probe.parsed(F.col("document")).alias("p")).select("p_partkey", "p.*").withColumn("fps_source", F.round("fps_source", 6))
 
 
 def job_failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark.sql(f"SELECT * FROM {REPORTS}").withColumn("f", text.failure(F.col("report")))
-    return found.select("id", F.col("f.class").alias("failure_class"), F.col("f.detail").alias("detail"))
+    found = spark.sql(REPORTS, events=table(spark, sf_dir, "events")).withColumn("f", text.failure(F.col("report")))
+    return found.select("event_id", F.col("f.class").alias("failure_class"), F.col("f.detail").alias("detail"))
 
 
 def byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = spark.sql(f"SELECT header, CAST(size AS BIGINT) AS size FROM {RANGES}").withColumn("r", text.byte_range(F.col("header"), F.col("size")))
-    return ranges.select("header", "size", F.coalesce("r.start", F.lit(-1)).alias("first_byte"), F.coalesce("r.end", F.lit(-1)).alias("last_byte"), "r.status")
+    ranges = spark.sql(RANGES, part=table(spark, sf_dir, "part")).withColumn("r", text.byte_range(F.col("header"), F.col("size").cast("long")))
+    return ranges.select("p_partkey", F.coalesce("r.start", F.lit(-1)).alias("first_byte"), F.coalesce("r.end", F.lit(-1)).alias("last_byte"), "r.status")
 
 
 def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {PATHS}").select("path", "source", text.is_contained(F.col("path")).alias("contained"), text.is_safe_source(F.col("source")).alias("safe"), text.in_synced_folder(F.col("source"), "OneDrive").alias("synced"))
+    paths = spark.sql(PATHS, part=table(spark, sf_dir, "part"))
+    return paths.select("p_partkey", text.is_contained(F.col("path")).alias("contained"), text.is_safe_source(F.col("source")).alias("safe"), text.in_synced_folder(F.col("source"), "OneDrive").alias("synced"))
 
 
 def store_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,21 +228,37 @@ ORACLE_SQL = {
     "downscaled_frames": """SELECT vec_id, (r // 4 * 2 + c // 4)::INT AS pos, round(avg(embedding[r * 8 + c + 1]::DOUBLE), 6) AS pixel FROM embeddings, range(8) AS a(r), range(8) AS b(c) GROUP BY vec_id, r // 4, c // 4""",
     "stream_drift": """SELECT user_id, round(abs(max(e) FILTER (event_id % 2 = 0) - max(e) FILTER (event_id % 2 = 1)), 6) AS drift
         FROM (SELECT *, event_id / 10 + coalesce(value, 0) / 1000 AS e FROM events) GROUP BY user_id""",
-    "probe_rates": f"""SELECT nominal, average, container, round({_RATIONAL.format("nominal")}, 9) AS nominal_fps, round({_RATIONAL.format("average")}, 9) AS average_fps,
+    "probe_rates": f"""SELECT p_partkey, round({_RATIONAL.format("nominal")}, 9) AS nominal_fps, round({_RATIONAL.format("average")}, 9) AS average_fps,
         CASE CASE WHEN list_has_any(string_split(lower(container), ','), ['mov', 'mp4', 'm4a', '3gp', '3g2', 'mj2']) AND ({_RATIONAL.format("nominal")}) IS NOT NULL AND ({_RATIONAL.format("average")}) IS NOT NULL
-        THEN ({_RATIONAL.format("nominal")}) <> ({_RATIONAL.format("average")}) END WHEN true THEN 'variable' WHEN false THEN 'constant' ELSE 'unknown' END AS mode FROM {RATES}""",
-    "job_failure_class": """SELECT * FROM (VALUES (1, 'unsupported_codec', 'Unknown encoder libx264'), (2, 'filter_graph', 'No such filter: y'), (3, 'encode', 'opening .../a.mp4 failed'),
-        (4, 'encode', ''), (5, 'no_space', 'Write: No space left on device .../blob.bin'), (6, 'unreadable', 'Could not find codec parameters for .../b.mov')) AS t(id, failure_class, detail)""",
+        THEN ({_RATIONAL.format("nominal")}) <> ({_RATIONAL.format("average")}) END WHEN true THEN 'variable' WHEN false THEN 'constant' ELSE 'unknown' END AS mode FROM ({RATES.format(part="part")})""",
+    "job_failure_class": f"""
+        WITH l AS (SELECT event_id, list_filter(string_split(report, chr(10)), lambda x: trim(x) <> '') AS l FROM ({REPORTS.format(events="events")})),
+        h AS (SELECT event_id, l, {", ".join(f"list_filter(l, lambda x: regexp_matches(lower(x), '{'|'.join(needles)}')) AS {name}" for name, needles in text.FAILURES)} FROM l),
+        c AS (SELECT event_id, CASE {" ".join(f"WHEN len({name}) > 0 THEN {{'class': '{name}', 'line': {name}[1]}}" for name, _ in text.FAILURES)} ELSE {{'class': 'encode', 'line': coalesce(l[1], '')}} END AS f FROM h)
+        SELECT event_id, f.class AS failure_class, substring(regexp_replace(trim(f.line), '(?:[A-Za-z]:)?(?:/[^/\\s''"]+)+/([^/\\s''"]+)', '.../\\1', 'g'), 1, 200) AS detail FROM c""",
+    "probe_parse": f"""
+        WITH d AS (SELECT p_partkey, CASE WHEN json_valid(document) THEN document::JSON END AS j FROM ({PROBES.format(part="part").replace("STRING", "VARCHAR")})),
+        v AS (SELECT p_partkey, j, list_filter(json_extract(j, '$.streams[*]'), lambda s: json_extract_string(s, '$.codec_type') = 'video')[1] AS v, list_filter(json_extract(j, '$.streams[*]'), lambda s: json_extract_string(s, '$.codec_type') = 'audio')[1] AS a FROM d),
+        f AS (SELECT p_partkey, j, v, v ->> 'codec_name' AS video_codec, a ->> 'codec_name' AS audio_codec, try_cast(a ->> 'sample_rate' AS INT) AS audio_sample_rate, j ->> '$.format.format_name' AS container_format,
+                     (v ->> 'width')::INT AS w, (v ->> 'height')::INT AS h, v ->> 'r_frame_rate' AS nominal, v ->> 'avg_frame_rate' AS average, nullif(trim(v ->> 'color_primaries'), '') AS color_primaries, nullif(trim(v ->> 'color_transfer'), '') AS color_transfer,
+                     coalesce(CASE WHEN try_cast(j ->> '$.format.duration' AS DOUBLE) > 0 THEN try_cast(j ->> '$.format.duration' AS DOUBLE) END, CASE WHEN try_cast(v ->> 'duration' AS DOUBLE) > 0 THEN try_cast(v ->> 'duration' AS DOUBLE) END) AS duration_seconds,
+                     coalesce(((v ->> '$.side_data_list[0].rotation')::INT % 360 + 360) % 360, (try_cast(v ->> '$.tags.rotate' AS INT) % 360 + 360) % 360, 0)::INT AS rotation_degrees FROM v)
+        SELECT p_partkey, container_format, duration_seconds, CASE WHEN rotation_degrees IN (90, 270) THEN h ELSE w END AS display_width, CASE WHEN rotation_degrees IN (90, 270) THEN w ELSE h END AS display_height, rotation_degrees,
+               round(coalesce({_RATIONAL.format("average")}, {_RATIONAL.format("nominal")}), 6) AS fps_source,
+               CASE WHEN list_has_any(string_split(container_format, ','), ['mov', 'mp4', 'm4a', '3gp', '3g2', 'mj2']) AND ({_RATIONAL.format("nominal")}) IS NOT NULL AND ({_RATIONAL.format("average")}) IS NOT NULL THEN ({_RATIONAL.format("nominal")}) <> ({_RATIONAL.format("average")}) END AS is_variable_frame_rate,
+               video_codec, audio_codec, audio_sample_rate, color_primaries, color_transfer, coalesce(color_transfer IN ('arib-std-b67', 'smpte2084'), false) OR coalesce(color_primaries = 'bt2020', false) AS is_hdr,
+               CASE WHEN j IS NULL THEN '{probe.NOT_JSON}' WHEN v IS NULL THEN '{probe.NO_VIDEO}' WHEN w * h <= 0 THEN '{probe.NO_SIZE}' WHEN duration_seconds IS NULL THEN '{probe.NO_DURATION}' END AS reject_reason FROM f""",
     "byte_ranges": f"""
-        WITH p AS (SELECT header, size::BIGINT AS size, regexp_extract(header, '^bytes=([0-9]*)-([0-9]*)$', 1) AS f, regexp_extract(header, '^bytes=([0-9]*)-([0-9]*)$', 2) AS l,
-                          coalesce(regexp_matches(header, '^bytes=[0-9]*-[0-9]*$'), false) AND size > 0 AS ok FROM {RANGES}),
+        WITH p AS (SELECT p_partkey, size::BIGINT AS size, regexp_extract(header, '^bytes=([0-9]*)-([0-9]*)$', 1) AS f, regexp_extract(header, '^bytes=([0-9]*)-([0-9]*)$', 2) AS l,
+                          coalesce(regexp_matches(header, '^bytes=[0-9]*-[0-9]*$'), false) AND size > 0 AS ok FROM ({RANGES.format(part="part")})),
         s AS (SELECT *, CASE WHEN NOT ok OR (f = '' AND l = '') THEN 200 WHEN f = '' THEN CASE WHEN l::BIGINT = 0 THEN 416 ELSE 206 END
                              WHEN f::BIGINT >= size THEN 416 WHEN l <> '' AND l::BIGINT < f::BIGINT THEN 200 ELSE 206 END AS status FROM p)
-        SELECT header, size, CASE status WHEN 200 THEN 0 WHEN 206 THEN CASE WHEN f = '' THEN greatest(0, size - l::BIGINT) ELSE f::BIGINT END ELSE -1 END AS first_byte,
+        SELECT p_partkey, CASE status WHEN 200 THEN 0 WHEN 206 THEN CASE WHEN f = '' THEN greatest(0, size - l::BIGINT) ELSE f::BIGINT END ELSE -1 END AS first_byte,
                CASE status WHEN 200 THEN size - 1 WHEN 206 THEN CASE WHEN f = '' OR l = '' THEN size - 1 ELSE least(l::BIGINT, size - 1) END ELSE -1 END AS last_byte, status FROM s""",
-    "path_safety": """SELECT * FROM (VALUES ('media/blobs/ab', '-i', true, false, false), ('../etc/passwd', 'http://host/x', false, false, false), ('a/../../b', 'C:/clips/a.mp4', false, true, false),
-        ('a/../b', 'clip.mp4', true, true, false), ('/etc/shadow', 'file:x', false, false, false), ('C:/x', 'a-b.mp4', false, true, false), ('', 'OneDrive - Team/x', true, true, true),
-        ('a/./b', 'home/OneDrive/x', true, true, true), ('..', 'x:y', false, true, false)) AS t(path, source, contained, safe, synced)""",
+    "path_safety": f"""
+        WITH p AS (SELECT *, list_transform(string_split(path, '/'), lambda x: CASE WHEN x = '..' THEN -1 WHEN x IN ('', '.') THEN 0 ELSE 1 END) AS steps, string_split(source, '/') AS parts FROM ({PATHS.format(part="part")}))
+        SELECT p_partkey, NOT regexp_matches(path, '^(/|[A-Za-z]:)') AND list_min(list_transform(range(1, len(steps) + 1), lambda i: list_sum(steps[1:i]))) >= 0 AS contained,
+               NOT regexp_matches(source, '^-|^[A-Za-z][A-Za-z0-9+.-]+:') AS safe, len(list_filter(parts, lambda x: x = 'OneDrive' OR starts_with(x, 'OneDrive ') OR starts_with(x, 'OneDrive-'))) > 0 AS synced FROM p""",
     "store_paths": """SELECT p_partkey, s AS suffix, 'media/blobs/' || sha[1:2] || '/' || sha || '/source' || s AS blob, CASE WHEN p_size >= 1 THEN 'media/derived/' || sha[1:2] || '/' || sha || '/proxy/' || p_size || '/proxy.mp4' END AS derived
         FROM (SELECT *, sha256(p_partkey::VARCHAR) AS sha, CASE p_size % 3 WHEN 0 THEN '.mkv' WHEN 1 THEN '.wavx' ELSE '.bin' END AS s FROM part)""",
     "display_formats": """

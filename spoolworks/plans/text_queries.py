@@ -3,6 +3,8 @@ marked-up files, conversations for lists with wrapped lines, events for requests
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,26 +17,29 @@ from spoolworks.sources import files
 from spoolworks.sources.tables import table
 from spoolworks.streaming import jobs, uploads
 
-PLAN = """(VALUES ('03–06', '*yes* if late', 'Spark · SQL | Arrow', '**bold_name**'), ('7', 'no', '', '`x`'), ('01', '', 'one', 'plain'), ('05-04', 'YES', ' · ', '***')) AS t(span, review, tech, cell)"""
-GUIDE = """| 0 – Base Camp | x | 01 |
-| 1 - *Long* Way | x | 02–03 |
-| Wave 1 | 02 | `3 weeks` |
-| 01 | **First** | does a thing | no | Spark · SQL |
-| 02 | Second | another | *yes*, late | Arrow |
-## PROMPT 01 — First
-### Deliverables
-1. one
-   goes on
-2. `two`
-"""
-REPLIES = [
-    '{"candidates":[{"content":{"parts":[{"text":"{\\"content_type\\":\\"lift\\",\\"energy_level\\":"},{"text":"\\"high\\"}"}]}}]}',
-    '{"candidates":[{"content":{"parts":[{"text":"{\\"content_type\\":5}"}]}}]}',
-    '{"candidates":[{"content":{"parts":[{"text":"{}"}]}}]}',
-    '{"candidates":[{"content":{"parts":[{"text":"not json"}]}}]}',
-    '{"candidates":[]}',
-    "broken",
-]
+# Inputs by rule over whole tables, as SQL that Spark and DuckDB both read.
+PLAN = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN lpad('' || (o_orderkey % 40), 2, '0') || '–' || lpad('' || (o_orderkey % 40 + o_custkey % 7), 2, '0') WHEN 1 THEN '' || (o_orderkey % 9)
+    WHEN 2 THEN lpad('' || (o_orderkey % 90), 2, '0') WHEN 3 THEN lpad('' || (o_orderkey % 50 + 40), 2, '0') || ' - ' || lpad('' || (o_orderkey % 40), 2, '0') WHEN 4 THEN '' ELSE 'from ' || (o_orderkey % 80 + 10) END AS span,
+    CASE o_orderkey % 5 WHEN 0 THEN '*yes* if ' || o_orderstatus WHEN 1 THEN 'no' WHEN 2 THEN '' WHEN 3 THEN '`YES`' ELSE o_orderpriority END AS review,
+    CASE o_orderkey % 4 WHEN 0 THEN 'Spark · ' || o_orderpriority || ' | Arrow' WHEN 1 THEN '' WHEN 2 THEN o_orderstatus ELSE ' · ' || o_orderstatus END AS tech,
+    CASE o_orderkey % 3 WHEN 0 THEN '**bold_' || o_custkey || '**' WHEN 1 THEN '`' || o_orderpriority || '` ' ELSE '***' END AS cell FROM {orders}"""
+GUIDES = """SELECT c_custkey, '| ' || (c_custkey % 6) || ' – Camp *' || c_name || '* | x | ' || lpad('' || (c_custkey % 60 + 10), 2, '0') || CASE WHEN c_custkey % 2 = 0 THEN '–' || (c_custkey % 60 + 12) ELSE '' END || ' |' || chr(10)
+    || CASE WHEN c_custkey % 3 = 0 THEN '| Wave ' || (c_custkey % 6) || ' | 02 | `' || (c_custkey % 9 + 1) || ' weeks` |' || chr(10) ELSE '' END
+    || '| ' || (c_custkey % 60 + 10) || ' | **' || c_name || '** | does a thing | ' || CASE WHEN c_custkey % 5 = 0 THEN '*yes*, late' ELSE 'no' END || ' | Spark · ' || c_mktsegment || ' |' || chr(10)
+    || '| ' || (c_custkey % 60 + 12) || ' | Second | another | no | Arrow |' || chr(10) || '## PROMPT ' || (c_custkey % 60 + 10) || ' — First' || chr(10) || '### Deliverables' || chr(10)
+    || '1. `' || c_mktsegment || '`' || chr(10) || '   goes on ' || c_custkey || chr(10) || '2. two' || chr(10) AS text FROM {customer}"""
+# `^` stands for an escaped quote, as the two engines differ on backslashes in literals.
+REPLIES = """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'broken' || doc_id WHEN 1 THEN '{{"candidates":[]}}' ELSE '{{"candidates":[{{"content":{{"parts":[' || replace(CASE doc_id % 9
+    WHEN 2 THEN '{{"text":"{{^content_type^:' || doc_id || '}}"}}' WHEN 3 THEN '{{"text":"{{}}"}}' WHEN 4 THEN '{{"text":"not json"}}' WHEN 5 THEN '{{"text":"[1]"}}'
+    WHEN 6 THEN '{{"text":"{{^content_type^:^' || source || '^,^energy_level^:"}},{{"text":"null}}"}}' ELSE '{{"text":"{{^content_type^:^' || lang || '^,^energy_level^:"}},{{"text":"^' || source || '^}}"}}' END, '^', chr(92) || '"') || ']}}}}]}}' END AS reply FROM {documents}"""
+JOB_ACTIONS = """SELECT (event_id - event_id % 12) / 12 AS job_id, event_id AS seq, CASE WHEN event_id % 13 < 2 THEN 'start' ELSE CASE (event_id * 5 + user_id * 3) % 8 WHEN 0 THEN 'submit' WHEN 1 THEN 'start'
+    WHEN 2 THEN 'finish' WHEN 3 THEN 'cancel' WHEN 4 THEN 'fail' ELSE 'report' END END AS action, value / 100 AS value FROM {events}"""
+UPLOAD_ACTIONS = """SELECT (event_id - event_id % 20) / 20 AS upload_id, event_id AS seq, CASE WHEN event_id % 20 >= 17 THEN 'finalize' WHEN event_id % 20 = 16 AND event_id % 9 = 0 THEN 'abort' ELSE 'chunk' END AS action,
+    event_id % 20 * 10 - CASE WHEN event_id % 9 = 4 THEN 10 ELSE 0 END AS offset, 10 AS length, 160 AS declared FROM {events}"""
+PLANTED = """concat_ws(chr(10), CASE WHEN doc_id % 3 = 0 THEN 'Wave 1 - Solid Ground' || chr(10) || 'Wave 2 - Next Step' || chr(10) || 'Wave 3 - Last Mile' END,
+    CASE WHEN doc_id % 5 = 0 THEN 'make verify-01 make verify-02 and make verify-02' END, CASE WHEN doc_id % 7 = 0 THEN 'docs/reports/prompt-01.md docs/reports/prompt-02.md' END,
+    CASE WHEN doc_id % 4 = 0 THEN '2-3 weeks (Wave 1 total), 4 weeks for Prompt 2' END, CASE WHEN doc_id % 11 = 0 THEN 'id: "01", x name: "First of all" and ID = 02 then name="Second"' END,
+    CASE WHEN doc_id % 13 = 0 THEN '| 01 | First one | a summary that is long enough | no | Spark |' || chr(10) || '| 02 | Second | short | no | Spark |' END, text)"""
 
 
 def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,16 +49,8 @@ def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leak_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals in documents to which lines of a plan were added by rule."""
-    plan = F.concat_ws(
-        "\n",
-        F.when(F.col("doc_id") % 3 == 0, "Wave 1 - Solid Ground\nWave 2 - Next Step\nWave 3 - Last Mile"),
-        F.when(F.col("doc_id") % 5 == 0, "make verify-01 make verify-02 and make verify-02"),
-        F.when(F.col("doc_id") % 7 == 0, "docs/reports/prompt-01.md docs/reports/prompt-02.md"),
-        F.when(F.col("doc_id") % 4 == 0, "2-3 weeks (Wave 1 total), 4 weeks for Prompt 2"),
-        F.col("text"),
-    )
-    found = scan.leak_verdict(table(spark, sf_dir, "documents").select("doc_id", plan.alias("text")))
-    return found.select("doc_id", "n_wave_titles", "n_gate_commands", "n_timelines", "n_report_paths", "strongest", "combined", "leak")
+    found = scan.leak_verdict(table(spark, sf_dir, "documents").select("doc_id", F.expr(PLANTED).alias("text")))
+    return found.select("doc_id", "n_wave_titles", "n_prompt_entries", "n_prompt_rows", "n_gate_commands", "n_timelines", "n_report_paths", "strongest", "combined", "leak")
 
 
 def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,19 +73,21 @@ def folded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = spark.sql(f"SELECT * FROM {PLAN}")
+    plan = spark.sql(PLAN, orders=table(spark, sf_dir, "orders"))
     note = text.review_note(F.col("review"))
-    return plan.select("span", F.array_join(text.expanded_range(F.col("span")), ",").alias("ids"), note["required"].alias("required"), note["note"].alias("note"), F.array_join(text.parts_of(F.col("tech")), ",").alias("tech"), text.without_emphasis(F.col("cell")).alias("cell"))
+    return plan.select("o_orderkey", F.array_join(text.expanded_range(F.col("span")), ",").alias("ids"), note["required"].alias("required"), note["note"].alias("note"), F.array_join(text.parts_of(F.col("tech")), ",").alias("tech"), text.without_emphasis(F.col("cell")).alias("cell"))
 
 
 def plan_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = plans.prompts(spark.createDataFrame([("guide", GUIDE)], "path string, text string"))
-    return found.select("id", "name", "review_required", "wave", "wave_title", "timeline", F.array_join("tech", ",").alias("tech"), F.array_join("deliverables", ";").alias("deliverables"))
+    guides = spark.sql(GUIDES, customer=table(spark, sf_dir, "customer"))
+    found = plans.prompts(guides.select(F.col("c_custkey").alias("path"), "text"))
+    return found.select(F.col("path").alias("c_custkey"), "id", "name", "review_required", "wave", "wave_title", "timeline", F.array_join("tech", ",").alias("tech"), F.array_join("deliverables", ";").alias("deliverables"))
 
 
 def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names, lengths and digests of a table's files."""
-    return files.digests(spark, f"{sf_dir}/region.parquet").select("name", "length", "sha256")
+    """Names, lengths and digests of the files of five tables."""
+    found = [files.digests(spark, f"{sf_dir}/{name}.parquet") for name in ("region", "nation", "customer", "part", "pages")]
+    return reduce(DataFrame.union, found).select("name", "length", "sha256")
 
 
 def clip_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +108,8 @@ def plan_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replies = spark.createDataFrame(list(enumerate(REPLIES)), "id int, reply string").withColumn("tags", tagging.parsed_reply(F.col("reply")))
-    return replies.select("id", F.col("tags").isNotNull().alias("usable"), F.col("tags.content_type").alias("content_type"), F.col("tags.energy_level").alias("energy_level"))
+    replies = spark.sql(REPLIES, documents=table(spark, sf_dir, "documents")).withColumn("tags", tagging.parsed_reply(F.col("reply")))
+    return replies.select("doc_id", F.col("tags").isNotNull().alias("usable"), F.col("tags.content_type").alias("content_type"), F.col("tags.energy_level").alias("energy_level"))
 
 
 def prompt_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +139,7 @@ def cached_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _job_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(a) for a in ("submit", "start", "report", "report", "report", "finish", "cancel", "fail")])
-    events = table(spark, sf_dir, "events")
-    action = F.when(F.col("event_id") % 13 < 2, "start").otherwise(F.get(names, (F.pmod(F.xxhash64("event_id"), F.lit(8))).cast("int")))
-    return events.select((F.floor(F.col("event_id") / 12)).alias("job_id"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("value") / 100).alias("value"))
+    return spark.sql(JOB_ACTIONS, events=table(spark, sf_dir, "events")).withColumn("job_id", F.col("job_id").cast("long"))
 
 
 def job_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,16 +153,8 @@ def job_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _upload_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.pmod(F.col("event_id"), F.lit(9))
-    place = F.col("event_id") % 20
-    return table(spark, sf_dir, "events").select(
-        F.floor(F.col("event_id") / 20).alias("upload_id"),
-        F.col("event_id").alias("seq"),
-        F.when(place >= 17, "finalize").when((place == 16) & (kind == 0), "abort").otherwise("chunk").alias("action"),
-        (place * 10 - F.when(kind == 4, 10).otherwise(0)).cast("long").alias("offset"),
-        F.lit(10).cast("long").alias("length"),
-        F.lit(160).cast("long").alias("declared"),
-    )
+    found = spark.sql(UPLOAD_ACTIONS, events=table(spark, sf_dir, "events"))
+    return found.select("seq", "action", *[F.col(c).cast("long").alias(c) for c in ("upload_id", "offset", "length", "declared")])
 
 
 def upload_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,9 +183,10 @@ _FLAT = "replace(lower(regexp_replace({0}, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')), '
 
 ORACLE_SQL = {
     "title_matches": f"SELECT doc_id, item_id AS title_id FROM documents d JOIN benchmark b ON contains({_FLAT.format('d.text')}, {_FLAT.format('trim(b.text)')}) WHERE length(b.text) >= 8",
-    "leak_verdict": """
-        WITH c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS w, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS g, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END AS t, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END AS r FROM documents)
-        SELECT doc_id, w AS n_wave_titles, g AS n_gate_commands, t AS n_timelines, r AS n_report_paths, greatest(w, g, t, r) AS strongest, CASE WHEN w > 1 THEN w ELSE 0 END + g + t + r AS combined, greatest(w, g, t, r) >= 3 OR CASE WHEN w > 1 THEN w ELSE 0 END + g + t + r >= 6 AS leak FROM c""",
+    "leak_verdict": f"""
+        WITH c AS (SELECT doc_id, {", ".join(f"len(list_distinct(list_transform(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}', {g}), lambda h: lower(trim(h))))) AS n_{name}" for name, (p, g) in text.SIGNALS.items())} FROM (SELECT doc_id, {PLANTED} AS t FROM documents)),
+        s AS (SELECT *, greatest({", ".join(f"n_{n}" for n in text.SIGNALS)}) AS strongest, {" + ".join(f"CASE WHEN n_{n} >= 2 THEN n_{n} ELSE 0 END" for n in text.SIGNALS)} AS combined FROM c)
+        SELECT doc_id, {", ".join(f"n_{n}" for n in text.SIGNALS)}, strongest, combined, strongest >= 3 OR combined >= 6 AS leak FROM s""",
     "text_windows": """SELECT doc_id, w::INT AS "window", w::INT * 900 AS start, length(text[w * 900 + 1:w * 900 + 1000]) AS n
         FROM (SELECT doc_id, text, unnest(range(greatest(1, ceil((length(text) - 100) / 900)::INT))) AS w FROM documents)""",
     "page_sections": """
@@ -207,13 +196,53 @@ ORACLE_SQL = {
     "folded_turns": """
         WITH m AS (SELECT conv_id, turn, trim(text, ' ') AS t, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS item FROM conversations)
         SELECT conv_id, item, md5(string_agg(t, ' ' ORDER BY turn)) AS text_md5 FROM m WHERE item > 0 GROUP BY conv_id, item""",
-    "plan_cells": """SELECT * FROM (VALUES ('03–06', '03,04,05,06', true, 'yes if late', 'Spark,SQL,Arrow', 'bold_name'), ('7', '', false, 'no', '', 'x'), ('01', '01', false, NULL, 'one', 'plain'), ('05-04', '', true, 'YES', '', '')) AS t(span, ids, required, note, tech, cell)""",
-    "plan_prompts": """SELECT * FROM (VALUES ('01', 'First', false, 0, 'Base Camp', 'not stated', 'Spark,SQL', 'one goes on;two'), ('02', 'Second', true, 1, 'Long Way', '3 weeks', 'Arrow', ''))
-        AS t(id, name, review_required, wave, wave_title, timeline, tech, deliverables)""",
+    "plan_cells": rf"""
+        WITH p AS (SELECT *, try_cast(nullif(regexp_extract(span, '([0-9]{{2}})(?:\s*[—–-]\s*([0-9]{{2}}))?', 1), '') AS INT) AS a, try_cast(nullif(regexp_extract(span, '([0-9]{{2}})(?:\s*[—–-]\s*([0-9]{{2}}))?', 2), '') AS INT) AS b FROM ({PLAN.format(orders="orders")}))
+        SELECT o_orderkey, coalesce(array_to_string(list_transform(range(a, coalesce(b, a) + 1), lambda n: lpad(n::VARCHAR, 2, '0')), ','), '') AS ids, contains(lower(review), 'yes') AS required,
+               nullif(trim(regexp_replace(review, '[*`]+', '', 'g')), '') AS note, array_to_string(list_filter(list_transform(regexp_split_to_array(tech, '\s*[·|]\s*'), lambda t: trim(t)), lambda t: t <> ''), ',') AS tech,
+               trim(regexp_replace(cell, '[*`]+', '', 'g')) AS cell FROM p""",
+    "plan_prompts": """
+        WITH c AS (SELECT *, c_custkey % 60 + 10 AS one, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 9 + 1) || ' weeks' ELSE 'not stated' END AS timeline, (c_custkey % 6)::INT AS wave FROM customer)
+        SELECT c_custkey, one::VARCHAR AS id, c_name AS name, c_custkey % 5 = 0 AS review_required, wave, 'Camp ' || c_name AS wave_title, timeline, 'Spark,' || c_mktsegment AS tech, c_mktsegment || ' goes on ' || c_custkey || ';two' AS deliverables FROM c
+        UNION ALL SELECT c_custkey, (one + 2)::VARCHAR, 'Second', false, CASE WHEN c_custkey % 2 = 0 THEN wave ELSE -1 END, CASE WHEN c_custkey % 2 = 0 THEN 'Camp ' || c_name ELSE 'Unassigned' END, CASE WHEN c_custkey % 2 = 0 THEN timeline ELSE 'not stated' END, 'Arrow', '' FROM c""",
+    "token_bucket": """
+        WITH RECURSIVE q AS (SELECT (user_id % 4)::VARCHAR AS key, event_id AS request_id, floor(epoch(ts)) AS at_s, ts::DATE::VARCHAR AS day, row_number() OVER (PARTITION BY user_id % 4 ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
+        f AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS request_id, false AS granted, 3.0::DOUBLE AS tokens, NULL::DOUBLE AS last_s, NULL::VARCHAR AS day, 0::BIGINT AS day_count FROM (SELECT DISTINCT key FROM q)
+              UNION ALL
+              SELECT key, i, request_id, ok AND filled >= 1, CASE WHEN ok AND filled >= 1 THEN filled - 1 ELSE filled END, CASE WHEN ok THEN at_s ELSE last_s END, day, spent + CASE WHEN ok AND filled >= 1 THEN 1 ELSE 0 END
+              FROM (SELECT *, CASE WHEN ok THEN least(3.0::DOUBLE, tokens + greatest(0.0::DOUBLE, at_s - coalesce(last_s, at_s)) * 3 / 60.0::DOUBLE) ELSE tokens END AS filled
+                    FROM (SELECT q.key, q.i, q.request_id, q.at_s, q.day, f.tokens, coalesce(f.last_s, q.at_s) AS last_s, CASE WHEN q.day = f.day THEN f.day_count ELSE 0 END AS spent, CASE WHEN q.day = f.day THEN f.day_count ELSE 0 END < 40 AS ok
+                          FROM f JOIN q ON q.key = f.key AND q.i = f.i + 1)))
+        SELECT key, request_id, granted, round(tokens, 6) AS tokens, day_count FROM f WHERE i > 0""",
+    "job_state_machine": f"""
+        WITH RECURSIVE q AS (SELECT CAST(job_id AS BIGINT) AS job_id, seq, action, value, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS i FROM ({JOB_ACTIONS.format(events="events")})),
+        f AS (SELECT job_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS action, false AS accepted, 'queued' AS status, 0.0::DOUBLE AS progress, false AS asked FROM (SELECT DISTINCT job_id FROM q)
+              UNION ALL
+              SELECT q.job_id, q.i, q.seq, q.action,
+                     CASE q.action WHEN 'submit' THEN f.i = 0 WHEN 'start' THEN f.status = 'queued' WHEN 'cancel' THEN f.status IN ('queued', 'running') ELSE f.status = 'running' END,
+                     CASE WHEN f.status = 'queued' AND q.action = 'start' THEN 'running' WHEN f.status = 'queued' AND q.action = 'cancel' THEN 'cancelled' WHEN f.status = 'running' AND q.action = 'fail' THEN 'failed'
+                          WHEN f.status = 'running' AND q.action = 'finish' THEN CASE WHEN f.asked THEN 'cancelled' ELSE 'succeeded' END ELSE f.status END,
+                     CASE WHEN f.status = 'running' AND q.action = 'report' THEN greatest(f.progress, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(q.value, f.progress)))) WHEN f.status = 'running' AND q.action = 'finish' AND NOT f.asked THEN 1.0::DOUBLE ELSE f.progress END,
+                     f.asked OR (f.status = 'running' AND q.action = 'cancel')
+              FROM f JOIN q ON q.job_id = f.job_id AND q.i = f.i + 1)
+        SELECT job_id, seq, action, accepted, status, progress FROM f WHERE i > 0""",
+    "upload_fold": f"""
+        WITH RECURSIVE q AS (SELECT CAST(upload_id AS BIGINT) AS upload_id, seq, action, "offset" AS start, length, declared, row_number() OVER (PARTITION BY upload_id ORDER BY seq) AS i FROM ({UPLOAD_ACTIONS.format(events="events").replace("AS offset", 'AS "offset"')})),
+        f AS (SELECT upload_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS action, NULL::VARCHAR AS outcome, 0::BIGINT AS received, 'in_progress' AS status FROM (SELECT DISTINCT upload_id FROM q)
+              UNION ALL
+              SELECT upload_id, i, seq, action, outcome, CASE WHEN outcome = 'accepted' THEN start + length ELSE received END, CASE WHEN outcome IN ('completed', 'aborted') THEN outcome ELSE status END
+              FROM (SELECT q.*, f.received, f.status, CASE WHEN q.action = 'finalize' AND f.status = 'completed' THEN 'duplicate' WHEN f.status <> 'in_progress' THEN 'closed' WHEN q.action = 'abort' THEN 'aborted'
+                           WHEN q.action = 'finalize' THEN CASE WHEN f.received = q.declared THEN 'completed' ELSE 'incomplete' END
+                           WHEN q.start <> f.received THEN 'wrong_offset' WHEN q.start + q.length > q.declared THEN 'too_large' ELSE 'accepted' END AS outcome
+                    FROM f JOIN q ON q.upload_id = f.upload_id AND q.i = f.i + 1))
+        SELECT upload_id, seq, action, outcome, received, status FROM f WHERE i > 0""",
     "clip_neighbours": """WITH t AS (SELECT user_id, event_id AS moment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame FROM events)
         SELECT event_id, (event_id % 90)::INT AS frame, coalesce(abs(moment - event_id)::DOUBLE, 1e308::DOUBLE) AS error FROM events e LEFT JOIN t ON t.user_id = e.user_id AND t.frame = event_id % 90""",
     "plan_lookup": """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE -1 END AS wave, CASE o_orderpriority WHEN '1-URGENT' THEN 'now' WHEN '2-HIGH' THEN 'soon' ELSE 'Unassigned' END AS title FROM orders""",
-    "model_replies": "SELECT * FROM (VALUES (0, true, 'lift', 'high'), (1, false, NULL, NULL), (2, true, NULL, NULL), (3, false, NULL, NULL), (4, false, NULL, NULL), (5, false, NULL, NULL)) AS t(id, usable, content_type, energy_level)",
+    "model_replies": f"""
+        WITH r AS (SELECT doc_id, CASE WHEN json_valid(reply) THEN array_to_string(json_extract_string(reply, '$.candidates[0].content.parts[*].text'), '') END AS t FROM ({REPLIES.format(documents="documents")})),
+        u AS (SELECT doc_id, t, coalesce(CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' AND coalesce(json_type(t, '$.content_type'), 'NULL') IN ('VARCHAR', 'NULL') AND coalesce(json_type(t, '$.energy_level'), 'NULL') IN ('VARCHAR', 'NULL') END, false) AS usable FROM r)
+        SELECT doc_id, usable, CASE WHEN usable THEN json_extract_string(t, '$.content_type') END AS content_type, CASE WHEN usable THEN json_extract_string(t, '$.energy_level') END AS energy_level FROM u""",
     "prompt_metrics": "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN printf('%.2f', p_size / 4 + 0.001::DOUBLE) ELSE 'not measured' END AS metric FROM part",
     "cached_tagging": """SELECT d.doc_id AS scene_id, CASE WHEN l.doc_id IS NOT NULL THEN l.quality::VARCHAR WHEN d.doc_id % 3 <> 0 AND length(text) <= 5000 THEN 'tag-' || length(text) % 7 END AS tag,
         CASE WHEN l.doc_id IS NOT NULL THEN 'cache' WHEN d.doc_id % 3 <> 0 AND length(text) <= 5000 THEN 'api' ELSE 'degraded' END AS source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",

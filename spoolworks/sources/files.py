@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, length, sha256) of the files below a path. Spark lists no empty files."""
+    """(path, name, length, sha256) of the files below a path, of up to 2 GB each: a file is one row. Spark lists no empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
@@ -61,19 +61,30 @@ def day_count(state: Column, today: Column, limit: int) -> Column:
     return F.when(day.isNull() | count.isNull() | (count < 0), F.lit(limit)).when(day != today, F.lit(0)).otherwise(count).cast("long")
 
 
+# Markers of a JPEG, and how the payload of an EXIF segment begins.
+JPEG_START, SCAN, APP1 = b"\xff\xd8", 0xDA, 0xE1
+WITHOUT_LENGTH = {0xD8, 0xD9, *range(0xD0, 0xD8)}
+EXIF = b"Exif\x00\x00"
+
+
 @F.pandas_udf(T.BinaryType())
 def without_exif(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """JPEG bytes without APP1 segments; anything that is no well-formed JPEG comes back as it is."""
+    """JPEG bytes without their EXIF segments; other APP1 segments stay. What is no JPEG or ends inside a segment's head comes
+    back as it is."""
 
     def strip(data: bytes | None) -> bytes | None:
-        if data is None or data[:2] != b"\xff\xd8":
+        if data is None or not data.startswith(JPEG_START):
             return data
-        out, at = [data[:2]], 2
-        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
-            size = 2 + int.from_bytes(data[at + 2 : at + 4], "big")
-            if size < 4 or at + size > len(data):
+        out, at = [JPEG_START], 2
+        while data[at : at + 1] == b"\xff" and data[at + 1 : at + 2] != bytes([SCAN]):
+            head = data[at : at + 4]
+            if len(head) > 1 and head[1] in WITHOUT_LENGTH:
+                size = 2
+            elif len(head) < 4:
                 return data
-            if data[at + 1] != 0xE1:
+            else:
+                size = 2 + int.from_bytes(head[2:], "big")
+            if not (head[1] == APP1 and data[at + 4 : at + size].startswith(EXIF)):
                 out.append(data[at : at + size])
             at += size
         return b"".join([*out, data[at:]])

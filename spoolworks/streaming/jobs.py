@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spoolworks.streaming.folds import fold, stream_fold
 
@@ -54,6 +55,35 @@ def run_stream(actions: DataFrame) -> DataFrame:
     return stream_fold(actions.select("job_id", "seq", "action", "value"), "job_id", ["seq"], step, OUT, STATE)
 
 
+def stepped(events: DataFrame) -> DataFrame:
+    """`events` (job_id, seq, step, at, until, within) with `progress`, the step they belong to, and whether they are persisted.
+
+    An event with a step enters it: the boundary is written and published. The others are ticks inside the step's span
+    [at, until), which are published only. Progress never falls; before any step it is 0.
+    """
+    so_far = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    span = F.last(F.when(F.col("step").isNotNull(), F.struct("step", "at", "until")), ignorenulls=True).over(so_far)
+    spanned = events.withColumn("__span", span)
+    reached = F.when(F.col("step").isNotNull(), F.col("at")).otherwise(F.col("__span.at") + F.col("within") * (F.col("__span.until") - F.col("__span.at")))
+    moved = spanned.withColumn("__to", F.coalesce(reached, F.lit(0.0)))
+    progress = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.max("__to").over(so_far)))
+    return moved.select("job_id", "seq", F.col("__span.step").alias("step"), F.col("step").isNotNull().alias("persisted"), progress.alias("progress"))
+
+
+def ended(steps: DataFrame, ends: DataFrame) -> DataFrame:
+    """The terminal write of each job: (job_id, status, progress, step, error, finished_at).
+
+    steps: what stepped() gives; ends (job_id, status, error, finished_at). Success has progress 1, other ends the last that
+    was reported; only a failure has an error.
+    """
+    last = steps.groupBy("job_id").agg(F.max_by(F.struct("step", "progress"), "seq").alias("last"))
+    done = F.col("status") == "succeeded"
+    return ends.join(last, "job_id", "left").select(
+        "job_id", "status", F.when(done, 1.0).otherwise(F.coalesce("last.progress", F.lit(0.0))).alias("progress"),
+        F.col("last.step").alias("step"), F.when(F.col("status") == "failed", F.col("error")).alias("error"), "finished_at",
+    )
+
+
 def recovered(jobs: DataFrame) -> DataFrame:
     """Jobs after a crash: open ones are queued again from the start."""
     was_open = F.col("status").isin(*OPEN)

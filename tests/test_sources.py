@@ -1,13 +1,15 @@
 """Files and plans."""
 
 import hashlib
+import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from spoolworks.operators import plan, scan, sequences
 from spoolworks.plans.handlers import Handlers
-from spoolworks.sources import files
+from spoolworks.sources import files, tables
 
 PLAN = """# Guide
 | 0 – Base Camp | x | 01 |
@@ -66,9 +68,9 @@ def test_small_column_sources(spark):
 
 def test_exif_goes(spark):
     segment = lambda kind, body: b"\xff" + bytes([kind]) + (len(body) + 2).to_bytes(2, "big") + body
-    image = b"\xff\xd8" + segment(0xE0, b"JFIF") + segment(0xE1, b"Exif secret") + b"\xff\xda" + b"pixels"
+    image = b"\xff\xd8" + segment(0xE0, b"JFIF") + segment(0xE1, b"Exif\0\0secret") + segment(0xE1, b"http://xmp") + b"\xff\xd0" + b"\xff\xda" + b"pixels"
     rows = spark.createDataFrame([(image,), (b"png",), (None,)], "i binary").select(files.without_exif("i").alias("o")).collect()
-    assert [None if r.o is None else bytes(r.o) for r in rows] == [b"\xff\xd8" + segment(0xE0, b"JFIF") + b"\xff\xda" + b"pixels", b"png", None]
+    assert [None if r.o is None else bytes(r.o) for r in rows] == [b"\xff\xd8" + segment(0xE0, b"JFIF") + segment(0xE1, b"http://xmp") + b"\xff\xd0\xff\xda" + b"pixels", b"png", None]
 
 
 def test_titles_by_join_are_those_of_the_automaton(spark, sf):
@@ -77,6 +79,30 @@ def test_titles_by_join_are_those_of_the_automaton(spark, sf):
     assert sorted(scan.title_matches(docs, titles).collect()) == sorted(scan.title_matches(docs, titles, automaton_bytes=0).collect())
 
 
+def test_titles_of_repeated_rows_are_the_same_on_both_ways(spark):
+    docs = spark.createDataFrame([(1, "A long  title here"), (1, "A long  title here"), (1, "other text"), (None, "so a long title hereby"), (2, None), (3, "short")], "doc_id long, text string")
+    titles = spark.createDataFrame([(7, "a long title"), (7, "a long title"), (None, "LONG TITLE HERE"), (8, "a long titmouse"), (9, None), (9, "short")], "title_id long, text string")
+    ways = [sorted(map(str, scan.title_matches(docs, titles, automaton_bytes=n).collect())) for n in (scan.AUTOMATON_BYTES, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 9
+
+
+def test_written_tables_go_and_a_cluster_needs_a_shared_folder(spark, tmp_path):
+    scratch = tables.Scratch(spark)
+    kept, gone = scratch.written(spark.range(5), "kept"), scratch.written(spark.range(7), "gone")
+    where = scratch.paths["gone"].removeprefix("file://")
+    assert gone.count() == 7 and os.path.isdir(where)
+    scratch.remove("gone")
+    assert kept.count() == 5 and not os.path.exists(where) and set(scratch.paths) == {"kept"}
+
+    class Elsewhere:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    session = SimpleNamespace(sparkContext=Elsewhere, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_dir(session)
+
+
 def test_windows_cover_and_overlap(spark):
     texts = spark.createDataFrame([(1, "x" * 25), (2, ""), (3, "abc")], "k long, t string")
     found = sorted((r.k, r.window, r.start, len(r.text)) for r in scan.windows(texts, "k", "t", 10, 3).collect())

@@ -2,7 +2,7 @@
 
 import collections
 
-from spoolworks.operators import lookups, sequences
+from spoolworks.operators import lookups, sequences, tagging
 from spoolworks.plans.registry import QUERIES
 from spoolworks.sources import files
 
@@ -89,3 +89,15 @@ def test_stream_end_adds_the_last_step(spark):
 def test_rows_of_lost_files_go(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (4, "x")], "id int, stored_path string")
     assert sorted(r.id for r in files.without_lost(rows, spark.createDataFrame([("x",), ("x",), ("z",)], "path string")).collect()) == [1, 4]
+
+
+def test_descendants_of_chains_cycles_and_orphans(spark):
+    nodes = [(0, None), *[(i, i - 1) for i in range(1, 300)], (500, None), (600, 601), (601, 600), (700, 999), (501, 500)]
+    found = {r.node: (r.root, r.depth) for r in lookups.descendants(spark.createDataFrame(nodes, "n long, p long"), "n", "p").collect()}
+    assert found == {i: (0, i) for i in range(300)} | {500: (500, 0), 501: (500, 1)}
+
+
+def test_retries_end_at_replies_refusals_and_empty_buckets(spark):
+    rows = [("a", 0, True, 503), ("a", 1, True, None), ("a", 2, True, 200), ("b", 0, True, 404), ("b", 1, True, 200), ("c", 0, True, 429), ("c", 1, False, None), ("d", 0, True, 500), ("d", 1, True, 500), ("d", 2, True, 429), ("d", 3, True, 200)]
+    found = {r.scene_id: (r.source, r.tries, r.tokens, round(r.waited, 6)) for r in tagging.retried(spark.createDataFrame(rows, "scene_id string, attempt int, granted boolean, status int")).collect()}
+    assert found == {"a": ("api", 3, 3, 0.6), "b": ("degraded", 1, 1, 0.0), "c": ("degraded", 2, 1, 0.2), "d": ("degraded", 3, 3, 0.6)}
