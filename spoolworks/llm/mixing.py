@@ -114,23 +114,23 @@ def mix(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.col(id_col)).alias("dealt"),
+            F.xxhash64(F.col(id_col), F.col(text_col), *own).alias("dealt"),
             *own,
         ),
         "sizes",
     )
     shares = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most), "targets")
-    # Documents are numbered in each part of a source, so no task sees a source whole. The part of a repeated id is
-    # one, its numbers differ.
+    # Documents are numbered in each part of a source, so no task sees a source whole. Parts go by id and text, so null and
+    # repeated ids are no hot part; rows that tie on all of it are equal, and may change places.
     rounds, many = 2, sized.count()
     while many > ROWS_OF_A_PART * 16**rounds:
         rounds += 1
-    inside = Window.partitionBy("source", "part").orderBy(F.desc("size"), "doc_id", *own)
+    inside = Window.partitionBy("source", "part").orderBy(F.desc("size"), "doc_id", "dealt", *own)
     times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     placed = written(
         sized.withColumn("part", F.pmod("dealt", F.lit(16**rounds)).cast("int"))
-        .drop("dealt")
         .withColumn("place", F.row_number().over(inside).cast("long") - 1)
+        .drop("dealt")
         .join(shares.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named")))
         .drop("named")
         .withColumn("times", times)

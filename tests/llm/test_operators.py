@@ -337,6 +337,16 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0
 
 
+def test_mixing_of_null_ids_agrees_between_reruns(spark):
+    rows = [(None, "w " * (i % 7) + f"w{i} x", "s") for i in range(2000)] + [(i, "a b c d", "t") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [sorted((r.source, r.doc_id or -1, r.size, r.taken, r.target) for r in mixing.mix(f).collect()) for f in (frame, frame.repartition(9))]
+    assert found[0] == found[1]
+    for source in ("s", "t"):
+        of = [r for r in found[0] if r[0] == source]
+        assert abs(sum(r[3] for r in of) - of[0][4]) <= max(r[2] for r in of)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64))
     index = PerfectHash.load(PerfectHash.build(keys).dump())
