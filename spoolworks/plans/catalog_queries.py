@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spoolworks.functions.requests import page_limit
 from spoolworks.functions.text import is_digest
 from spoolworks.operators import catalog, rows
 from spoolworks.sources.tables import table
@@ -32,7 +33,7 @@ def scene_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(page_limit(50))
 
 
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

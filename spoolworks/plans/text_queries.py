@@ -125,7 +125,7 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.token_bucket(_requests(spark, sf_dir), per_minute=3, per_day=40).select("key", "request_id", "granted", F.round("tokens", 6).alias("tokens"), "day_count")
 
 
-def cached_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Labels as cache, a fake caller that fails on long texts, and a budget for the misses."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     cache = labels.select(F.col("doc_id").alias("scene_id"), F.col("quality").cast("string").alias("tag"))
@@ -135,7 +135,16 @@ def cached_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     def call(lengths: pd.Series) -> pd.Series:
         return lengths.map(lambda n: None if n > 5000 else f"tag-{n % 7}")
 
-    return tagging.cache_first(scenes, cache, granted, call, "length")[0]
+    return tagging.cache_first(scenes, cache, granted, call, "length")
+
+
+def cached_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir)[0]
+
+
+def cache_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the tagging adds to the cache: of completed calls only."""
+    return _tagged(spark, sf_dir)[1]
 
 
 def _job_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +185,7 @@ def resume_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     title_matches, leak_verdict, text_windows, page_sections, folded_turns, plan_cells, plan_prompts, stored_files, clip_neighbours, plan_lookup, model_replies, prompt_metrics, token_bucket,
-    cached_tagging, job_state_machine, job_recovery, upload_fold, adopted_uploads, resume_offsets,
+    cached_tagging, cache_additions, job_state_machine, job_recovery, upload_fold, adopted_uploads, resume_offsets,
 )}
 
 _FLAT = "replace(lower(regexp_replace({0}, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')), 'ß', 'ss')"
@@ -246,6 +255,8 @@ ORACLE_SQL = {
     "prompt_metrics": "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN printf('%.2f', p_size / 4 + 0.001::DOUBLE) ELSE 'not measured' END AS metric FROM part",
     "cached_tagging": """SELECT d.doc_id AS scene_id, CASE WHEN l.doc_id IS NOT NULL THEN l.quality::VARCHAR WHEN d.doc_id % 3 <> 0 AND length(text) <= 5000 THEN 'tag-' || length(text) % 7 END AS tag,
         CASE WHEN l.doc_id IS NOT NULL THEN 'cache' WHEN d.doc_id % 3 <> 0 AND length(text) <= 5000 THEN 'api' ELSE 'degraded' END AS source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    "cache_additions": """SELECT doc_id AS scene_id, 'tag-' || length(text) % 7 AS tag FROM documents
+        WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AND doc_id % 3 <> 0 AND length(text) <= 5000""",
     "job_recovery": """SELECT o_orderkey AS id, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'queued' ELSE 'succeeded' END AS status, CASE WHEN o_orderstatus IN ('O', 'P') THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS progress,
         CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN 'step' END AS step, CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN o_orderdate END AS started_at FROM orders""",
     "adopted_uploads": """

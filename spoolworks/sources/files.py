@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Fixed value: bytes of a chunk of a served file.
+CHUNK = 64 << 10
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, length, sha256) of the files below a path, of up to 2 GB each: a file is one row. Spark lists no empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -54,6 +58,12 @@ def byte_slice(content: Column, start: Column, end: Column) -> Column:
     return F.substring(content, start + 1, end - start + 1)
 
 
+def chunk_spans(start: Column, end: Column, size: int = CHUNK) -> Column:
+    """struct(start, end), both counted, of each chunk that the bytes start to end are sent in; none if there are no such bytes."""
+    spans = F.transform(F.sequence(start, F.greatest(start, end), F.lit(size).cast("long")), lambda a: F.struct(a.alias("start"), F.least(a + size - 1, end).alias("end")))
+    return F.filter(spans, lambda s: s["start"] <= s["end"])
+
+
 def day_count(state: Column, today: Column, limit: int) -> Column:
     """Requests already spent today by a state file's JSON (date, count): none if it is of another day, all if it can't be read."""
     parsed = F.try_parse_json(state)

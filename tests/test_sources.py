@@ -120,3 +120,9 @@ def test_unknown_job_types_fail_with_a_cause(spark):
     assert handlers.run("keep", spark.range(3)).count() == 3
     with pytest.raises(LookupError, match="not supported"):
         handlers.run("other", spark.range(1))
+
+
+def test_chunks_cover_a_body_once(spark):
+    asked = spark.createDataFrame([(0, 9), (3, 3), (0, 0), (5, 4), (2, 11), (None, 4)], "s long, e long")
+    found = [[tuple(c) for c in r.c] if r.c is not None else None for r in asked.select(files.chunk_spans(F.col("s"), F.col("e"), 4).alias("c")).collect()]
+    assert found == [[(0, 3), (4, 7), (8, 9)], [(3, 3)], [(0, 0)], [], [(2, 5), (6, 9), (10, 11)], None]
