@@ -145,9 +145,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM n WINDOW w AS (PARTITION BY norm)""",
     "op10_jump_sharding": f"""
         WITH RECURSIVE hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        r AS (SELECT doc_id, length(h) // 2 + 16 AS size, md5(doc_id::VARCHAR)[1:2] AS bucket,
+        c AS (SELECT doc_id, length(h) // 2 + 16 AS size,
               xor(list_reduce([('0x' || x)::BIGINT FOR x IN regexp_extract_all(h, '..')],
                   lambda a, b: xor(a >> 8, ({[_crc_entry(i) for i in range(256)]})[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM hexed),
+        r AS (SELECT *, md5(concat_ws('-', doc_id::VARCHAR, text_crc32::VARCHAR))[1:2] AS bucket FROM c),
         g AS (SELECT DISTINCT doc_id, n, 0::BIGINT AS b, 0::BIGINT AS j, doc_id::HUGEINT AS s FROM documents, (VALUES (40), (41)) AS t(n)
               UNION ALL
               SELECT doc_id, n, j, floor((j + 1) * (2147483648::DOUBLE / (((s * 2862933555777941757 + 1) % 18446744073709551616 // 8589934592)::DOUBLE + 1)))::BIGINT,

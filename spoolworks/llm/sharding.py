@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spoolworks.sources.tables import written
+
 # Fixed values of the published algorithm.
 MULTIPLIER = 2862933555777941757
 TWO_64 = 1 << 64
 TWO_33 = 1 << 33
 TWO_31 = 1 << 31
 
+#: Equal rows that one task writes out at most.
+PIECE = 1 << 16
+
 
 def jump_hash(key: Column, shards: int) -> Column:
     """The shard, 0 to shards - 1, of an integer `key`; a null key goes to shard 0.
@@ -49,10 +54,11 @@ def shard(
     `law` is `key`: the id and the number of shards alone decide. `grown_shard` is the shard with `grow_to`
     shards (one more, unless given); a row either stays or goes to a new shard.
     `slot` counts 0, 1, ... in each shard without gaps, in the order of (bucket, id, size, crc), bucket being
-    the first two hex digits of the id's MD5. Each (shard, bucket) is numbered by itself and starts after the
-    rows of the buckets before it, so no task sorts a whole shard. The table of starts has shards * 257 rows at most.
+    the first two hex digits of the MD5 of id and crc. Each (shard, bucket) is numbered by itself and starts after the
+    rows of the buckets before it, so no task sorts a whole shard, and the rows of one id are spread by their texts.
+    Rows equal in id, size and crc are counted, not sorted, and get the slots that follow one another.
 
-    A null or empty text has size 16 and CRC 0; a null id is hashed as 0 in bucket 00. Rows that repeat an id
+    A null or empty text has size 16 and CRC 0; a null id is hashed as 0. Rows that repeat an id
     share its shard and get slots of their own. An empty table gives no rows; other columns are left behind.
     """
     key = F.col(id_col).cast("long")
@@ -63,30 +69,25 @@ def shard(
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         jump_hash(key, shards).alias("shard"),
         jump_hash(key, grow_to or shards + 1).alias("grown_shard"),
-        F.coalesce(F.substring(F.md5(key.cast("string").cast("binary")), 1, 2), F.lit("00")).alias("bucket"),
-    )
-    # The starts need the ids alone: this second scan reads one column.
-    counts = (
-        docs.select(
-            jump_hash(key, shards).alias("shard"),
-            F.coalesce(F.substring(F.md5(key.cast("string").cast("binary")), 1, 2), F.lit("00")).alias("bucket"),
-        )
-        .groupBy("shard", "bucket")
-        .count()
-    )
+    ).withColumn("bucket", F.substring(F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string")).cast("binary")), 1, 2))
+    equal = written(rows.groupBy("shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard").agg(F.count("*").alias("rows")), "shard-rows")
+
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
-    return (
-        rows.withColumn("place", F.row_number().over(inside) - 1)
-        .join(F.broadcast(starts), ["shard", "bucket"])
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.lit("key").alias("law"),
-            "shard",
-            (F.col("start") + F.col("place")).cast("long").alias("slot"),
-            "grown_shard",
-        )
+    counts = equal.groupBy("shard", "bucket").agg(F.sum("rows").alias("rows"))
+    starts = counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    placed = equal.withColumn("first", F.coalesce(F.sum("rows").over(inside), F.lit(0))).join(starts, ["shard", "bucket"])
+    pieces = placed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / PIECE))))
+    if (equal.agg(F.max("rows")).first()[0] or 0) > PIECE:
+        # So many equal rows are more than one task's output.
+        pieces = pieces.repartition("shard", "bucket", "doc_id", "text_crc32", "piece")
+    ends = F.least(F.col("rows"), (F.col("piece") + 1) * PIECE) - 1
+    return pieces.withColumn("n", F.explode(F.sequence(F.col("piece") * PIECE, ends))).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("key").alias("law"),
+        "shard",
+        (F.col("start") + F.col("first") + F.col("n")).cast("long").alias("slot"),
+        "grown_shard",
     )

@@ -69,6 +69,19 @@ def test_sharding(spark, sf, odd, none):
     assert sharding.shard(none, 40).count() == 0
 
 
+def test_slots_of_equal_rows_follow_one_another(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 100)
+    rows = spark.range(1500).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 < 2, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    found = sharding.shard(rows, 4).collect()
+    assert collections.Counter(r.doc_id for r in found) == collections.Counter(r.doc_id for r in rows.collect())
+    slots = collections.defaultdict(list)
+    for r in found:
+        slots[r["shard"]].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    same = sorted(r.slot for r in found if r.doc_id is None and r.text_crc32 == zlib.crc32(b"same"))
+    assert same == list(range(same[0], same[0] + 500))
+
+
 def test_exact_duplicates(odd, none):
     found = exact_dedup.exact_duplicates(odd).collect()
     assert len(found) == odd.count() and exact_dedup.exact_duplicates(none).count() == 0
