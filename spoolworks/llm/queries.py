@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spoolworks.llm.decontamination import contaminated
 from spoolworks.llm.exact_dedup import exact_duplicates
+from spoolworks.llm.fill_middle import digests, fill_in_middle
 from spoolworks.llm.language_id import identify
 from spoolworks.llm.line_dedup import drop_repeated_lines
 from spoolworks.llm.mixing import mix
@@ -16,6 +17,8 @@ from spoolworks.llm.near_dedup import near_duplicates
 from spoolworks.llm.quality import classify
 from spoolworks.llm.secrets import digest, find_secrets
 from spoolworks.llm.sharding import shard
+from spoolworks.llm.spelling import spelling_variants, word_counts
+from spoolworks.llm.urls import filter_urls, labelled_urls
 from spoolworks.llm.warc import bucket_digits, fixity, manifest, record_hashes, warc_record
 from spoolworks.sources.tables import table, written
 
@@ -70,6 +73,19 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), labelled_urls(spark))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs under seven letters can't give a word of seven, so the pattern leaves them out."""
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), r"[A-Za-z\u00C0-\u00FF]{7,}", slip=31, least_length=7, least_count=2))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_merkle_fixity": op2_merkle_fixity,
@@ -81,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_jump_sharding": op10_jump_sharding,
+    "op11_url_filter": op11_url_filter,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 
@@ -155,4 +174,31 @@ ORACLE_SQL: dict[str, str] = {
                      (s * 2862933555777941757 + 1) % 18446744073709551616 FROM g WHERE j < n),
         p AS (SELECT doc_id, max(b) FILTER (n = 40)::INT AS shard, max(b) FILTER (n = 41)::INT AS grown_shard FROM g WHERE j >= n GROUP BY doc_id)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM r JOIN p USING (doc_id)""",
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+        kinds AS (SELECT id, run, count(*) AS k, hex(encode(id || ':' || run)) AS x FROM runs WHERE length(run) > 6 GROUP BY id, run),
+        drawn AS (SELECT run, k, xor(list_reduce([('0x' || y)::BIGINT FOR y IN regexp_extract_all(x, '..')],
+                  lambda a, b: xor(a >> 8, ({[_crc_entry(i) for i in range(256)]})[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM kinds),
+        w AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(k)::BIGINT AS n FROM drawn GROUP BY 1 HAVING length(word) >= 7 AND sum(k) >= 2),
+        gaps AS (SELECT word, word[1:i - 1] || '?' || word[i + 1:] AS gap FROM w, unnest(range(1, length(word) + 1)) AS t(i)),
+        cuts AS (SELECT DISTINCT word, word[1:i - 1] || word[i + 1:] AS cut FROM w, unnest(range(1, length(word) + 1)) AS t(i)),
+        near AS (SELECT x.word AS a, y.word AS b FROM gaps x JOIN gaps y ON x.gap = y.gap AND x.word <> y.word
+                 UNION SELECT word, cut FROM cuts WHERE cut IN (SELECT word FROM w) UNION SELECT cut, word FROM cuts WHERE cut IN (SELECT word FROM w)),
+        best AS (SELECT a, count(*) AS n_near, arg_max(b, (w.n, -o.place)) AS form, max(w.n) AS form_n FROM near JOIN w ON w.word = near.b
+                 JOIN (SELECT word, row_number() OVER (ORDER BY encode(word)) AS place FROM w) AS o ON o.word = near.b GROUP BY a),
+        found AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM w LEFT JOIN best ON best.a = w.word),
+        chain AS (SELECT word, word AS at FROM found UNION ALL SELECT chain.word, found.form FROM chain JOIN found ON found.word = chain.at WHERE found.form IS NOT NULL)
+        SELECT found.word, found.form, chain.at AS root, found.n, found.n_near, found.form_n
+        FROM found JOIN chain ON chain.word = found.word JOIN found AS last ON last.word = chain.at AND last.form IS NULL""",
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        c AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+              CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                   WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT *, substring(t, 1, least(a, b)) AS pre, substring(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS mid, substring(t, greatest(a, b) + 1) AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars, CASE WHEN form <> 'plain' THEN greatest(a, b) - least(a, b) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p""",
 }
