@@ -91,11 +91,20 @@ def own_order(word: str) -> str:
 def orders(word: str, letter: int, swaps: bool, drops: bool) -> list[str]:
     """The distinct orders of what is left if one `letter` is exchanged (swaps) or deleted (drops). Deleting any letter of a run
     of equal ones leaves the same."""
+    if len(word) - 1 <= PLAIN_LENGTH:
+        sign, found, last = chr(letter), [], -2
+        i = word.find(sign)
+        while i >= 0:
+            before, after = word[:i], word[i + 1 :]
+            if swaps:
+                found.append(f"x{before}{GAP}{after}")
+            if drops and i > last + 1:
+                found.append(f"d{before}{after}")
+            last, i = i, word.find(sign, i + 1)
+        return found
     letters = codes(word)
     at = np.flatnonzero(letters == letter)
     heads = at[np.diff(at, prepend=-2) > 1]
-    if len(word) - 1 <= PLAIN_LENGTH:
-        return [f"x{word[:i]}{GAP}{word[i + 1 :]}" for i in at if swaps] + [f"d{word[:i]}{word[i + 1 :]}" for i in heads if drops]
     residues = Residues(letters)
     found = residue_text("X", len(word), residues.gapped(at)) if swaps else []
     return found + (residue_text("D", len(word) - 1, residues.without(heads)) if drops else [])
