@@ -21,18 +21,21 @@ from pyspark.sql.window import Window
 from spoolworks.llm.words import slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bounds of what is learned from: documents and distinct words of each language.
+#: Bounds of what is learned from: documents, characters and distinct words of each language.
 SAMPLE_DOCUMENTS = 1500
+SAMPLE_CHARS = 16_000_000
 SAMPLE_WORDS = 50_000
 ROUNDS = 3
 #: Pseudo-counts of the mean over languages in each language's counts, and of each piece in that mean.
 SMOOTHING = 50.0
 FLOOR = 0.1
-KNOWN_WORDS = 300_000
+#: Scores that a worker keeps: words times languages, but this many words at least.
+KNOWN_SCORES, KNOWN_WORDS = 8_000_000, 1000
 UNDETERMINED = "und"
 WORD_START = "▁"
-#: Marked words longer than this go alone.
+#: Marked words longer than this go alone, in blocks of so many places.
 LONG_WORD = 200
+BLOCK = 1 << 16
 # Odd multipliers of the hashes.
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FILTER_BITS = 20
@@ -125,16 +128,53 @@ class Lattices:
                 elif low < high:
                     yield start, end, at[low:high] % count, ids[low:high]
 
-    def along(self, marked: str) -> np.ndarray:
-        """The lattice of one word: for each place, the piece of each length that ends there."""
-        before = prefix_hashes_of_one(marked)
-        ids = np.full((len(marked), self.longest), self.none, np.int32)
+    def along(self, marked: str, first: int = 0, last: int | None = None) -> np.ndarray:
+        """The lattice of one word: for each place from `first` to `last`, the piece of each length that ends there."""
+        last = len(marked) if last is None else min(last, len(marked))
+        low = max(0, first - self.longest + 1)
+        before = prefix_hashes_of_one(marked[low:last])
+        ids = np.full((last - first, self.longest), self.none, np.int32)
         ids[:, 0] = self.unknown
-        for length in range(1, min(self.longest, len(marked)) + 1):
+        for length in range(1, min(self.longest, last - low) + 1):
             rows, found = self._found(before[length:] - before[:-length] * self.power[length])
-            ids[rows + length - 1, length - 1] = found
+            at = rows + low + length - 1 - first
+            ids[at[at >= 0], length - 1] = found[at >= 0]
         return ids
 
+    def onward(self, marked: str, first: int, last: int) -> np.ndarray:
+        """The same of the pieces that start at each place."""
+        ends = self.along(marked, first, last + self.longest - 1)
+        ids = np.full((last - first, self.longest), self.none, np.int32)
+        for k in range(self.longest):
+            held = ends[k : k + last - first, k]
+            ids[: len(held), k] = held
+        return ids
+
+    def total_along(self, marked: str, table: np.ndarray, block: int = BLOCK) -> np.ndarray:
+        """The log-probability of one word in each language. Memory hangs on the block, not on the word."""
+        walk = Walk(self.longest, table)
+        for first in range(0, len(marked), block):
+            logs = walk.over(self.along(marked, first, first + block))
+        return logs[-1]
+
+    def count_along(self, counts: np.ndarray, marked: str, weight: float, table: np.ndarray, costs: np.ndarray, block: int = BLOCK) -> None:
+        """Add to `counts` how often each piece is used in the segmentations of one word: forward sums first, 8 bytes a place, then
+        blocks from the last to the first."""
+        size, walk, ahead = len(marked), Walk(self.longest, table), [np.zeros(1)]
+        for first in range(0, size, block):
+            ahead.append(walk.over(self.along(marked, first, first + block))[:, 0])
+        ahead = np.concatenate(ahead)
+        walk, later = Walk(self.longest, table), np.zeros(1)
+        for first in range((size - 1) // block * block, -1, -block):
+            last = min(first + block, size)
+            ids = self.onward(marked, first, last)
+            back = np.concatenate([walk.over(ids[::-1])[::-1, 0], later])
+            for k in range(min(self.longest, size - first)):
+                own = ids[: size - k - first, k]
+                share = np.exp(ahead[first : first + len(own)] + costs[own] + back[k + 1 : k + 1 + len(own)] - ahead[size])
+                np.add.at(counts, own, share * weight)
+            later = back[: self.longest]
+
     def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """The log of the summed probability of all segmentations, a row a word and a column a language.
 
@@ -143,7 +183,7 @@ class Lattices:
         out = np.empty((len(words), table.shape[1]))
         for members, marked in marked_groups(words):
             if len(marked[0]) > LONG_WORD:
-                out[members] = [sums_along(self.along(w), table)[-1] for w in marked]
+                out[members] = [self.total_along(w, table) for w in marked]
             else:
                 out[members] = sums(self.places(marked), len(marked), len(marked[0]), self.longest, table)[-1]
         return out
@@ -156,15 +196,8 @@ class Lattices:
         with np.errstate(divide="ignore"):
             costs = np.log(column)
         for members, length, found in lattices:
-            if isinstance(found, np.ndarray):
-                back_ids = np.full_like(found, self.none)
-                for k in range(min(self.longest, length)):
-                    back_ids[: length - k, k] = found[k:, k]
-                ahead, back = sums_along(found, table)[:, 0], sums_along(back_ids[::-1], table)[::-1, 0]
-                for k in range(min(self.longest, length)):
-                    ids = found[k:, k]
-                    share = np.exp(ahead[: length - k] + costs[ids] + back[k + 1 :] - ahead[length])
-                    np.add.at(counts, ids, share * weights[members])
+            if isinstance(found, str):
+                self.count_along(counts, found, weights[members][0], table, costs)
                 continue
             mirrored = sorted(((length - end, length - start, rows, ids) for start, end, rows, ids in found), key=lambda p: p[1])
             ahead = sums(iter(found), len(members), length, self.longest, table)[:, :, 0]
@@ -176,11 +209,11 @@ class Lattices:
         return counts
 
     def held(self, words: list[str]) -> list[tuple]:
-        """The lattices of `words`, kept: (members, length, places), or (member, length, pieces along it) of a long one."""
+        """The lattices of `words`, kept: (members, length, places). A long word is kept itself: its lattice is made in blocks each time."""
         found: list[tuple] = []
         for members, marked in marked_groups(words):
             if len(marked[0]) > LONG_WORD:
-                found += [(members[i : i + 1], len(w), self.along(w)) for i, w in enumerate(marked)]
+                found += [(members[i : i + 1], len(w), w) for i, w in enumerate(marked)]
             else:
                 found.append((members, len(marked[0]), list(self.places(marked))))
         return found
@@ -228,23 +261,28 @@ def sums(places: Iterator[Place], count: int, length: int, longest: int, table:
     return logs
 
 
-def sums_along(ids: np.ndarray, table: np.ndarray, step: int = 4096) -> np.ndarray:
-    """sums() of one word given by the pieces along it, [place, language]: time in proportion to its length."""
-    length, longest = ids.shape
-    logs = np.zeros((length + 1, table.shape[1]))
-    window, scale = np.zeros((longest, table.shape[1])), np.zeros(table.shape[1])
-    window[0] = 1
-    for first in range(0, length, step):
-        chances = table[ids[first : first + step]]
-        for i, chance in enumerate(chances):
-            new = (window * chance).sum(axis=0)
-            window[1:] = window[:-1]
-            window[0] = new
-            logs[first + i + 1] = np.log(new) + scale
-            if i % 8 == 7:
-                window /= new
-                scale = scale + np.log(new)
-    return logs
+class Walk:
+    """The forward algorithm over one word, block after block: only as many places are kept as the longest piece reads."""
+
+    def __init__(self, longest: int, table: np.ndarray):
+        self.table, self.scale, self.steps = table, np.zeros(table.shape[1]), 0
+        self.window = np.zeros((longest, table.shape[1]))
+        self.window[0] = 1
+
+    def over(self, ids: np.ndarray, step: int = 4096) -> np.ndarray:
+        """Logs of the summed probabilities up to each place of the next block, [place, language]. ids: the pieces that end there, by length."""
+        logs, window = np.empty((len(ids), self.table.shape[1])), self.window
+        for first in range(0, len(ids), step):
+            for i, chance in enumerate(self.table[ids[first : first + step]], first):
+                new = (window * chance).sum(axis=0)
+                window[1:] = window[:-1]
+                window[0] = new
+                logs[i] = np.log(new) + self.scale
+                self.steps += 1
+                if self.steps % 8 == 0:
+                    window /= new
+                    self.scale = self.scale + np.log(new)
+        return logs
 
 
 class Model:
@@ -262,7 +300,7 @@ class Model:
             nonlocal rows
             split = [words_of(t) for t in texts]
             every = set().union(*split)
-            if len(known) + len(every) > KNOWN_WORDS:
+            if len(known) + len(every) > max(KNOWN_WORDS, KNOWN_SCORES // max(1, len(self.languages))):
                 known.clear()
                 rows = rows[:0]
             new = sorted(every - known.keys(), key=len)
@@ -318,16 +356,23 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def learn(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCUMENTS, most_words: int = SAMPLE_WORDS) -> Model:
-    """The model of a bounded sample of `docs`: about `per_language` rows of each language by the hash of their ids,
-    and the `most_words` most frequent words of each. A task fits each language; a number for each piece and language, and
-    the rows of each language, reach the driver. Languages are taken to be thousands at most."""
+def learn(
+    docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCUMENTS, most_words: int = SAMPLE_WORDS, most_chars: int = SAMPLE_CHARS
+) -> Model:
+    """The model of a bounded sample of `docs`: of each language about `per_language` rows by the hash of id and text, one at least, of
+    them the first that hold `most_chars` characters together (the very first whatever its length), and the `most_words` most
+    frequent words of these. Rows equal in id and text count once. A task fits each language; a number for each piece and
+    language, and the rows of each language, reach the driver. Languages are taken to be thousands at most."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
-    sizes = [(r.l, min(1.0, per_language / r["count"])) for r in own.groupBy("l").count().collect()]
+    own = own.withColumn("h", F.xxhash64("i", "t")).withColumn("place", F.pmod("h", F.lit(1_000_003)) / 1_000_003)
+    sizes = [(r.l, max(r.least, per_language / r.n)) for r in own.groupBy("l").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()]
     shares = spark.createDataFrame(sizes, "l string, share double")
-    place = F.pmod(F.xxhash64("i"), F.lit(1_000_003)) / 1_000_003
-    sample = own.join(F.broadcast(shares), "l").where(place < F.col("share")).select("l", "t")
+    drawn = own.join(F.broadcast(shares), "l").where(F.col("place") <= F.col("share")).dropDuplicates(["l", "h"])
+    # Not many more rows than the sample has meet in this window.
+    first = Window.partitionBy("l").orderBy("place", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = drawn.withColumn("so_far", F.sum(F.length("t")).over(first)).withColumn("nth", F.count("*").over(first))
+    sample = held.where((F.col("so_far") <= most_chars) | (F.col("nth") == 1)).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

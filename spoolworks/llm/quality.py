@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from spoolworks.llm.words import slices
@@ -26,6 +27,9 @@ BITS = 18
 #: distinct feature). Long texts lower the number of rows, never the features of a row.
 SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 64 << 20
+#: Ids that are broadcast at most, and the steps of the hash that draws.
+MOST_IDS = 50_000
+PLACES = 1_000_003
 PENALTY = 1.0
 EPOCHS = 12
 #: The last features are not hashed to: a run of 2**i words that equal the word before.
@@ -134,22 +138,25 @@ def held_out(id_col: Column) -> Column:
 
 
 def learn(plain: DataFrame, marked: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """The model of `plain` (id, text) and `marked` (id, label 0 or 1). Every labelled row counts in the ratios; about
-    `sample_rows` rows of each class, chosen by the hash of their ids, fit the linear model on the driver, fewer if their
-    features take more than `sample_bytes`. The sample is drawn from the labels, so its ids are few enough to be
-    broadcast to the texts."""
+    """The model of `plain` (id, text) and `marked` (id, label 0 or 1). Every labelled row counts in the ratios. The linear model is
+    fitted on the driver, to about `sample_rows` rows of each class, one at least, and fewer if their features take more
+    than `sample_bytes`: first ids are drawn by their hash, among the labels, then of their rows as many as are
+    asked for by the hash of id and text. Rows equal in id and text count once in the sample. Ids go to the texts by a
+    broadcast where they are few, by a merge where the labels name many ids that have no text."""
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts, rows = Grams(orders, bits), np.zeros((2, size), np.int64), np.zeros(2, np.int64)
+        grams, counts, rows, least = Grams(orders, bits), np.zeros((2, size), np.int64), np.zeros(2, np.int64), [PLACES, PLACES]
         for batch in slices(batches):
-            for text, label in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, label, at in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 counts[label][grams.of(text)] += 1
                 rows[label] += 1
+                least[label] = min(least[label], at)
         for label in (0, 1):
             held = np.flatnonzero(counts[label])
             features, numbers = np.append(held, -1), np.append(counts[label][held], rows[label])
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(features), pa.int32()), pa.array(features, pa.int32()), pa.array(numbers, pa.int64())], ["label", "feature", "n"])
+            first = pa.array([least[label]] * len(features), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(features), pa.int32()), pa.array(features, pa.int32()), pa.array(numbers, pa.int64()), first], ["label", "feature", "n", "least"])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(orders, bits)
@@ -158,8 +165,9 @@ def learn(plain: DataFrame, marked: DataFrame, orders: tuple[int, ...] = ORDERS,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary())], ["id", "label", "grams"])
 
     # By merge at every size: whether the labels would fit a broadcast hangs on their number.
-    labelled = plain.join(marked.hint("merge"), "id").select("id", "text", "label")
-    summed = labelled.mapInArrow(count, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()
+    place = F.pmod(F.xxhash64("id"), F.lit(PLACES))
+    labelled = plain.join(marked.hint("merge"), "id").select("id", "text", "label", place.alias("place"))
+    summed = labelled.mapInArrow(count, "label int, feature int, n long, least long").groupBy("label", "feature").agg(F.sum("n").alias("n"), F.min("least").alias("least")).toPandas()
     counts, rows = np.zeros((2, size)), np.zeros(2)
     for label in (0, 1):
         of = summed[summed.label == label]
@@ -171,21 +179,31 @@ def learn(plain: DataFrame, marked: DataFrame, orders: tuple[int, ...] = ORDERS,
     scale = np.log((counts[1] + PRIOR) / (rows[1] + 2 * PRIOR)) - np.log((counts[0] + PRIOR) / (rows[0] + 2 * PRIOR))
     scale[counts.sum(axis=0) == 0] = 0.0
     shares = sample_rows / rows
-    place = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
-    chosen = marked.where(place < F.when(F.col("label") == 1, float(shares[1])).otherwise(float(shares[0])))
-    drawn = plain.join(F.broadcast(chosen), "id").select("id", "text", "label")
-    offered = drawn.mapInArrow(draw, StructType([drawn.schema["id"], StructField("label", IntegerType())]).add("grams", "binary"))
-    # Not more rows than the sample has meet in this window. Either class gets half of the bytes, and the first row at least.
-    so_far = Window.partitionBy("label").orderBy(place, "id", "grams")
+    # The least place of a row that has a text and a label, so each class keeps a row.
+    limits = [max(int(shares[label] * PLACES), int(summed[(summed.label == label) & (summed.feature == -1)].least.min()) + 1) for label in (0, 1)]
+    chosen = marked.where(place < F.when(F.col("label") == 1, limits[1]).otherwise(limits[0])).distinct()
+    chosen = F.broadcast(chosen) if chosen.limit(MOST_IDS + 1).count() <= MOST_IDS else chosen.hint("merge")
+    # An id may have any number of rows; their number needs no text.
+    many = {r.label: r["count"] for r in plain.select("id").join(chosen, "id").groupBy("label").count().collect()}
+    h = F.xxhash64("id", "text")
+    drawn = plain.join(chosen, "id").select("id", "text", "label", h.alias("h"))
+    asked = [max(1, int(PLACES * min(1.0, sample_rows / many[label]))) for label in (0, 1)]
+    some = drawn.where(F.pmod("h", F.lit(PLACES)) < F.when(F.col("label") == 1, asked[1]).otherwise(asked[0])).dropDuplicates(["id", "label", "h"])
+    offered = some.mapInArrow(draw, StructType([some.schema["id"], StructField("label", IntegerType()), StructField("grams", BinaryType())]))
+    # Not many more rows than the sample has meet in this window. Either class gets half of the bytes, and the first row at least.
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("id", "grams"), "id", "grams")
     bounded = offered.withColumn("n", F.row_number().over(so_far)).withColumn("bytes", F.sum(F.octet_length("grams")).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    sample = bounded.where((F.col("bytes") <= sample_bytes // 2) | (F.col("n") == 1)).select("id", "label", "grams").toPandas().sort_values("id")
-    if sample.label.nunique() < 2:
-        return Model(scale, np.append(scale, 0.0), (1.0, float(np.log(rows[1] / rows[0]))), orders, bits)
+    sample = bounded.where((F.col("bytes") <= sample_bytes // 2) | (F.col("n") == 1)).select("id", "label", "grams").toPandas()
+    for label in {0, 1} - set(sample.label):
+        # All rows of the class fell together: they are equal, or nearly all of them.
+        one = drawn.where(F.col("label") == label).orderBy("h", "id").limit(1)
+        sample = pd.concat([sample, one.mapInArrow(draw, offered.schema).toPandas()])
+    sample = sample.sort_values(["id", "label"], kind="stable")
     found, labels = [np.frombuffer(g, np.int32) for g in sample.grams], sample.label.to_numpy()
     weights = dual_coordinate_descent(found, labels, scale)
     model = Model(scale, weights, (1.0, 0.0), orders, bits)
     score = [(scale[f] * weights[:-1][f]).sum() / max(np.sqrt((scale[f] ** 2).sum()), 1e-12) + weights[-1] for f in found]
-    model.curve = logistic_curve(np.array(score), labels, np.where(labels > 0, max(1.0, 1 / shares[1]), max(1.0, 1 / shares[0])))
+    model.curve = logistic_curve(np.array(score), labels, np.where(labels > 0, rows[1] / (labels > 0).sum(), rows[0] / (labels <= 0).sum()))
     return model
 
 
