@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,15 +67,68 @@ TITLES = [
     r"(?:PROMPT|Prompt)\s*\d{1,2}\s*[\u2014\u2013:\-]\s*([^\n|]{4,80})",
     r"(?:WAVE|Wave)\s*\d\s*[\u2014\u2013:\-]\s*([^\n|]{3,60})",
 ]
+# What begins a protocol, a range of numbers in a plan, and what stands between the parts of a cell.
+SCHEME = r"\A[A-Za-z][A-Za-z0-9+.-]+:"
+NUMBER_RANGE = r"(\d{2})(?:\s*[—–-]\s*(\d{2}))?"
+PARTS = r"\s*(?:·|\|)\s*"
 LEAST_TITLE = 8
 FAMILY_LIMIT, COMBINED_LIMIT = 3, 6
 MOST_DETAIL = 200
 UNKNOWN = "—"
 
 
+#: White space of Unicode and the four separators U+001C to U+001F; the part that is ASCII, without the space.
+SPACES = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+NARROW = r"\x09-\x0D\x1C-\x1F"
+#: White space, digits, letters and word bounds of Unicode; a line ends at a line feed only.
+LINES, UNICODE = "(?d)", "(?dU)"
+SHARP_S = "ß"
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+@functools.cache
+def fold_tables() -> tuple[str, str, list[tuple[str, str]], str]:
+    """What full case folding does beyond lower case: single characters and what they become, those that become several, and a
+    short character class that holds all of them but the sharp s."""
+    lower = {c.lower() for c in map(chr, range(sys.maxunicode + 1))}
+    apart = {c: c.casefold() for c in sorted(lower) if len(c) == 1 and c.casefold() != c}
+    single = {c: f for c, f in apart.items() if len(f) == 1}
+    spans: list[list[str]] = []
+    for c in sorted(apart.keys() - {SHARP_S}):
+        if spans and ord(c) - ord(spans[-1][1]) < 64 and ord(c) > 0x100:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(single), "".join(single.values()), [(c, f) for c, f in apart.items() if len(f) > 1], "".join(a if a == b else f"{a}-{b}" for a, b in spans)
+
+
+def case_folded(text: Column) -> Column:
+    """Full case folding, as comparing without regard to case asks for: sharp s as ss, every sigma as one, ligatures as letters. The
+    sharp s is common, so it goes first; texts with any of the others are rare, and take a pass for each."""
+    before, after, several, near = fold_tables()
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several if c != SHARP_S])
+    lower = F.replace(F.lower(text), F.lit(SHARP_S), F.lit("ss"))
+    whole = F.aggregate(pairs, F.translate(lower, before, after), lambda t, p: F.replace(t, p["c"], p["f"]))
+    return F.when(is_ascii(lower) | ~lower.rlike(f"[{near}]"), lower).otherwise(whole)
+
+
+def stripped(text: Column) -> Column:
+    """White space at both ends off."""
+    return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
+
+
 def folded(text: Column) -> Column:
-    """White space as one space, lower case, sharp s as ss."""
-    return F.replace(F.lower(F.regexp_replace(text, r"\s+", " ")), F.lit("ß"), F.lit("ss"))
+    """Runs of white space as one space, and case folded. A single space is no match, so most text is not rewritten."""
+
+    def runs(others: str) -> str:
+        return f" ?[{others}][ {others}]*|  [ {others}]*"
+
+    wide = SPACES.replace(r"\x1C-\x20", r"\x1C-\x1F")
+    narrow = F.regexp_replace(text, runs(NARROW), " ")
+    return case_folded(F.when(is_ascii(text), narrow).otherwise(F.regexp_replace(text, runs(wide), " ")))
 
 
 def redacted(text: Column) -> Column:
@@ -150,7 +206,7 @@ def is_contained(path: Column) -> Column:
 
 def is_safe_source(path: Column) -> Column:
     """Neither an option (leading dash) nor a protocol (two characters or more before a colon)."""
-    return ~path.rlike(r"\A-|\A[A-Za-z][A-Za-z0-9+.-]+:")
+    return ~(path.startswith("-") | path.rlike(SCHEME))
 
 
 def in_synced_folder(path: Column, folder: str) -> Column:
@@ -189,13 +245,12 @@ def without_emphasis(text: Column) -> Column:
 
 def expanded_range(text: Column) -> Column:
     """`03–06` as [03, 04, 05, 06]; one number as itself; nothing as an empty array."""
-    shape = r"(\d{2})(?:\s*[—–-]\s*(\d{2}))?"
-    first = F.regexp_extract(text, shape, 1).try_cast("int")
-    last = F.coalesce(F.regexp_extract(text, shape, 2).try_cast("int"), first)
+    first = F.regexp_extract(text, NUMBER_RANGE, 1).try_cast("int")
+    last = F.coalesce(F.regexp_extract(text, NUMBER_RANGE, 2).try_cast("int"), first)
     return F.when(first.isNull() | (last < first), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(first, F.greatest(first, last)), lambda n: F.lpad(n.cast("string"), 2, "0")))
 
 
-def parts_of(text: Column, separator: str = r"\s*(?:·|\|)\s*") -> Column:
+def parts_of(text: Column, separator: str = PARTS) -> Column:
     """The parts between separators, empty ones left out."""
     return F.filter(F.transform(F.split(text, separator), lambda p: F.trim(p)), lambda p: p != "")
 
@@ -206,14 +261,19 @@ def review_note(text: Column) -> Column:
 
 
 def signal_hits(text: Column) -> Column:
-    """struct of the distinct hits of each signal, trimmed and in lower case."""
-    return F.struct(*[F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(g)), lambda h: F.lower(F.trim(h)))).alias(name) for name, (p, g) in SIGNALS.items()])
+    """struct of the distinct hits of each signal, trimmed and case folded."""
+    def hits(pattern: str, group: int) -> Column:
+        plain, wide = (F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(group)) for flags in (LINES, UNICODE))
+        return F.when(is_ascii(text), plain).otherwise(wide)
+
+    found = {name: hits(p, g) for name, (p, g) in SIGNALS.items()}
+    return F.struct(*[F.array_distinct(F.transform(hits, lambda h: case_folded(stripped(h)))).alias(name) for name, hits in found.items()])
 
 
 def plan_titles(text: Column) -> Column:
     """The distinct titles of prompts and waves in a plan, white space and trailing emphasis off, short ones left out."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in TITLES]))
-    plain = F.transform(found, lambda t: F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r"[.*_ ]+$", ""))
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(UNICODE + p), 1) for p in TITLES]))
+    plain = F.transform(found, lambda t: F.regexp_replace(stripped(t), r"[.*_ ]+\z", ""))
     return F.array_distinct(F.filter(plain, lambda t: F.length(t) >= LEAST_TITLE))
 
 

@@ -13,6 +13,10 @@ WAVE_ROW = rf"(?m)^\|\s*(\d)\s*{DASH}\s*([^|\n]+?)\s*\|[^|\n]*\|\s*([^|\n]+?)\s*
 TIMELINE_ROW = r"(?m)^\|\s*Wave\s+(\d)\s*\|[^|\n]*\|\s*([^|\n]+?)\s*\|\s*$"
 PLAN_ROW = r"(?m)^\|\s*(\d{2})\s*\|\s*([^|\n]+?)\s*\|\s*([^|\n]+?)\s*\|\s*([^|\n]+?)\s*\|\s*([^|\n]+?)\s*\|\s*$"
 PROMPT_HEADING = rf"(?m)^##\s+PROMPT\s+(\d{{2}})\s*{DASH}\s*(.+?)\s*$"
+PROMPT_START = rf"(?m)(?=^##\s+PROMPT\s+\d{{2}}\s*{DASH})"
+DELIVERABLES = r"(?m)^###\s+Deliverables\s*$"
+NEXT_HEADING = r"(?m)^#{2,3}\s+\S"
+LIST_ITEM = r"^\s*\d+\.\s+(.+?)\s*$"
 UNASSIGNED, NOT_STATED = "Unassigned", "not stated"
 
 
@@ -36,22 +40,20 @@ def deliverables(docs: DataFrame) -> DataFrame:
 
     A section ends at the next prompt heading; its list at the next heading of two or three signs.
     """
-    pieces = docs.select("path", F.explode(F.slice(F.split("text", r"(?m)(?=^##\s+PROMPT\s+\d{2}\s*[—–-])"), 1, 1_000_000)).alias("piece"))
+    pieces = docs.select("path", F.explode(F.split("text", PROMPT_START)).alias("piece"))
     headed = pieces.withColumn("id", F.regexp_extract("piece", PROMPT_HEADING, 1)).where("id <> ''")
-    rest = F.regexp_extract("piece", r"(?ms)^###\s+Deliverables\s*$(.*)\z", 1)
-    block = F.try_element_at(F.split(rest, r"(?m)^#{2,3}\s+\S"), F.lit(1))
+    rest = F.regexp_extract("piece", rf"(?s){DELIVERABLES}(.*)\z", 1)
+    block = F.try_element_at(F.split(rest, NEXT_HEADING), F.lit(1))
     lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.rtrim(x)), lambda x: F.trim(x) != "")
-    item = r"^\s*\d+\.\s+(.+?)\s*$"
-
     def add(items: Column, line: Column) -> Column:
         joined = F.concat(F.slice(items, 1, F.greatest(F.lit(0), F.size(items) - 1)), F.array(F.concat_ws(" ", F.try_element_at(items, F.lit(-1)), F.trim(line))))
         return (
-            F.when(line.rlike(item), F.array_append(items, without_emphasis(F.regexp_extract(line, item, 1))))
+            F.when(line.rlike(LIST_ITEM), F.array_append(items, without_emphasis(F.regexp_extract(line, LIST_ITEM, 1))))
             .when((F.size(items) > 0) & ~F.ltrim(line).startswith("#"), joined)
             .otherwise(items)
         )
 
-    return headed.where(F.col("piece").rlike(r"(?m)^###\s+Deliverables\s*$")).select("path", "id", F.aggregate(lines, F.array().cast("array<string>"), add).alias("deliverables"))
+    return headed.where(F.col("piece").rlike(DELIVERABLES)).select("path", "id", F.aggregate(lines, F.array().cast("array<string>"), add).alias("deliverables"))
 
 
 def prompts(docs: DataFrame) -> DataFrame:

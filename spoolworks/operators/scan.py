@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoolworks.functions.text import COMBINED_LIMIT, FAMILY_LIMIT, SIGNALS, folded, signal_hits
+from spoolworks.functions.text import COMBINED_LIMIT, FAMILY_LIMIT, SIGNALS, folded, signal_hits, stripped
 from spoolworks.sources.tables import written
 
 #: Titles of up to so many bytes go to the executors as one automaton, some 20 times as large there; more go through a join.
@@ -83,7 +83,7 @@ def title_matches(docs: DataFrame, titles: DataFrame, least: int = GRAM, automat
     large for one executor are joined on a gram. Titles shorter than `least` (GRAM at least) are left out.
     """
     flat_docs = docs.select("doc_id", folded(F.col("text")).alias("flat"))
-    flat_titles = titles.select("title_id", folded(F.trim("text")).alias("title")).where(F.length("title") >= max(least, GRAM))
+    flat_titles = titles.select("title_id", folded(stripped(F.col("text"))).alias("title")).where(F.length("title") >= max(least, GRAM))
     size = flat_titles.agg(F.sum(F.octet_length("title") + 64)).first()[0] or 0
     if size > automaton_bytes:
         return _titles_by_join(flat_docs, flat_titles)
@@ -110,27 +110,73 @@ def title_matches(docs: DataFrame, titles: DataFrame, least: int = GRAM, automat
     return flat_docs.mapInArrow(run, "doc_id long, title_id long")
 
 
-def leak_verdict(texts: DataFrame, family_limit: int = FAMILY_LIMIT, combined_limit: int = COMBINED_LIMIT) -> DataFrame:
-    """`texts` (text, ...) with distinct hits of each signal, the strongest, the sum of those with two or more, and the verdict.
+def cut_windows(texts: DataFrame, text: str, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """`texts` with `__windows`, the windows of each text as an array of struct(start, text): pieces of `size` characters, each opened
+    by the end of the piece before.
 
-    One row in, one row out: counts are taken on arrays, and nothing is shuffled.
+    Of the last `overlap` characters of that piece a window takes what follows the first line feed, so it begins at the
+    start of a line, and the window before ends with the last line that is whole; where there is no line feed it takes all of them and
+    nothing is left off, so a record without line feeds still lies whole in a window. What is shorter than `overlap` by the
+    length of a line lies whole in some window. An empty or null text has one empty window. Time and memory are in proportion
+    to the text: it is cut into pieces once, and what is done to a piece hangs on the piece.
     """
-    hits = texts.withColumn("__hits", signal_hits(F.col("text")))
-    counts = [F.size(f"__hits.{name}") for name in SIGNALS]
-    total = sum((F.when(c >= 2, c).otherwise(0) for c in counts), F.lit(0))
-    return (
-        hits.withColumns({f"n_{name}": c for name, c in zip(SIGNALS, counts, strict=True)})
-        .withColumn("strongest", F.greatest(*counts))
-        .withColumn("combined", total)
-        .withColumn("leak", (F.col("strongest") >= family_limit) | (F.col("combined") >= combined_limit))
-        .drop("__hits")
-    )
+    if not 0 <= overlap <= size or size < 1:
+        raise ValueError("overlap must be between 0 and size")
+    cut = texts.withColumn("__pieces", F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))))
+    none = F.array(F.lit(None).cast("string"))
+    before = F.concat(none, F.slice("__pieces", 1, F.greatest(F.lit(0), F.size("__pieces") - 1)))
+    after = F.concat(F.slice("__pieces", 2, F.greatest(F.lit(0), F.size("__pieces") - 1)), none)
+    cut = cut.withColumn("__pieces", F.arrays_zip(F.col("__pieces").alias("piece"), before.alias("before"), after.alias("after")))
+
+    def opened(p: Column, i: Column) -> Column:
+        tail = F.right(p["before"], F.lit(overlap))
+        feed = F.instr(tail, "\n")
+        carry = F.coalesce(F.when(feed > 0, F.substring(tail, feed + 1, F.lit(overlap))).otherwise(tail), F.lit(""))
+        rest = F.instr(F.reverse(F.right(p["piece"], F.lit(overlap))), "\n")  # the next window has this last part of a line whole
+        kept = F.when(p["after"].isNotNull() & (rest > 0), F.substring(p["piece"], F.lit(1), F.length(p["piece"]) - rest + 1)).otherwise(p["piece"])
+        return F.struct((i.cast("long") * size - F.length(carry)).alias("start"), F.concat(carry, kept).alias("text"))
+
+    empty = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit("").alias("text")))
+    found = F.when(F.col(text).isNull() | (F.col(text) == ""), empty).otherwise(F.transform("__pieces", opened))
+    return cut.withColumn("__windows", found).drop("__pieces")
 
 
 def windows(texts: DataFrame, key: str, text: str, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """(key, window, start, text): pieces of at most `size` characters, each repeating the last `overlap` of the one before.
-    A short text is one piece, so anything up to `overlap` long lies whole in some piece."""
-    step = size - overlap
-    count = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step).cast("int"))
-    numbered = texts.select(key, F.col(text).alias("__text"), F.explode(F.sequence(F.lit(0), count - 1)).alias("window"))
-    return numbered.select(key, "window", (F.col("window") * step).alias("start"), F.col("__text").substr(F.col("window") * step + 1, F.lit(size)).alias("text"))
+    """(key, window, start, text): the windows of each text, a row each that carries no more than its own piece."""
+    cut = cut_windows(texts.select(key, text), text, size, overlap).select(key, "__windows")
+    # Never empty; outer, as otherwise the optimiser asks for that in a filter that cuts every text once more.
+    return cut.select(key, F.posexplode_outer("__windows").alias("window", "__w")).select(key, "window", "__w.start", "__w.text")
+
+
+def united(hits: Column) -> Column:
+    """One struct of distinct hits from an array of them: hits are values, so a window that repeats some adds none."""
+    return F.struct(*[F.array_distinct(F.flatten(F.transform(hits, lambda h: h[name]))).alias(name) for name in SIGNALS])
+
+
+def _judged(counts: DataFrame, family_limit: int, combined_limit: int) -> DataFrame:
+    """`counts` (n_<signal>, ...) with the strongest, the sum of those with two or more, and the verdict."""
+    each = [F.col(f"n_{name}") for name in SIGNALS]
+    total = sum((F.when(c >= 2, c).otherwise(0) for c in each), F.lit(0))
+    found = counts.withColumns({"strongest": F.greatest(*each), "combined": total})
+    return found.withColumn("leak", (F.col("strongest") >= family_limit) | (F.col("combined") >= combined_limit))
+
+
+def leak_verdict(texts: DataFrame, family_limit: int = FAMILY_LIMIT, combined_limit: int = COMBINED_LIMIT, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """`texts` (text, ...) with the number of distinct hits of each signal over its windows, the strongest, the sum of those with two or
+    more, and the verdict. One row in, one row out: hits are united on arrays, and nothing is shuffled. A null text shows none."""
+    cut = cut_windows(texts, "text", size, overlap).withColumn("__windows", F.transform("__windows", lambda w: signal_hits(w["text"])))
+    hits = cut.withColumn("__hits", united(F.col("__windows")))
+    return _judged(hits.withColumns({f"n_{name}": F.size(f"__hits.{name}") for name in SIGNALS}).drop("__hits", "__windows"), family_limit, combined_limit)
+
+
+def leak_verdict_of_windows(pieces: DataFrame, key: str, family_limit: int = FAMILY_LIMIT, combined_limit: int = COMBINED_LIMIT) -> DataFrame:
+    """The same a key, from rows (key, text) that are windows of its text, in any order and any number of partitions: only
+    distinct hits are shuffled, and counted before they meet, so a text may be larger than any task. Null keys are one key."""
+    def of(name: str) -> Column:
+        return F.transform(f"h.{name}", lambda x: F.struct(F.lit(name).alias("signal"), x.alias("hit")))
+
+    hits = pieces.select(key, signal_hits(F.col("text")).alias("h"))
+    each = F.flatten(F.array(*map(of, SIGNALS)))
+    found = hits.select(key, F.explode_outer(each).alias("e")).select(key, "e.signal", "e.hit").distinct()
+    counts = found.groupBy(key).agg(*[F.count_if(F.col("signal") == name).cast("int").alias(f"n_{name}") for name in SIGNALS])
+    return _judged(counts, family_limit, combined_limit)

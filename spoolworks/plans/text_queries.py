@@ -54,8 +54,15 @@ def leak_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that begin at lines: where each starts, how long it is, and what it holds."""
     found = scan.windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 1000, 100)
-    return found.select("doc_id", "window", "start", F.length("text").cast("long").alias("n"))
+    return found.select("doc_id", "window", "start", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def leak_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the same plans from small windows that are scanned apart, their hits united."""
+    planted = table(spark, sf_dir, "documents").select("doc_id", F.expr(PLANTED).alias("text"))
+    return scan.leak_verdict_of_windows(scan.windows(planted, "doc_id", "text", 600, 200), "doc_id")
 
 
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,20 +191,44 @@ def resume_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    title_matches, leak_verdict, text_windows, page_sections, folded_turns, plan_cells, plan_prompts, stored_files, clip_neighbours, plan_lookup, model_replies, prompt_metrics, token_bucket,
+    title_matches, leak_verdict, leak_windows, text_windows, page_sections, folded_turns, plan_cells, plan_prompts, stored_files, clip_neighbours, plan_lookup, model_replies, prompt_metrics, token_bucket,
     cached_tagging, cache_additions, job_state_machine, job_recovery, upload_fold, adopted_uploads, resume_offsets,
 )}
 
 _FLAT = "replace(lower(regexp_replace({0}, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')), 'ß', 'ss')"
 
+_JUDGED = f"""s AS (SELECT *, greatest({", ".join(f"n_{n}" for n in text.SIGNALS)}) AS strongest, {" + ".join(f"CASE WHEN n_{n} >= 2 THEN n_{n} ELSE 0 END" for n in text.SIGNALS)} AS combined FROM c)
+        SELECT doc_id, {", ".join(f"n_{n}" for n in text.SIGNALS)}, strongest, combined, strongest >= 3 OR combined >= 6 AS leak FROM s"""
+
+
+def _hits(name: str) -> str:
+    """A signal's hits in `t`."""
+    pattern, group = text.SIGNALS[name]
+    return f"list_transform(regexp_extract_all(t, '{pattern.replace(chr(39), chr(39) * 2)}', {group}), lambda h: lower(trim(h)))"
+
+
+def _windows(size: int, overlap: int, texts: str) -> str:
+    """Windows of `texts` (doc_id, t): where the tail before a window has a line feed, it begins after the first one, and the one before
+    ends with the last one."""
+    return f"""texts AS ({texts}),
+        cut AS (SELECT doc_id, t, unnest(range(greatest(1, ceil(length(t) / {size})::INT))) AS w FROM texts),
+        tails AS (SELECT *, w * {size} - {overlap} + CASE WHEN w > 0 THEN instr(substring(t, w * {size} - {overlap} + 1, {overlap}), chr(10)) ELSE {overlap} END AS start,
+                  (w + 1) * {size} - CASE WHEN (w + 1) * {size} >= length(t) THEN 0 ELSE greatest(0, instr(reverse(substring(t, (w + 1) * {size} - {overlap} + 1, {overlap})), chr(10)) - 1) END AS stop FROM cut),
+        windows AS (SELECT doc_id, w, start, substring(t, start + 1, stop - start) AS piece FROM tails)"""
+
+
 ORACLE_SQL = {
     "title_matches": f"SELECT doc_id, item_id AS title_id FROM documents d JOIN benchmark b ON contains({_FLAT.format('d.text')}, {_FLAT.format('trim(b.text)')}) WHERE length(b.text) >= 8",
     "leak_verdict": f"""
-        WITH c AS (SELECT doc_id, {", ".join(f"len(list_distinct(list_transform(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}', {g}), lambda h: lower(trim(h))))) AS n_{name}" for name, (p, g) in text.SIGNALS.items())} FROM (SELECT doc_id, {PLANTED} AS t FROM documents)),
-        s AS (SELECT *, greatest({", ".join(f"n_{n}" for n in text.SIGNALS)}) AS strongest, {" + ".join(f"CASE WHEN n_{n} >= 2 THEN n_{n} ELSE 0 END" for n in text.SIGNALS)} AS combined FROM c)
-        SELECT doc_id, {", ".join(f"n_{n}" for n in text.SIGNALS)}, strongest, combined, strongest >= 3 OR combined >= 6 AS leak FROM s""",
-    "text_windows": """SELECT doc_id, w::INT AS "window", w::INT * 900 AS start, length(text[w * 900 + 1:w * 900 + 1000]) AS n
-        FROM (SELECT doc_id, text, unnest(range(greatest(1, ceil((length(text) - 100) / 900)::INT))) AS w FROM documents)""",
+        WITH c AS (SELECT doc_id, {", ".join(f"len(list_distinct({_hits(n)})) AS n_{n}" for n in text.SIGNALS)} FROM (SELECT doc_id, {PLANTED} AS t FROM documents)),
+        {_JUDGED}""",
+    "leak_windows": f"""
+        WITH {_windows(600, 200, f"SELECT doc_id, {PLANTED} AS t FROM documents")},
+        h AS (SELECT doc_id, {", ".join(f"flatten(list({_hits(n)})) AS {n}" for n in text.SIGNALS)} FROM (SELECT doc_id, piece AS t FROM windows) GROUP BY doc_id),
+        c AS (SELECT doc_id, {", ".join(f"len(list_distinct({n}))::INT AS n_{n}" for n in text.SIGNALS)} FROM h),
+        {_JUDGED}""",
+    "text_windows": f"""WITH {_windows(1000, 100, "SELECT doc_id, coalesce(text, '') AS t FROM documents")}
+        SELECT doc_id, w::INT AS "window", start, length(piece) AS n, md5(piece) AS text_md5 FROM windows""",
     "page_sections": """
         WITH p AS (SELECT page_id, length(html) AS n, unnest(string_split(html, '<li>')) AS piece, unnest(range(len(string_split(html, '<li>'))))::INT AS i FROM pages),
         s AS (SELECT page_id, n, i, CAST(sum(length(piece) + 4) OVER (PARTITION BY page_id ORDER BY i) - length(piece) - 4 AS BIGINT) AS start FROM p)
