@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoolworks.operators.tagging import cached_tags
+
 
 def current(artifacts: DataFrame, versions: dict[str, int], kind: str = "artifact_kind", version: str = "params_version") -> DataFrame:
     """Artifacts of the current recipe of their kind. Pairs are compared, so one kind never passes at another's version."""
@@ -24,9 +26,10 @@ def library(files: DataFrame, blobs: DataFrame, artifacts: DataFrame, versions:
 
 
 def tagged(scenes: DataFrame, cache: DataFrame, prompt_version: Column, fields: list[str], raw: str = "raw_response_json") -> DataFrame:
-    """Scenes with their tags of one prompt version, null if there are none or the reply was unusable. The version
-    stands in the join's condition: in a filter it would drop untagged scenes. `cache` has scene_id, prompt_version."""
-    tags = F.when(F.col(raw).isNotNull(), F.struct(*fields))
+    """Scenes with their tags of one prompt version, null if there are none or the cached reply is null, no JSON or of another
+    shape. The version stands in the join's condition: in a filter it would drop untagged scenes. `cache` has scene_id,
+    prompt_version."""
+    tags = F.when(cached_tags(F.col(raw)).isNotNull(), F.struct(*fields))
     return scenes.join(cache, (F.col("id") == F.col("scene_id")) & (F.col("prompt_version") == prompt_version), "left").withColumn("tags", tags).drop("scene_id", "prompt_version", raw, *fields)
 
 

@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from spoolworks.functions.timing import backoff
+from spoolworks.functions.timing import BACKOFF_BASE, BACKOFF_JITTER, BACKOFF_MOST
 
+# The fields of a reply.
 TAGS = ["content_type", "exercise_guess", "environment", "lighting_quality", "lighting_temperature", "lighting_direction", "energy_level", "aesthetic_notes"]
 
 
@@ -19,8 +19,12 @@ def parsed_reply(reply: Column) -> Column:
     """The eight tags of a model reply (JSON text whose parts hold JSON text); null if it is no object, a tag is not
     text, or anything on the way has another shape. An object without tags is a result with null tags."""
     parts = F.from_json(F.get_json_object(reply, "$.candidates[0].content.parts"), "array<struct<text:string>>")
-    text = F.array_join(F.transform(F.filter(parts, lambda p: p["text"].isNotNull()), lambda p: p["text"]), "")
-    document = F.try_parse_json(text)
+    return cached_tags(F.array_join(F.transform(F.filter(parts, lambda p: p["text"].isNotNull()), lambda p: p["text"]), ""))
+
+
+def cached_tags(raw: Column) -> Column:
+    """The tags of a cache row's JSON; null for a null answer, and for a row that is no JSON or no longer has the shape."""
+    document = F.try_parse_json(raw)
     kind = F.schema_of_variant(document)
     well = kind.startswith("OBJECT<")
     for tag in TAGS:
@@ -66,26 +70,127 @@ def token_bucket(requests: DataFrame, per_minute: int, per_day: int) -> DataFram
     return dealt.mapInPandas(run, GRANTS)
 
 
-def retried(attempts: DataFrame, most: int = 3) -> DataFrame:
-    """(scene_id, source, tries, tokens, waited) of what the attempts of each scene come to.
+SENDS = "key string, scene_id long, request long, attempt int, again boolean, at double, granted boolean, status int, verdict string, waited double, tokens double, day_count long"
+#: How a call ends, or null: a usable reply; two that are not; no token; a refusal that stays; the last try.
+ANSWERED, UNUSABLE, REFUSED, PERMANENT, GIVEN_UP = "reply", "unusable", "refused", "permanent", "gave_up"
+
+
+class Bucket:
+    """The budget of one key: `per_minute` tokens that refill evenly, `per_day` requests a UTC day."""
+
+    def __init__(self, per_minute: int, per_day: int, at: float):
+        self.per_minute, self.per_day = per_minute, per_day
+        self.tokens, self.last, self.day, self.count = float(per_minute), at, None, 0
+
+    def take(self, at: float) -> bool:
+        today = at // 86400
+        if today != self.day:
+            self.day, self.count = today, 0
+        if self.count >= self.per_day:
+            return False
+        self.tokens = min(float(self.per_minute), self.tokens + max(0.0, at - self.last) * self.per_minute / 60.0)
+        self.last = at
+        if self.tokens < 1.0:
+            return False
+        self.tokens, self.count = self.tokens - 1.0, self.count + 1
+        return True
+
+
+class Call:
+    """One scene's call. It asks for a token before each request; an answer below 400 that can't be used is asked for once more in the
+    same try, without a wait; other failures are tried again after a wait, up to `most` tries, but a 4xx other than 429."""
+
+    def __init__(self, most: int, jitter: float):
+        self.most, self.jitter = most, jitter
+        self.attempt, self.again, self.waited = 0, False, 0.0
+
+    def told(self, granted: bool, status: int | None, usable: bool) -> tuple[str | None, float]:
+        """(how the call ends, or None; seconds until the next request)."""
+        if not granted:
+            return REFUSED, 0.0
+        if status is not None and status < 400:
+            if usable:
+                return ANSWERED, 0.0
+            if self.again:
+                return UNUSABLE, 0.0
+            self.again = True
+            return None, 0.0
+        if status is not None and status < 500 and status != 429:
+            return PERMANENT, 0.0
+        if self.attempt + 1 >= self.most:
+            return GIVEN_UP, 0.0
+        wait = min(BACKOFF_MOST, BACKOFF_BASE * 2.0**self.attempt) * (1 + BACKOFF_JITTER * self.jitter)
+        self.attempt, self.again, self.waited = self.attempt + 1, False, self.waited + wait
+        return None, wait
+
+
+def requests_sent(replies: DataFrame, per_minute: int, per_day: int, most: int = 3) -> DataFrame:
+    """Every request that calls make or are refused, in order: the log behind a disclosure of what was sent.
+
+    replies (key, scene_id, at, request from 0, status, usable, jitter): what each scene's next request would be answered,
+    `status` null where no response comes, `usable` whether it parses; `at` is when a scene is due, in UTC seconds, `jitter` 0 to 1 the draw of its
+    waits. Scenes of a key are called one after another by (at, scene_id), each when it is due and the one before is over, and
+    share a token bucket. A request beyond the rows given gets no response; rows beyond the end of a call are not
+    asked for. A null usable counts as false, a null jitter as 0.
+
+    Two machines make one fold: whether a request goes out hangs on the tokens left, when the next one is hangs on the
+    reply. A key streams past them in order and is not held whole.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = scene = bucket = call = None
+        clock, number, over, out = 0.0, 0, True, []
+
+        def ask(status: int | None, usable: bool) -> None:
+            nonlocal clock, number, over
+            attempt, again = call.attempt, call.again
+            granted = bucket.take(clock)
+            verdict, wait = call.told(granted, status, usable)
+            out.append((key, scene, number, attempt, again, clock, granted, status if granted else None, verdict, call.waited, bucket.tokens, bucket.count))
+            clock, number, over = clock + wait, number + 1, verdict is not None
+
+        def finish() -> None:
+            while not over:
+                ask(None, False)
+
+        def table() -> pd.DataFrame:
+            made = pd.DataFrame(out, columns=[c.split()[0] for c in SENDS.split(", ")])
+            out.clear()
+            return made.astype({"status": "Int32"})
 
-    attempts (scene_id, attempt from 0, granted, status): status is that of the reply, null where none came. A reply ends
-    the tries; so does a token that is not granted, and a refusal that would be the same again (4xx other than 429). Other
-    failures are tried again after a wait, `most` times in all. Each request that is sent costs a token. No row of a scene
-    meets the others in one array: the end is a minimum, what comes before it is a filtered sum.
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if row.key != key or row.scene_id != scene or bucket is None:
+                    finish()
+                    if row.key != key or bucket is None:
+                        key, bucket, clock = row.key, Bucket(per_minute, per_day, row.at), row.at
+                    scene, call, number, over = row.scene_id, Call(most, 0.0 if pd.isna(row.jitter) else row.jitter), 0, False
+                    clock = max(clock, row.at)
+                while not over and number < row.request:
+                    ask(None, False)
+                if not over:
+                    ask(None if pd.isna(row.status) else int(row.status), row.usable is not None and not pd.isna(row.usable) and bool(row.usable))
+            if out:
+                yield table()
+        finish()
+        if out:
+            yield table()
+
+    dealt = replies.select(F.col("key").cast("string"), F.col("scene_id").cast("long"), F.col("at").cast("double"), F.col("request").cast("long"), F.col("status").cast("int"), "usable", F.col("jitter").cast("double"))
+    dealt = dealt.where("key IS NOT NULL AND scene_id IS NOT NULL AND at IS NOT NULL AND request IS NOT NULL")
+    return dealt.repartition("key").sortWithinPartitions("key", "at", "scene_id", "request").mapInPandas(run, SENDS)
+
+
+def call_outcomes(sent: DataFrame) -> DataFrame:
+    """(key, scene_id, source, cached, tries, tokens, waited, verdict) of each call in what requests_sent() gives.
+
+    `source` is `api` if the service answered, be it with nothing usable, else `degraded`. Only the former is `cached`: a usable reply,
+    or null after two that were not, as asking again would not change it. `tries` counts waits and the first try.
     """
-    permanent = F.col("status").between(400, 499) & (F.col("status") != 429)
-    ends = ~F.col("granted") | F.coalesce((F.col("status") == 200) | permanent, F.lit(False))
-    tried = attempts.where(F.col("attempt") < most)
-    stopped = tried.withColumn("__stop", F.min(F.when(ends, F.col("attempt"))).over(Window.partitionBy("scene_id")))
-    made = stopped.where(F.col("__stop").isNull() | (F.col("attempt") <= F.col("__stop")))
-    waits = F.when(F.col("__stop").isNull() | (F.col("attempt") < F.col("__stop")), F.when(F.col("attempt") < most - 1, backoff(F.col("attempt"), F.lit(0.0))))
-    return made.groupBy("scene_id").agg(
-        F.when(F.bool_or(F.col("granted") & F.coalesce(F.col("status") == 200, F.lit(False))), "api").otherwise("degraded").alias("source"),
-        F.count("*").alias("tries"),
-        F.count_if("granted").alias("tokens"),
-        F.coalesce(F.sum(waits), F.lit(0.0)).alias("waited"),
-    )
+    ended = F.max_by("verdict", "request")
+    found = sent.groupBy("key", "scene_id").agg(ended.alias("verdict"), (F.max("attempt") + 1).alias("tries"), F.count_if("granted").alias("tokens"), F.max("waited").alias("waited"))
+    reached = F.col("verdict").isin(ANSWERED, UNUSABLE)
+    return found.select("key", "scene_id", F.when(reached, "api").otherwise("degraded").alias("source"), reached.alias("cached"), "tries", "tokens", "waited", "verdict")
 
 
 def cache_first(scenes: DataFrame, cache: DataFrame, granted: DataFrame, call: Callable[[pd.Series], pd.Series], context: str) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,11 @@ def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha256"), F.col("l_returnflag").alias("artifact_kind"), F.col("l_linenumber").alias("params_version"))
 
 
+#: Cached replies by rule: none, broken, of another shape, one whose tag is a number, and usable ones.
+CACHED = """CASE WHEN toxic = 1 THEN NULL WHEN doc_id % 7 = 0 THEN concat('{{"content_type":"a', doc_id) WHEN doc_id % 7 = 1 THEN '[1]' WHEN doc_id % 7 = 2 THEN concat('{{"energy_level":', doc_id, '}}')
+    WHEN doc_id % 7 = 3 THEN '{{}}' ELSE concat('{{"content_type":"t', doc_id, '","energy_level":null}}') END"""
+
+
 def media_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha256"), F.col("o_custkey").alias("project_id"), F.col("o_orderpriority").alias("display_name"), F.col("o_orderdate").alias("added_at"))
     blobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha256"), F.col("o_totalprice").alias("size"))
@@ -28,7 +33,7 @@ def media_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scene_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenes = table(spark, sf_dir, "documents").where("source = 'src3'").select(F.col("doc_id").alias("id"), "lang", "n_chars")
-    cache = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("scene_id"), F.col("quality").alias("prompt_version"), "toxic", F.when(F.col("toxic") == 0, F.lit("{}")).alias("raw_response_json"))
+    cache = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("scene_id"), F.col("quality").alias("prompt_version"), "toxic", F.expr(CACHED.format()).alias("raw_response_json"))
     return catalog.tagged(scenes, cache, F.lit(1), ["toxic"]).select("id", "lang", "n_chars", F.col("tags").isNotNull().alias("has_tags"), F.coalesce("tags.toxic", F.lit(-1)).alias("toxic")).orderBy("id")
 
 
@@ -167,8 +172,10 @@ ORACLE_SQL = {
                o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N' AND {_CURRENT}) AS "has_N",
                o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND {_CURRENT}) AS "has_R"
         FROM orders JOIN customer ON c_custkey = o_custkey""",
-    "scene_tags": """SELECT d.doc_id AS id, lang, n_chars, coalesce(toxic = 0, false) AS has_tags, CASE WHEN toxic = 0 THEN toxic ELSE -1 END AS toxic
-        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 1 WHERE source = 'src3'""",
+    "scene_tags": f"""WITH c AS (SELECT *, {CACHED.format()} AS raw FROM labels),
+        u AS (SELECT *, CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' AND coalesce(json_type(raw, '$.content_type'), 'NULL') IN ('VARCHAR', 'NULL') AND coalesce(json_type(raw, '$.energy_level'), 'NULL') IN ('VARCHAR', 'NULL') ELSE false END AS usable FROM c)
+        SELECT d.doc_id AS id, lang, n_chars, coalesce(usable, false) AS has_tags, CASE WHEN usable THEN toxic ELSE -1 END AS toxic
+        FROM documents d LEFT JOIN u ON d.doc_id = u.doc_id AND u.quality = 1 WHERE source = 'src3'""",
     "recent_jobs": "SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "point_lookup": "SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 7",
     "open_jobs": """SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN user_id ELSE -1 END AS project_id, event_type FROM events

@@ -13,8 +13,10 @@ from spoolworks.sources.tables import table
 from spoolworks.streaming import jobs
 
 # Inputs as SQL that Spark and DuckDB both read.
-ATTEMPTS = """SELECT (event_id - event_id % 4) / 4 AS scene_id, event_id % 4 AS attempt, event_id % 11 <> 0 AS granted,
-    CASE (event_id * 7 + user_id) % 6 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 400 WHEN 4 THEN 500 END AS status FROM {events}"""
+REPLIES = """SELECT CAST((event_id - event_id % 8) / 8 AS BIGINT) AS scene_id, event_id % 8 AS request, CAST((event_id - event_id % 8) / 8 * 11 AS BIGINT) AS due,
+    CASE (event_id * 7 + user_id) % 11 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 400 WHEN 3 THEN 500 WHEN 4 THEN 302 WHEN 5 THEN NULL ELSE 200 END AS status, (event_id * 5 + user_id) % 3 = 0 AS usable, (event_id - event_id % 8) / 8 % 5 / 4.0 AS jitter
+    FROM {events}"""
+KEYS = "CAST(scene_id % 25 AS STRING)"
 STEPS = """SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_id % 6 = 0 THEN concat('step ', event_id % 5) END AS step,
     (event_id % 5) / 5.0 AS begun, (event_id % 5 + 1) / 5.0 AS until, (event_id % 10) / 10.0 AS within FROM {events}"""
 PLAN_TEXT = """CASE doc_id % 4 WHEN 0 THEN concat('PROMPT ', doc_id % 90 + 10, ' - ', substring(coalesce(text, ''), 1, 30), chr(10), coalesce(text, ''))
@@ -27,9 +29,19 @@ IMAGE = """concat('FFD8', 'FFE000044A46', CASE WHEN p_partkey % 2 = 0 THEN {exif
 EXIF = "'FFE1000A457869660000ABCD'"
 
 
+def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of 25 keys, each with a bucket of 4 a minute and 60 a day; every event is what a request would be answered."""
+    replies = spark.sql(REPLIES, events=table(spark, sf_dir, "events"))
+    return tagging.requests_sent(replies.withColumnRenamed("due", "at").withColumn("key", F.expr(KEYS)), per_minute=4, per_day=60)
+
+
 def retried_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = spark.sql(ATTEMPTS, events=table(spark, sf_dir, "events")).withColumn("scene_id", F.col("scene_id").cast("long"))
-    return tagging.retried(calls).withColumn("waited", F.round("waited", 6))
+    return tagging.call_outcomes(_sent(spark, sf_dir)).withColumn("waited", F.round("waited", 6))
+
+
+def sent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request that these calls made, or that the bucket refused."""
+    return _sent(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("at", "waited", "tokens")})
 
 
 def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +90,7 @@ def stripped_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.hex(files.without_exif(image)).alias("image"))
 
 
-QUERIES = {f.__name__: f for f in (retried_calls, failure_causes, guide_titles, utc_times, stream_ends, video_names, step_boundaries, ended_jobs, stripped_images)}
+QUERIES = {f.__name__: f for f in (retried_calls, sent_requests, failure_causes, guide_titles, utc_times, stream_ends, video_names, step_boundaries, ended_jobs, stripped_images)}
 
 _STEPPED = f"""
     WITH e AS ({STEPS.format(events="events")}),
@@ -86,14 +98,36 @@ _STEPPED = f"""
     r AS (SELECT job_id, seq, span.step AS step, step IS NOT NULL AS persisted, coalesce(CASE WHEN step IS NOT NULL THEN begun ELSE span.begun + within * (span.until - span.begun) END, 0)::DOUBLE AS reached FROM b)
     SELECT job_id, seq, step, persisted, round(least(1, max(reached) OVER (PARTITION BY job_id ORDER BY seq)), 6)::DOUBLE AS progress FROM r"""
 
+#: A row a request, the next one of each key found from the last: `i` counts a key's scenes, `done` says that one is over.
+_SENT = f"""
+    WITH RECURSIVE r AS ({REPLIES.format(events="events")}),
+    s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY due, scene_id) AS i FROM (SELECT DISTINCT {KEYS.replace("STRING", "VARCHAR")} AS key, scene_id, due::DOUBLE AS due, jitter::DOUBLE AS jitter FROM r)),
+    g AS (
+        SELECT key, 0::BIGINT AS i, NULL::BIGINT AS scene_id, 0::BIGINT AS request, 0 AS attempt, false AS again, NULL::DOUBLE AS at_s, false AS granted, NULL::INT AS status, 'start' AS verdict, 0::DOUBLE AS waited,
+               4::DOUBLE AS tokens, NULL::DOUBLE AS last_s, NULL::DOUBLE AS day, 0::BIGINT AS day_count, 0::DOUBLE AS wait FROM (SELECT DISTINCT key FROM s)
+        UNION ALL
+        SELECT key, i, scene_id, request, attempt, again, clock, granted, CASE WHEN granted THEN status END,
+               CASE WHEN NOT granted THEN 'refused' WHEN status < 400 AND usable THEN 'reply' WHEN status < 400 AND again THEN 'unusable' WHEN status < 400 THEN NULL
+                    WHEN status < 500 AND status <> 429 THEN 'permanent' WHEN attempt = 2 THEN 'gave_up' END,
+               waited + CASE WHEN granted AND coalesce(status >= 500 OR status = 429, true) AND attempt < 2 THEN pause ELSE 0 END,
+               CASE WHEN granted THEN filled - 1 ELSE filled END, CASE WHEN spent < 60 THEN clock ELSE last_s END, today, spent + CASE WHEN granted THEN 1 ELSE 0 END,
+               CASE WHEN granted AND coalesce(status >= 500 OR status = 429, true) AND attempt < 2 THEN pause ELSE 0 END
+        FROM (SELECT *, spent < 60 AND filled >= 1 AS granted, least(2.0::DOUBLE, 0.2::DOUBLE * pow(2, attempt)) * (1 + 0.5::DOUBLE * jitter) AS pause FROM (
+            SELECT *, CASE WHEN spent < 60 THEN least(4.0::DOUBLE, tokens + greatest(0.0::DOUBLE, clock - last_s) * 4 / 60.0::DOUBLE) ELSE tokens END AS filled FROM (
+                SELECT n.*, r.status, coalesce(r.usable, false) AS usable, floor(clock / 86400) AS today, CASE WHEN floor(clock / 86400) = day THEN day_count ELSE 0 END AS spent FROM (
+                    SELECT g.key, s.i, s.scene_id, s.jitter, CASE WHEN g.verdict IS NULL THEN g.request + 1 ELSE 0 END AS request, CASE WHEN g.verdict IS NOT NULL THEN 0 WHEN g.wait > 0 THEN g.attempt + 1 ELSE g.attempt END AS attempt,
+                           g.verdict IS NULL AND g.wait = 0 AS again, CASE WHEN g.verdict IS NULL THEN g.at_s + g.wait ELSE greatest(coalesce(g.at_s, s.due), s.due) END AS clock, CASE WHEN g.verdict IS NULL THEN g.waited ELSE 0 END AS waited,
+                           g.tokens, coalesce(g.last_s, s.due) AS last_s, g.day, g.day_count
+                    FROM g JOIN s ON s.key = g.key AND s.i = g.i + CASE WHEN g.verdict IS NULL THEN 0 ELSE 1 END) AS n
+                LEFT JOIN r ON r.scene_id = n.scene_id AND r.request = n.request)))),
+    sent AS (SELECT * FROM g WHERE i > 0)"""
+
 ORACLE_SQL = {
-    "retried_calls": f"""
-        WITH a AS (SELECT CAST(scene_id AS BIGINT) AS scene_id, attempt, granted, status FROM ({ATTEMPTS.format(events="events")}) WHERE attempt < 3),
-        s AS (SELECT *, min(attempt) FILTER (NOT granted OR coalesce(status = 200 OR status IN (400), false)) OVER (PARTITION BY scene_id) AS stop FROM a),
-        m AS (SELECT * FROM s WHERE attempt <= coalesce(stop, 2))
-        SELECT scene_id, CASE WHEN bool_or(granted AND coalesce(status = 200, false)) THEN 'api' ELSE 'degraded' END AS source, count(*) AS tries, count(*) FILTER (granted) AS tokens,
-               round(coalesce(sum(CASE attempt WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.4::DOUBLE END) FILTER (attempt < coalesce(stop, 2)), 0), 6)::DOUBLE AS waited
-        FROM m GROUP BY scene_id""",
+    "sent_requests": f"""{_SENT}
+        SELECT key, scene_id, request, attempt, again, round(at_s, 6) AS "at", granted, status, verdict, round(waited, 6) AS waited, round(tokens, 6) AS tokens, day_count FROM sent""",
+    "retried_calls": f"""{_SENT}
+        SELECT key, scene_id, CASE WHEN max(verdict) IN ('reply', 'unusable') THEN 'api' ELSE 'degraded' END AS source, max(verdict) IN ('reply', 'unusable') AS cached, max(attempt) + 1 AS tries,
+               count(*) FILTER (granted) AS tokens, round(max(waited), 6) AS waited, max(verdict) AS verdict FROM sent GROUP BY key, scene_id""",
     "failure_causes": f"""
         SELECT CASE WHEN event_id % 6 IN (0, 3) THEN event_type WHEN event_id % 6 IN (1, 4) THEN '{requests.STORE_CAUSE}' ELSE '{requests.UNKNOWN_CAUSE}' END AS cause, count(*) AS n FROM events GROUP BY cause""",
     "guide_titles": rf"""
