@@ -3,13 +3,16 @@ embeddings as frames of 8 by 8 pixels, parts and events for probe documents, pat
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spoolworks.functions import probe, text, timing
 from spoolworks.operators import frames, sequences
-from spoolworks.sources.tables import table
+from spoolworks.sources import frames as gray
+from spoolworks.sources.tables import shared_dir, table, written
 
 # Inputs by rule over all parts, as SQL that Spark and DuckDB both read; `||` and chr() mean the same in both.
 _RATE = """CASE (p_partkey {0}) % 11 WHEN 0 THEN '30/1' WHEN 1 THEN '1560/121' WHEN 2 THEN '25/1' WHEN 3 THEN '0/0' WHEN 4 THEN 'N/A' WHEN 5 THEN '' WHEN 6 THEN '30'
@@ -120,6 +123,30 @@ def downscaled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small.select("vec_id", F.posexplode("small")).select("vec_id", "pos", F.round("col", 6).alias("pixel"))
 
 
+def scaled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 8 by 8 at 3 by 5: pixels are shared between the areas they lie in."""
+    small = table(spark, sf_dir, "embeddings").select("vec_id", frames.area_resized(8, 8, 3, 5)("embedding").alias("small"))
+    return small.select("vec_id", F.posexplode_outer("small")).select("vec_id", "pos", F.round("col", 6).alias("pixel"))
+
+
+def flow_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.when(F.col("vec_id") % 9 != 4, F.col("embedding")).alias("embedding"))
+    return frames.flow_motion(clips, "label", "vec_id", "embedding", 8, 8)
+
+
+def indexed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames written to a file a clip, and some read back by index: past the end, of a file that is not there, and twice too."""
+    pixel = lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(e.cast("double") * 40 + 128))).cast("long")
+    vectors = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("clip"), F.col("vec_id").alias("frame"), F.unhex(F.array_join(F.transform("embedding", lambda e: F.lpad(F.hex(pixel(e)), 2, "0")), "")).alias("pixels"))
+    files = written(gray.write_gray(vectors, f"{shared_dir(spark)}/clips-{uuid.uuid4().hex}"), "clips")
+    clips = files.select(F.col("clip").cast("long").alias("clip"), "path")
+    there = clips.select("clip", F.explode(F.array(*map(F.lit, (0, 7, 14, 7, 21, -1)))).alias("frame"), "path")
+    gone = clips.select("clip", F.lit(0).alias("frame"), F.concat("path", F.lit(".gone")).alias("path"))
+    read = gray.frames_at(there.union(gone), 8, 8)
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.conv(F.hex(F.substring("pixels", i, F.lit(1))), 16, 10).cast("long"))
+    return read.select("clip", "frame", "reading", F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.get(numbers, 9).alias("tenth"))
+
+
 def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End of each of two streams, and how far they end apart."""
     events = table(spark, sf_dir, "events").withColumn("end", F.col("event_id") / 10 + F.coalesce(F.col("value"), F.lit(0.0)) / 1000)
@@ -175,7 +202,7 @@ def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     energy_scores, energy_spread, candidate_timestamps, sample_indices, media_arithmetic, scenes, latest_job_state, monotone_progress, monotone_check,
-    sparkline_segments, frame_sharpness, sharpest_frame, motion_energy, downscaled_frames, stream_drift, probe_rates, probe_parse, job_failure_class,
+    sparkline_segments, frame_sharpness, sharpest_frame, motion_energy, flow_energy, downscaled_frames, scaled_frames, indexed_frames, stream_drift, probe_rates, probe_parse, job_failure_class,
     byte_ranges, path_safety, store_paths, display_formats,
 )}
 
@@ -226,6 +253,15 @@ ORACLE_SQL = {
         d AS (SELECT label, vec_id, avg(abs(embedding[i]::DOUBLE - before[i]::DOUBLE)) AS change FROM f, range(1, 65) AS t(i) WHERE before IS NOT NULL GROUP BY label, vec_id)
         SELECT label, round(coalesce(avg(change), 0), 6) AS motion FROM (SELECT DISTINCT label FROM embeddings) LEFT JOIN d USING (label) GROUP BY label""",
     "downscaled_frames": """SELECT vec_id, (r // 4 * 2 + c // 4)::INT AS pos, round(avg(embedding[r * 8 + c + 1]::DOUBLE), 6) AS pixel FROM embeddings, range(8) AS a(r), range(8) AS b(c) GROUP BY vec_id, r // 4, c // 4""",
+    "scaled_frames": """
+        WITH w AS (SELECT r, i, greatest(0, least(i + 1, (r + 1) * 8 / 3.0::DOUBLE) - greatest(i, r * 8 / 3.0::DOUBLE)) * 3 / 8.0::DOUBLE AS w FROM range(3) AS a(r), range(8) AS b(i)),
+        h AS (SELECT c, j, greatest(0, least(j + 1, (c + 1) * 8 / 5.0::DOUBLE) - greatest(j, c * 8 / 5.0::DOUBLE)) * 5 / 8.0::DOUBLE AS h FROM range(5) AS a(c), range(8) AS b(j))
+        SELECT vec_id, (r * 5 + c)::INT AS pos, round(sum(w * h * embedding[i * 8 + j + 1]::DOUBLE), 6) AS pixel FROM embeddings, w, h GROUP BY vec_id, r, c""",
+    "indexed_frames": """
+        WITH f AS (SELECT vec_id // 20 AS clip, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) - 1 AS frame, list_transform(embedding, lambda e: least(255, greatest(0, floor(e::DOUBLE * 40 + 128)))::BIGINT) AS p FROM embeddings),
+        a AS (SELECT DISTINCT clip, k, unnest([0, 7, 14, 7, 21, -1]) AS frame, unnest([1, 2, 3, 4, 5, 6]) AS nth, false AS gone FROM f, (VALUES (1)) AS t(k) UNION ALL SELECT DISTINCT clip, 1, 0, 0, true FROM f)
+        SELECT a.clip, a.frame, CASE WHEN gone THEN 'no_file' WHEN p IS NULL THEN 'no_frame' ELSE 'readable' END AS reading, CASE WHEN NOT gone THEN list_sum(p)::BIGINT END AS total, CASE WHEN NOT gone THEN p[10] END AS tenth
+        FROM a LEFT JOIN f ON f.clip = a.clip AND f.frame = a.frame""",
     "stream_drift": """SELECT user_id, round(abs(max(e) FILTER (event_id % 2 = 0) - max(e) FILTER (event_id % 2 = 1)), 6) AS drift
         FROM (SELECT *, event_id / 10 + coalesce(value, 0) / 1000 AS e FROM events) GROUP BY user_id""",
     "probe_rates": f"""SELECT p_partkey, round({_RATIONAL.format("nominal")}, 9) AS nominal_fps, round({_RATIONAL.format("average")}, 9) AS average_fps,

@@ -3,8 +3,6 @@ marked-up files, conversations for lists with wrapped lines, events for requests
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,9 +90,8 @@ def plan_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names, lengths and digests of the files of five tables."""
-    found = [files.digests(spark, f"{sf_dir}/{name}.parquet") for name in ("region", "nation", "customer", "part", "pages")]
-    return reduce(DataFrame.union, found).select("name", "length", "sha256")
+    """Names, lengths and digests of all files of all tables."""
+    return files.digests(spark, sf_dir).select("name", "length", "sha256")
 
 
 def clip_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

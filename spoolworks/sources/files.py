@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,12 +15,58 @@ from pyspark.sql import types as T
 
 # Fixed value: bytes of a chunk of a served file.
 CHUNK = 64 << 10
+#: Bytes of a block of a digest, and of a file that may be one row: binary columns end at 2 GB.
+BLOCK, WHOLE_FILE = 1 << 20, 256 << 20
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, length, sha256) of the files below a path, of up to 2 GB each: a file is one row. Spark lists no empty files."""
+class UnreadableFile(RuntimeError):
+    """A file that can't be opened or read where a task runs."""
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, length, modified) of the files below a path. Contents are not read; Spark lists no empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
+
+
+def local_path(path: str) -> str:
+    """The path in a file system that tasks have mounted, of a `file:` URI or a plain path; other schemes are refused by name."""
+    parts = urlsplit(path)
+    if parts.scheme not in ("", "file"):
+        raise UnreadableFile(f"{parts.scheme}: is read by Spark only, whole files up to {WHOLE_FILE} bytes")
+    return unquote(parts.path) if parts.scheme else path
+
+
+def block_digest(path: str, block: int = BLOCK) -> str:
+    """SHA-256 of a file of any size, read block by block."""
+    digest = hashlib.sha256()
+    try:
+        with open(local_path(path), "rb") as handle:
+            while data := handle.read(block):
+                digest.update(data)
+    except OSError as error:
+        raise UnreadableFile(f"{path}: {error.strerror}") from error
+    return digest.hexdigest()
+
+
+def digests(spark: SparkSession, path: str, whole: int = WHOLE_FILE, block: int = BLOCK) -> DataFrame:
+    """(path, name, length, sha256) of the files below a path, of any size.
+
+    Up to `whole` bytes a file is one row that Spark reads from whatever store it is in. Larger ones are streamed through
+    the digest in blocks of `block` bytes, so a task holds one block; tasks must have such files mounted, else the error
+    says so. Each large file is a task, as a digest can't be made in parts.
+    """
+    found = listing(spark, path)
+    small = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= whole)
+    small = small.select("path", F.sha2("content", 256).alias("sha256"))
+    large = found.where(F.col("length") > whole).select("path").repartition(F.col("path"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([block_digest(p, block)])], ["path", "sha256"])
+
+    return found.drop("modified").join(small.union(large.mapInArrow(run, "path string, sha256 string")), "path").select("path", "name", "length", "sha256")
 
 
 def stored_length(spark: SparkSession, path: str) -> DataFrame:
