@@ -23,6 +23,8 @@ BLOCK = 128
 RESERVE = 512
 #: A source is dealt into 16 ** n parts, two at least, so that a part of all rows has about so many: tasks number them.
 ROWS_OF_A_PART = 1 << 22
+#: Equal rows that one task writes out at most.
+PIECE = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -105,23 +107,30 @@ def mix(
     `size` counts the runs of characters other than white space (null: 0), `taken` is copies * size, and copies never
     exceed `most`. A source without words has target 0 and no copies; a document without words is taken as often as
     its source's whole part says. Rows that repeat an id are rounded each for themselves; a null source is a source,
-    null ids are ids. An empty table gives no rows; other columns are left behind, but for `row_col`: a key of each row's
-    own, which settles the order of rows that tie on size and id.
+    null ids are ids, equal rows are rows of their own, however many. An empty table gives no rows; other columns are left behind,
+    but for `row_col`: a key of each row's own, which settles the order of rows that tie on size and id.
     """
     own = [row_col] if row_col else []
-    sized = written(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.col(id_col), F.col(text_col), *own).alias("dealt"),
-            *own,
-        ),
-        "sizes",
+    sized = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(id_col), F.col(text_col), *own).alias("dealt"),
+        *own,
     )
+    if not row_col:
+        # Equal rows are counted, and each but the first is dealt by its number among them, so no part gets them all.
+        counted = written(sized.groupBy("doc_id", "source", "size", "dealt").agg(F.count("*").alias("rows")), "sizes")
+        pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / PIECE))))
+        if (counted.agg(F.max("rows")).first()[0] or 0) > PIECE:
+            pieces = pieces.repartition("doc_id", "dealt", "piece")
+        sized = pieces.withColumn("nth", F.explode(F.sequence(F.col("piece") * PIECE, F.least(F.col("rows"), (F.col("piece") + 1) * PIECE) - 1)))
+        sized = sized.withColumn("dealt", F.when(F.col("nth") > 0, F.xxhash64("dealt", "nth")).otherwise(F.col("dealt"))).drop("rows", "piece", "nth")
+    else:
+        sized = written(sized, "sizes")
     shares = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most), "targets")
     # Documents are numbered in each part of a source, so no task sees a source whole. Parts go by id and text, so null and
-    # repeated ids are no hot part; rows that tie on all of it are equal, and may change places.
+    # repeated ids are no hot part.
     rounds, many = 2, sized.count()
     while many > ROWS_OF_A_PART * 16**rounds:
         rounds += 1

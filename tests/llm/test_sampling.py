@@ -117,3 +117,32 @@ def test_ratios_against_plain_python(spark):
     want[counts.sum(axis=0) == 0] = 0
     assert np.allclose(model.scale, want)
     assert len(model.weights) == (1 << 12) + 1
+
+
+def test_equal_rows_fill_no_part_of_a_mix(spark):
+    """A third of all rows are equal: they are dealt like any others, and their source's words still come near its target."""
+    from spoolworks.llm import mixing
+
+    rows = [(7, "one two three", "a")] * 3000 + [(i, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(1000, 7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs).toPandas()
+    assert len(found) == len(rows) and (found.doc_id == 7).sum() == 3000
+    for _, group in found.groupby("source"):
+        assert abs(group.taken.sum() - group.target.iloc[0]) <= 5
+        assert (group.copies <= 3).all() and group["size"].sum() == group.source_size.iloc[0]
+    again = mixing.mix(docs.repartition(7)).toPandas()
+    assert sorted(map(tuple, again.to_numpy().tolist())) == sorted(map(tuple, found.to_numpy().tolist()))
+    places = mixing.mix(docs).where("doc_id = 7").groupBy("copies").count().collect()
+    assert len(places) == 2  # rounded each for itself
+
+
+def test_equal_rows_are_dealt_over_parts(spark, monkeypatch):
+    """The table of placed rows, as written: no part holds more than a few times the mean."""
+    from spoolworks.llm import mixing
+
+    kept = {}
+    monkeypatch.setattr(mixing, "written", lambda df, name, f=mixing.written: kept.setdefault(name, f(df, name)))
+    docs = spark.createDataFrame([(7, "one two three", "a")] * 20_000 + [(i, "w", "a") for i in range(40_000)], "doc_id long, text string, source string")
+    assert mixing.mix(docs).count() == 60_000
+    parts = [r["count"] for r in kept["placed"].groupBy("part").count().collect()]
+    assert len(parts) == 256 and max(parts) < 1.5 * 60_000 / 256
