@@ -24,17 +24,26 @@ LEAK_PERCENT = 80
 MIX_SEED = 7
 SHARDS = 40
 ROW = "__row"
+#: Files whose numbers are broadcast: some 40 MB.
+MOST_FILES = 2_000_000
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
     """`docs` with a key of each row's own that is the same in every read: the number of its file and its place there.
-    Rows that come from no file are written first."""
+    Rows that come from no file are written first. Files get their numbers by the hash of their path, 12 bytes each, so the
+    table of numbers is broadcast up to `MOST_FILES` of them and no text is moved; beyond that, or where two paths share a
+    hash, files and rows are joined."""
     try:
         placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
     except AnalysisException:
         return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
-    files = written(placed.select("__file").distinct().withColumn("__n", F.row_number().over(Window.orderBy("__file"))), name)
-    return placed.join(files, "__file").withColumn(ROW, F.col("__n") * (1 << 40) + F.col("__at")).drop("__file", "__at", "__n")
+    files = written(placed.select("__file").distinct().select("__file", F.xxhash64("__file").alias("__h"), F.row_number().over(Window.orderBy("__file")).alias("__n")), name)
+    paths, hashes = files.agg(F.count("*"), F.count_distinct("__h")).first()
+    if paths == hashes <= MOST_FILES:
+        numbered = placed.withColumn("__h", F.xxhash64("__file")).join(F.broadcast(files.select("__h", "__n")), "__h")
+    else:
+        numbered = placed.join(files, "__file")
+    return numbered.withColumn(ROW, F.col("__n") * (1 << 40) + F.col("__at")).drop("__file", "__at", "__n", "__h")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
