@@ -74,11 +74,13 @@ def progress_fraction(line: Column, total_seconds: Column) -> Column:
 
 
 def utc_time(text: Column) -> Column:
-    """struct(at, refused): an ISO time with an offset as UTC wall clock text; one without an offset is refused, as its moment
-    is unknown. Null is neither."""
-    moment = F.when(text.rlike(r"[0-9](Z|[+-][0-9]{2}:?[0-9]{2})$"), text.try_cast("timestamp"))
+    """struct(at, refused, unreadable): an ISO time with an offset (Z, UTC, +05, +0530, +05:30) as UTC wall clock text. One without an offset
+    is refused, as its moment is unknown; what is no time at all is unreadable. Null is neither."""
+    zoned = text.rlike(r":[0-9]{2}([.][0-9]+)? ?(Z|UTC|[+-][0-9]{2}(:?[0-9]{2})?)$")
+    moment = F.when(zoned, text.try_cast("timestamp"))
     shown = F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
-    return F.struct(shown.alias("at"), (text.isNotNull() & moment.isNull()).alias("refused"))
+    naive = F.coalesce(~zoned & text.try_cast("timestamp_ntz").isNotNull(), F.lit(False))
+    return F.struct(shown.alias("at"), naive.alias("refused"), (text.isNotNull() & moment.isNull() & ~naive).alias("unreadable"))
 
 
 def span_progress(at: Column, until: Column, i: Column, n: Column) -> Column:

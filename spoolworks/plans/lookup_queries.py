@@ -25,7 +25,7 @@ def sending_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr(STATUS).alias("status"), F.expr(STEP).alias("step"))
     sending = requests.sending_step(F.col("step"))
     found = lookups.first_match(events, "user_id", "event_id", (F.col("status") == "running") & sending.isNotNull())
-    clips = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("at"), F.col("c_name").alias("clip")).where("user_id % 2 = 0")
+    clips = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("at"), F.col("c_name").alias("clip"))
     named = lookups.named_match(found, clips, "user_id", "at", "clip")
     return named.select("user_id", "event_id", sending["index"].alias("scene"), sending["total"].alias("scenes"), "clip")
 
@@ -81,7 +81,7 @@ ORACLE_SQL = {
     "connections": "SELECT event_type, count(*) AS n FROM events WHERE event_id % 4 = 0 OR event_type IN ('click', 'view') GROUP BY event_type",
     "sending_jobs": """
         WITH f AS (SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'view' AND event_id % 3 = 0 GROUP BY user_id)
-        SELECT user_id, event_id, event_id % 7 AS scene, 7::BIGINT AS scenes, c_name AS clip FROM f LEFT JOIN customer ON c_custkey = user_id AND user_id % 2 = 0""",
+        SELECT user_id, event_id, event_id % 7 AS scene, 7::BIGINT AS scenes, c_name AS clip FROM f LEFT JOIN customer ON c_custkey = user_id""",
     "finished_signatures": f"""
         SELECT user_id, coalesce(string_agg(event_id || ':' || s, ',' ORDER BY event_id || ':' || s) FILTER (s NOT IN ('queued', 'running')), '') AS finished
         FROM (SELECT *, {STATUS} AS s FROM events) GROUP BY user_id""",

@@ -80,9 +80,9 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot and the live events over it, with repeats, down to the newest of each key."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    return sequences.latest(events.where("event_id % 2 = 0").unionByName(events.where("event_type <> 'ping'")), "user_id", "event_id")
+    """A snapshot and the live events over it, with repeats, down to the newest of each key. Keepalive pings are no events of a job."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value").where("event_type <> 'ping'")
+    return sequences.latest(events.where("event_id % 2 = 0").unionByName(events), "user_id", "event_id")
 
 
 def monotone_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +238,7 @@ ORACLE_SQL = {
               SELECT s.user_id, s.sequence_index + 1, (SELECT min(c.frame) FROM c WHERE c.user_id = s.user_id AND c.frame >= s.start_frame + 3) AS f
               FROM s WHERE (SELECT min(c.frame) FROM c WHERE c.user_id = s.user_id AND c.frame >= s.start_frame + 3) IS NOT NULL)
         SELECT user_id, sequence_index, start_frame, coalesce(lead(start_frame) OVER (PARTITION BY user_id ORDER BY sequence_index), frames) AS end_frame FROM s JOIN n USING (user_id)""",
-    "latest_job_state": "SELECT user_id, event_id, event_type, value FROM events WHERE event_id % 2 = 0 OR event_type <> 'ping' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "latest_job_state": "SELECT user_id, event_id, event_type, value FROM events WHERE event_type <> 'ping' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "monotone_progress": "SELECT user_id, event_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, max(value / 100) OVER (PARTITION BY user_id ORDER BY event_id))) AS progress FROM events",
     "monotone_check": """SELECT user_id, bool_and(ok) AS monotone FROM (
         SELECT user_id, coalesce(value >= lag(value) OVER (PARTITION BY user_id ORDER BY event_id), true) AS ok FROM events) GROUP BY user_id""",

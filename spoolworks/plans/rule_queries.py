@@ -19,6 +19,8 @@ REPLIES = """SELECT CAST((event_id - event_id % 8) / 8 AS BIGINT) AS scene_id, e
 KEYS = "CAST(scene_id % 25 AS STRING)"
 STEPS = """SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_id % 6 = 0 THEN concat('step ', event_id % 5) END AS step,
     (event_id % 5) / 5.0 AS begun, (event_id % 5 + 1) / 5.0 AS until, (event_id % 10) / 10.0 AS within FROM {events}"""
+TIMES = """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN concat({text}, '+05:30') WHEN 1 THEN concat({text}, 'Z') WHEN 2 THEN concat({text}, '-0800') WHEN 3 THEN {text}
+    WHEN 4 THEN concat({text}, '+05') WHEN 5 THEN concat({text}, ' UTC') WHEN 6 THEN o_orderpriority WHEN 7 THEN substring({text}, 1, 10) END AS t FROM {orders}"""
 PLAN_TEXT = """CASE doc_id % 4 WHEN 0 THEN concat('PROMPT ', doc_id % 90 + 10, ' - ', substring(coalesce(text, ''), 1, 30), chr(10), coalesce(text, ''))
     WHEN 1 THEN concat('| Wave ', doc_id % 7, ': *Titled ', doc_id, '* . | x', chr(10), 'Prompt 7 - Short', chr(10), coalesce(text, '')) ELSE text END"""
 NAMES = """CASE p_partkey % 9 WHEN 0 THEN concat(p_name, '.MP4') WHEN 1 THEN concat(p_name, '.tar.mov') WHEN 2 THEN concat(p_name, '.txt') WHEN 3 THEN '.mkv'
@@ -56,9 +58,9 @@ def guide_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utc_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zone = "CASE o_orderkey % 5 WHEN 0 THEN '+05:30' WHEN 1 THEN 'Z' WHEN 2 THEN '-0800' WHEN 3 THEN '' END"
-    at = timing.utc_time(F.expr(f"concat(date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss'), {zone})"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", at["at"].alias("utc"), at["refused"].alias("refused"))
+    times = spark.sql(TIMES.format(text="date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')", orders="{orders}"), orders=table(spark, sf_dir, "orders"))
+    at = timing.utc_time(F.col("t"))
+    return times.select("o_orderkey", at["at"].alias("utc"), at["refused"].alias("refused"), at["unreadable"].alias("unreadable"))
 
 
 def stream_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +137,16 @@ ORACLE_SQL = {
         f AS (SELECT doc_id, unnest(regexp_extract_all(plan, '(?:PROMPT|Prompt)\s*\d{{1,2}}\s*[—–:\-]\s*([^\n|]{{4,80}})', 1) || regexp_extract_all(plan, '(?:WAVE|Wave)\s*\d\s*[—–:\-]\s*([^\n|]{{3,60}})', 1)) AS raw FROM t)
         SELECT DISTINCT doc_id, regexp_replace(trim(raw, chr(32) || chr(9) || chr(10) || chr(13)), '[.*_ ]+$', '') AS title FROM f
         WHERE length(regexp_replace(trim(raw, chr(32) || chr(9) || chr(10) || chr(13)), '[.*_ ]+$', '')) >= 8""",
-    "utc_times": """
-        SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate - INTERVAL '330 minutes', '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
-               WHEN 2 THEN strftime(o_orderdate + INTERVAL '8 hours', '%Y-%m-%d %H:%M:%S') END AS utc, o_orderkey % 5 = 3 AS refused FROM orders""",
+    "utc_times": rf"""
+        WITH t AS ({TIMES.format(text="strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')", orders="orders")}),
+        p AS (SELECT *, regexp_extract(t, ':[0-9]{{2}} ?(Z|UTC|[+-][0-9]{{2}}(?::?[0-9]{{2}})?)$', 1) AS zone, try_strptime(t[1:19], ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d']) AS wall FROM t),
+        m AS (SELECT *, CASE WHEN zone IN ('Z', 'UTC') THEN 0 WHEN zone <> '' THEN CASE WHEN zone[1] = '-' THEN -1 ELSE 1 END * (zone[2:3]::INT * 60 + coalesce(try_cast(right(regexp_replace(zone[4:], ':', ''), 2) AS INT), 0)) END AS minutes FROM p)
+        SELECT o_orderkey, CASE WHEN zone <> '' THEN strftime(wall - to_minutes(minutes), '%Y-%m-%d %H:%M:%S') END AS utc, coalesce(zone = '' AND wall IS NOT NULL, false) AS refused, t IS NOT NULL AND wall IS NULL AS unreadable FROM m""",
     "stream_ends": """
         WITH f AS (SELECT user_id, event_id / 10 AS moment, event_id / 10 - lag(event_id / 10) OVER (PARTITION BY user_id ORDER BY event_id) AS step,
                           row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events)
         SELECT user_id, round(moment + coalesce(step, 0), 6) AS "end" FROM f WHERE back = 1""",
-    "video_names": "SELECT p_partkey, p_partkey % 9 IN (0, 1, 7) AS video FROM part",
+    "video_names": f"SELECT p_partkey, lower(regexp_extract({NAMES}, '[^/.][^/]*?(\\.[^./]*)$', 1)) IN ({', '.join(repr(x) for x in text.VIDEO_SUFFIXES)}) AS video FROM part",
     "step_boundaries": _STEPPED,
     "ended_jobs": f"""
         WITH s AS ({_STEPPED}),

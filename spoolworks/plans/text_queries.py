@@ -30,8 +30,8 @@ GUIDES = """SELECT c_custkey, '| ' || (c_custkey % 6) || ' – Camp *' || c_name
 REPLIES = """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'broken' || doc_id WHEN 1 THEN '{{"candidates":[]}}' ELSE '{{"candidates":[{{"content":{{"parts":[' || replace(CASE doc_id % 9
     WHEN 2 THEN '{{"text":"{{^content_type^:' || doc_id || '}}"}}' WHEN 3 THEN '{{"text":"{{}}"}}' WHEN 4 THEN '{{"text":"not json"}}' WHEN 5 THEN '{{"text":"[1]"}}'
     WHEN 6 THEN '{{"text":"{{^content_type^:^' || source || '^,^energy_level^:"}},{{"text":"null}}"}}' ELSE '{{"text":"{{^content_type^:^' || lang || '^,^energy_level^:"}},{{"text":"^' || source || '^}}"}}' END, '^', chr(92) || '"') || ']}}}}]}}' END AS reply FROM {documents}"""
-JOB_ACTIONS = """SELECT (event_id - event_id % 12) / 12 AS job_id, event_id AS seq, CASE WHEN event_id % 13 < 2 THEN 'start' ELSE CASE (event_id * 5 + user_id * 3) % 8 WHEN 0 THEN 'submit' WHEN 1 THEN 'start'
-    WHEN 2 THEN 'finish' WHEN 3 THEN 'cancel' WHEN 4 THEN 'fail' ELSE 'report' END END AS action, value / 100 AS value FROM {events}"""
+JOB_ACTIONS = """SELECT (event_id - event_id % 12) / 12 AS job_id, event_id AS seq, CASE WHEN event_id % 12 < 2 THEN 'start' WHEN event_id % 12 = 4 THEN 'task' ELSE CASE (event_id * 5 + user_id * 3) % 16 WHEN 0 THEN 'submit' WHEN 1 THEN 'start'
+    WHEN 2 THEN 'finish' WHEN 3 THEN 'cancel' WHEN 4 THEN 'fail' WHEN 5 THEN 'recover' WHEN 6 THEN 'task' ELSE 'report' END END AS action, value / 100 AS value FROM {events}"""
 UPLOAD_ACTIONS = """SELECT (event_id - event_id % 20) / 20 AS upload_id, event_id AS seq, CASE WHEN event_id % 20 >= 17 THEN 'finalize' WHEN event_id % 20 = 16 AND event_id % 9 = 0 THEN 'abort' ELSE 'chunk' END AS action,
     event_id % 20 * 10 - CASE WHEN event_id % 9 = 4 THEN 10 ELSE 0 END AS offset, 10 AS length, 160 AS declared FROM {events}"""
 PLANTED = """concat_ws(chr(10), CASE WHEN doc_id % 3 = 0 THEN 'Wave 1 - Solid Ground' || chr(10) || 'Wave 2 - Next Step' || chr(10) || 'Wave 3 - Last Mile' END,
@@ -178,8 +178,8 @@ def adopted_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     digest = F.when(F.col("o_orderkey") % 6 != 0, F.concat(F.lit("d"), (F.col("o_orderkey") % 5).cast("string")))
     every = orders.select((F.col("o_custkey") % 50).alias("project_id"), digest.alias("declared_sha256"), "o_orderkey", "o_orderdate", "o_orderstatus")
-    sessions = every.where("o_orderkey % 4 = 0").select("project_id", "declared_sha256", F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "in_progress").otherwise("completed").alias("status"))
-    requests = every.where("o_orderkey % 4 = 1").select("project_id", "declared_sha256", F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("created_at"))
+    sessions = every.where("o_orderkey % 2 = 0").select("project_id", "declared_sha256", F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "in_progress").otherwise("completed").alias("status"))
+    requests = every.where("o_orderkey % 2 = 1").select("project_id", "declared_sha256", F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("created_at"))
     return rows.adopt_open(sessions, requests)
 
 
@@ -253,15 +253,17 @@ ORACLE_SQL = {
         SELECT key, request_id, granted, round(tokens, 6) AS tokens, day_count FROM f WHERE i > 0""",
     "job_state_machine": f"""
         WITH RECURSIVE q AS (SELECT CAST(job_id AS BIGINT) AS job_id, seq, action, value, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS i FROM ({JOB_ACTIONS.format(events="events")})),
-        f AS (SELECT job_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS action, false AS accepted, 'queued' AS status, 0.0::DOUBLE AS progress, false AS asked FROM (SELECT DISTINCT job_id FROM q)
+        f AS (SELECT job_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS action, false AS accepted, 'queued' AS status, 0.0::DOUBLE AS progress, false AS task, false AS asked FROM (SELECT DISTINCT job_id FROM q)
               UNION ALL
-              SELECT q.job_id, q.i, q.seq, q.action,
-                     CASE q.action WHEN 'submit' THEN f.i = 0 WHEN 'start' THEN f.status = 'queued' WHEN 'cancel' THEN f.status IN ('queued', 'running') ELSE f.status = 'running' END,
-                     CASE WHEN f.status = 'queued' AND q.action = 'start' THEN 'running' WHEN f.status = 'queued' AND q.action = 'cancel' THEN 'cancelled' WHEN f.status = 'running' AND q.action = 'fail' THEN 'failed'
-                          WHEN f.status = 'running' AND q.action = 'finish' THEN CASE WHEN f.asked THEN 'cancelled' ELSE 'succeeded' END ELSE f.status END,
-                     CASE WHEN f.status = 'running' AND q.action = 'report' THEN greatest(f.progress, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(q.value, f.progress)))) WHEN f.status = 'running' AND q.action = 'finish' AND NOT f.asked THEN 1.0::DOUBLE ELSE f.progress END,
-                     f.asked OR (f.status = 'running' AND q.action = 'cancel')
-              FROM f JOIN q ON q.job_id = f.job_id AND q.i = f.i + 1)
+              SELECT job_id, i, seq, action, accepted,
+                     CASE WHEN NOT accepted THEN status WHEN action = 'start' THEN 'running' WHEN action = 'recover' THEN 'queued' WHEN action = 'finish' THEN 'succeeded' WHEN action = 'fail' THEN 'failed'
+                          WHEN action = 'task' AND asked OR action = 'cancel' AND (status = 'queued' OR task) THEN 'cancelled' ELSE status END,
+                     CASE WHEN NOT accepted THEN progress WHEN action = 'report' THEN greatest(progress, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(value, progress)))) WHEN action = 'finish' THEN 1.0::DOUBLE WHEN action = 'recover' THEN 0.0::DOUBLE ELSE progress END,
+                     CASE WHEN NOT accepted THEN task ELSE action = 'task' OR task AND action <> 'recover' END, CASE WHEN NOT accepted THEN asked ELSE (asked OR action = 'cancel' AND status = 'running' AND NOT task) AND action <> 'recover' END
+              FROM (SELECT q.*, f.status, f.progress, f.task, f.asked,
+                           CASE q.action WHEN 'submit' THEN f.i = 0 WHEN 'start' THEN f.status = 'queued' WHEN 'fail' THEN f.status = 'running' WHEN 'task' THEN f.status = 'running' AND NOT f.task
+                                WHEN 'cancel' THEN f.status IN ('queued', 'running') WHEN 'recover' THEN f.status IN ('queued', 'running') ELSE f.status = 'running' AND f.task END AS accepted
+                    FROM f JOIN q ON q.job_id = f.job_id AND q.i = f.i + 1))
         SELECT job_id, seq, action, accepted, status, progress FROM f WHERE i > 0""",
     "upload_fold": f"""
         WITH RECURSIVE q AS (SELECT CAST(upload_id AS BIGINT) AS upload_id, seq, action, "offset" AS start, length, declared, row_number() OVER (PARTITION BY upload_id ORDER BY seq) AS i FROM ({UPLOAD_ACTIONS.format(events="events").replace("AS offset", 'AS "offset"')})),
@@ -289,8 +291,8 @@ ORACLE_SQL = {
         CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN 'step' END AS step, CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN o_orderdate END AS started_at FROM orders""",
     "adopted_uploads": """
         WITH e AS (SELECT o_custkey % 50 AS p, CASE WHEN o_orderkey % 6 <> 0 THEN 'd' || o_orderkey % 5 END AS h, o_orderkey AS k, o_orderdate AS t, o_orderstatus AS s FROM orders),
-        o AS (SELECT p, h, k FROM e WHERE k % 4 = 0 AND s = 'O' AND h IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p, h ORDER BY t, k) = 1),
-        r AS (SELECT p, h, k, CASE WHEN h IS NULL THEN k ELSE first_value(k) OVER (PARTITION BY p, h ORDER BY t, k) END AS leader FROM e WHERE k % 4 = 1)
+        o AS (SELECT p, h, k FROM e WHERE k % 2 = 0 AND s = 'O' AND h IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p, h ORDER BY t, k) = 1),
+        r AS (SELECT p, h, k, CASE WHEN h IS NULL THEN k ELSE first_value(k) OVER (PARTITION BY p, h ORDER BY t, k) END AS leader FROM e WHERE k % 2 = 1)
         SELECT r.k AS request_id, coalesce(o.k, leader) AS session_id, o.k IS NULL AND leader = r.k AS created FROM r LEFT JOIN o ON o.p = r.p AND o.h = r.h""",
     "resume_offsets": "SELECT p_partkey, least(p_size, p_partkey % 40)::INT AS \"offset\" FROM part",
 }

@@ -12,37 +12,46 @@ from spoolworks.streaming.folds import fold, stream_fold
 
 OPEN, OVER = ("queued", "running"), ("succeeded", "failed", "cancelled")
 OUT = "job_id long, seq long, action string, accepted boolean, status string, progress double"
-STATE = "status string, progress double, cancel_requested boolean"
+STATE = "status string, progress double, has_task boolean, cancel_requested boolean"
+NEW = {"status": "queued", "progress": 0.0, "has_task": False, "cancel_requested": False}
 
 
 def step(state: dict[str, Any] | None, event: dict[str, Any]) -> tuple[dict[str, Any], dict[str, Any]]:
-    """One action: submit, start, report, finish, fail, cancel.
+    """One action: submit, start, task, report, finish, fail, cancel, recover.
 
-    Only a queued job starts. Reports raise progress within 0 and 1, never lower it. A cancel of a queued job ends it; of a
-    running one it is remembered, and whatever ends the job next ends it as cancelled, except a failure. States that are over
-    stay. Success sets progress to 1, other ends keep the last report.
+    Only a queued job starts; its task comes into being a moment later, and only a task reports and finishes. A cancel has three
+    cases: a queued job ends at once, and so does one whose task exists; a running job without a task yet remembers the
+    request, and ends the moment the task exists. Reports raise progress within 0 and 1, never lower it. Success sets progress
+    to 1, other ends keep the last report. After a crash, recover puts an open job back in the queue, from the start and without a
+    request to cancel. States that are over stay.
     """
-    now = dict(state or {"status": "queued", "progress": 0.0, "cancel_requested": False})
+    now = dict(state or NEW)
     action, accepted = event["action"], False
+    running = now["status"] == "running"
     if action == "submit":
         accepted = state is None
     elif action == "start" and now["status"] == "queued":
         now["status"], accepted = "running", True
-    elif action == "report" and now["status"] == "running":
+    elif action == "task" and running and not now["has_task"]:
+        now["has_task"], accepted = True, True
+        if now["cancel_requested"]:
+            now["status"] = "cancelled"
+    elif action == "report" and running and now["has_task"]:
         value = event["value"]
         now["progress"] = max(now["progress"], min(1.0, max(0.0, float(value)))) if value == value else now["progress"]
         accepted = True
-    elif action == "finish" and now["status"] == "running":
-        done = not now["cancel_requested"]
-        now["status"], now["progress"], accepted = ("succeeded", 1.0, True) if done else ("cancelled", now["progress"], True)
-    elif action == "fail" and now["status"] == "running":
+    elif action == "finish" and running and now["has_task"]:
+        now["status"], now["progress"], accepted = "succeeded", 1.0, True
+    elif action == "fail" and running:
         now["status"], accepted = "failed", True
     elif action == "cancel" and now["status"] in OPEN:
         accepted = True
-        if now["status"] == "queued":
-            now["status"] = "cancelled"
-        else:
+        if running and not now["has_task"]:
             now["cancel_requested"] = True
+        else:
+            now["status"] = "cancelled"
+    elif action == "recover" and now["status"] in OPEN:
+        now, accepted = dict(NEW), True
     return now, {"job_id": event["job_id"], "seq": event["seq"], "action": action, "accepted": accepted, "status": now["status"], "progress": now["progress"]}
 
 

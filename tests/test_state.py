@@ -13,12 +13,28 @@ def run(step, key, events):
     return out
 
 
-def test_only_queued_jobs_start_and_cancel_has_three_cases():
-    out = run(jobs.step, "job_id", [{"action": "submit"}, {"action": "cancel"}, {"action": "start"}])
-    assert [(o["accepted"], o["status"]) for o in out] == [(True, "queued"), (True, "cancelled"), (False, "cancelled")]
-    out = run(jobs.step, "job_id", [{"action": "start"}, {"action": "report", "value": 0.4}, {"action": "report", "value": 0.2}, {"action": "cancel"}, {"action": "finish"}])
-    assert [(o["status"], o["progress"]) for o in out] == [("running", 0.0), ("running", 0.4), ("running", 0.4), ("running", 0.4), ("cancelled", 0.4)]
-    assert run(jobs.step, "job_id", [{"action": "start"}, {"action": "finish"}, {"action": "cancel"}])[-1] == {"job_id": 1, "seq": 2, "action": "cancel", "accepted": False, "status": "succeeded", "progress": 1.0}
+def states(*actions):
+    out = run(jobs.step, "job_id", [{"action": a} if isinstance(a, str) else {"action": "report", "value": a} for a in actions])
+    return [(o["accepted"], o["status"], o["progress"]) for o in out]
+
+
+def test_a_cancel_has_three_cases():
+    assert states("submit", "cancel", "start", "submit") == [(True, "queued", 0.0), (True, "cancelled", 0.0), (False, "cancelled", 0.0), (False, "cancelled", 0.0)]
+    assert states("start", "task", 0.4, "cancel", "finish")[3:] == [(True, "cancelled", 0.4), (False, "cancelled", 0.4)]
+    # Running, but the task does not exist yet: the request is kept, and honoured the moment it does.
+    assert states("start", "cancel", "cancel", "finish", "task", "finish")[1:] == [(True, "running", 0.0), (True, "running", 0.0), (False, "running", 0.0), (True, "cancelled", 0.0), (False, "cancelled", 0.0)]
+    assert states("start", "task", "finish", "cancel")[2:] == [(True, "succeeded", 1.0), (False, "succeeded", 1.0)]
+    assert states("start", "cancel", "fail", "task")[2:] == [(True, "failed", 0.0), (False, "failed", 0.0)]
+
+
+def test_only_tasks_report_and_finish_and_progress_never_falls():
+    assert states("start", 0.5, "task", "task", 0.4, 0.2, float("nan"), 7.0)[1:] == [(False, "running", 0.0), (True, "running", 0.0), (False, "running", 0.0), (True, "running", 0.4), (True, "running", 0.4), (True, "running", 0.4), (True, "running", 1.0)]
+
+
+def test_recovery_starts_over():
+    assert states("start", "cancel", "recover", "start", "task", "finish") == [(True, "running", 0.0), (True, "running", 0.0), (True, "queued", 0.0), (True, "running", 0.0), (True, "running", 0.0), (True, "succeeded", 1.0)]
+    assert states("start", "task", 0.7, "recover", "start", 0.1)[3:] == [(True, "queued", 0.0), (True, "running", 0.0), (False, "running", 0.0)]
+    assert states("start", "task", "finish", "recover")[-1] == (False, "succeeded", 1.0)
 
 
 def test_chunks_must_continue():

@@ -95,3 +95,18 @@ def test_descendants_of_chains_cycles_and_orphans(spark):
     nodes = [(0, None), *[(i, i - 1) for i in range(1, 300)], (500, None), (600, 601), (601, 600), (700, 999), (501, 500)]
     found = {r.node: (r.root, r.depth) for r in lookups.descendants(spark.createDataFrame(nodes, "n long, p long"), "n", "p").collect()}
     assert found == {i: (0, i) for i in range(300)} | {500: (500, 0), 501: (500, 1)}
+
+
+def test_utc_times_tell_naive_from_unreadable(spark):
+    from pyspark.sql import functions as F
+
+    from spoolworks.functions import timing
+
+    cases = {"2024-03-01 10:00:00+05": ("2024-03-01 05:00:00", False, False), "2024-03-01 10:00:00 UTC": ("2024-03-01 10:00:00", False, False), "2024-03-01T10:00:00.5Z": ("2024-03-01 10:00:00", False, False), "2024-03-01 10:00:00": (None, True, False), "2024-03-05": (None, True, False), "soon": (None, False, True), "": (None, False, True), "2024-03-01 99:00:00Z": (None, False, True), None: (None, False, False)}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", timing.utc_time(F.col("t")).alias("u")).collect()
+    assert {r.t: tuple(r.u) for r in rows} == cases
+
+
+def test_rows_on_both_sides_are_all_rows(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 2 = 1").count()
+    assert QUERIES["adopted_uploads"](spark, sf).count() == orders
