@@ -48,3 +48,20 @@ def roll_up(items: DataFrame, group: list[str], status: str, passed: str, runnin
     """Items of each group by status, and how many percent have passed. No group: one row, of zeros if there are no items."""
     counts = [F.count("*").alias("total"), *[F.count_if(F.col(status) == s).alias(n) for n, s in (("passed", passed), ("in_progress", running), ("pending", pending))]]
     return items.groupBy(*group).agg(*counts).withColumn("completion", percent(F.col("passed"), F.col("total")))
+
+
+# What is said of a step whose files are both there, one of them, or neither.
+EVIDENCE = [("PASSED", "Report present and gate script verified"), ("IN_PROGRESS", "Report or gate script in progress"), ("PENDING", "Pending execution")]
+
+
+def evidence(plan: DataFrame, listing: DataFrame, report: str = "report", gate: str = "gate") -> DataFrame:
+    """`plan` (report, gate, ...) with report_exists, gate_exists, status and notes. listing: (name) of the files there are; a null
+    name has no file. Names are joined once each, so a listing may be of any size."""
+    there = listing.select(F.col(listing.columns[0]).alias("__name")).where("__name IS NOT NULL").distinct()
+    found = plan
+    for column, flag in ((report, "report_exists"), (gate, "gate_exists")):
+        side = there.withColumnRenamed("__name", "__there")
+        found = found.join(side, F.col(column) == F.col("__there"), "left").withColumn(flag, F.col("__there").isNotNull()).drop("__there")
+    both, some = F.col("report_exists") & F.col("gate_exists"), F.col("report_exists") | F.col("gate_exists")
+    pick = lambda i: F.when(both, EVIDENCE[0][i]).when(some, EVIDENCE[1][i]).otherwise(EVIDENCE[2][i])
+    return found.withColumns({"status": pick(0), "notes": pick(1)})

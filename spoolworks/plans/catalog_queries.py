@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolworks.functions.requests import page_limit
 from spoolworks.functions.text import is_digest
-from spoolworks.operators import catalog, rows
+from spoolworks.operators import catalog, constraints, rows
+from spoolworks.sources import files, schemas
 from spoolworks.sources.tables import table
 
 #: Artifact kind -> current version.
@@ -109,6 +112,68 @@ def next_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.next_positions(old, new, "o_custkey", ["o_orderkey"]).select("o_custkey", "o_orderkey", "position")
 
 
+#: Names of files: those of tables, and two that are nowhere.
+STORED = ["orders", "part", "lost", "region", "gone", "events"]
+#: The eight tables by rule, with violations of every kind among them. Digests are two MD5 sums, 64 hex digits.
+FILLED = {
+    "projects": "SELECT concat('p', CASE WHEN c_custkey % 40 = 1 THEN c_custkey - 1 ELSE c_custkey END) AS id, CASE WHEN c_custkey % 50 <> 0 THEN c_name END AS name FROM {customer}",
+    "media_blobs": """SELECT CASE WHEN o_orderkey % 61 = 0 THEN concat('short', o_orderkey) ELSE concat(md5(concat('b', o_orderkey % 1200)), md5(concat('c', o_orderkey % 1200))) END AS sha256,
+        o_orderkey % 1000 - 3 AS size_bytes, concat('media/', o_orderkey) AS stored_path FROM {orders}""",
+    "media_files": """SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey) AS id, concat('p', l_suppkey * 20) AS project_id, concat(md5(concat('b', l_orderkey % 1250)), md5(concat('c', l_orderkey % 1250))) AS sha256,
+        CASE WHEN l_linenumber < 7 THEN l_returnflag END AS display_name, l_linenumber AS position FROM {lineitem}""",
+    "derived_artifacts": """SELECT concat('a', o_orderkey) AS id, concat(md5(concat('b', o_orderkey % 1210)), md5(concat('c', o_orderkey % 1210))) AS sha256, o_orderpriority AS artifact_kind,
+        o_custkey % 4 AS params_version, CASE WHEN o_orderkey % 70 > 0 THEN 'derived' END AS stored_path FROM {orders}""",
+    "scenes": """SELECT concat('s', event_id) AS id, concat(md5(concat('b', user_id % 1300)), md5(concat('c', user_id % 1300))) AS sha256, event_id % 5 AS detector_params_version, event_id % 30 - 1 AS sequence_index,
+        value AS start_seconds, CASE WHEN event_id % 90 > 0 THEN value + event_id % 4 - 1 END AS end_seconds, value * 2 - 20 AS energy_score FROM {events}""",
+    "scene_tag_cache": "SELECT concat('t', doc_id % 5000) AS id, concat('s', doc_id * 3) AS scene_id, quality AS prompt_version FROM {labels}",
+    "upload_sessions": """SELECT concat('u', p_partkey) AS id, concat('p', p_partkey) AS project_id, p_name AS display_name, p_size * 100 - 200 AS declared_size_bytes, p_size % 10 AS chunk_size_bytes, p_partkey % 9 - 1 AS bytes_received,
+        CASE WHEN p_size % 3 > 0 THEN concat('d', p_size) END AS declared_sha256, CASE p_partkey % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'lost' ELSE 'in_progress' END AS status FROM {part}""",
+    "jobs": """SELECT concat('j', event_id - event_id % 8 / 7) AS id, event_type AS job_type, CASE WHEN event_id % 9 > 0 THEN 'queued' ELSE 'paused' END AS status, value / 90 AS progress,
+        CASE WHEN event_id % 3 > 0 THEN concat('p', user_id + 30) END AS project_id, CASE WHEN event_id % 4 > 0 THEN concat(md5(concat('b', user_id % 1300)), md5(concat('c', user_id % 1300))) END AS sha256 FROM {events}""",
+}
+
+
+def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every constraint of the catalog, and how many rows are at fault."""
+    filled = {}
+    for name, sql in FILLED.items():
+        source = sql[sql.rindex("{") + 1 : sql.rindex("}")]
+        filled[name] = spark.sql(sql, **{source: table(spark, sf_dir, source)})
+    return constraints.broken_constraints(filled)
+
+
+def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the catalog's tables in a database where they were made, with how many columns of the given tables have the type."""
+    name = f"catalog_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    try:
+        lacking = len(schemas.missing_tables(spark, name))
+        schemas.create_all(spark, name)
+        made = [(t, f.name, f.dataType.simpleString()) for t in sorted(x.name for x in spark.catalog.listTables(name)) for f in spark.table(f"{name}.{t}").schema.fields]
+        schemas.create_all(spark, name, up=False)
+        gone = len(schemas.missing_tables(spark, name))
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+    given = [f.dataType.simpleString() for t in ("orders", "part", "events") for f in table(spark, sf_dir, t).schema.fields]
+    rows = [(t, c, k, given.count(k), lacking, gone) for t, c, k in made]
+    return spark.createDataFrame(rows, "table_name string, column_name string, type string, alike long, lacking long, gone long")
+
+
+def kept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose file is there, by a listing of names and lengths alone; rows of lost files go, and a row without a path has none."""
+    names = F.array(*[F.lit(f"{n}.parquet") for n in STORED])
+    rows_ = table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % (len(STORED) + 1)).cast("int")).alias("stored_path"))
+    there = files.listing(spark, f"{sf_dir}/*").select(F.regexp_extract("path", r"/([^/]+[.]parquet)(/|$)", 1).alias("name")).distinct()
+    return files.without_lost(rows_, there)
+
+
+def prompt_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each of a plan's steps stands, by which of its two files are there."""
+    plan = spark.sql("SELECT p_partkey AS id, concat(CASE p_partkey % 4 WHEN 0 THEN 'orders' WHEN 1 THEN 'gone' ELSE 'part' END, '.parquet') AS report, concat(CASE p_partkey % 3 WHEN 0 THEN 'region' WHEN 1 THEN 'lost' ELSE 'nation' END, '.parquet') AS gate FROM {part}", part=table(spark, sf_dir, "part"))
+    there = files.listing(spark, f"{sf_dir}/*").select(F.regexp_extract("path", r"/([^/]+[.]parquet)(/|$)", 1).alias("name")).distinct()
+    return catalog.evidence(plan, there).select("id", "report_exists", "gate_exists", "status", "notes")
+
+
 def catalog_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each check fails, over tables with checks of our own."""
     checks = {"discounted_too_far": "l_discount <= 0.08", "too_many": "l_quantity <= 48", "ships_late": "l_shipdate < TIMESTAMP '1998-11-01'", "tax_not_negative": "l_tax >= 0"}
@@ -157,7 +222,7 @@ def stored_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     media_library, scene_tags, recent_jobs, point_lookup, open_jobs, wave_rollup, plan_totals, empty_report, artifacts_complete, artifact_lookup,
-    analysis_missing, analysis_done, restricted_delete, cascaded_delete, first_per_key, next_position, catalog_violations, upsert_artifacts,
+    analysis_missing, analysis_done, restricted_delete, cascaded_delete, first_per_key, next_position, constraint_violations, catalog_columns, kept_files, prompt_evidence, catalog_violations, upsert_artifacts,
     idempotent_append, claimed_jobs, table_difference, stored_bytes,
 )}
 
@@ -165,7 +230,35 @@ _ROLL = """count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS passed, c
     count(*) FILTER (o_orderstatus = 'O') AS pending, CASE WHEN count(*) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) ELSE 0.0::DOUBLE END AS completion"""
 _CURRENT = "(l_returnflag = 'A' AND l_linenumber = 1 OR l_returnflag = 'N' AND l_linenumber = 1 OR l_returnflag = 'R' AND l_linenumber = 2)"
 
+def _rules() -> str:
+    """A select for each constraint of the catalog over the filled tables."""
+    found = []
+    for name, spec in schemas.CATALOG.items():
+        found += [f"SELECT '{name}' AS table_name, 'not_null' AS kind, '{f.name}' AS rule, count(*) AS rows FROM {name}_ WHERE {f.name} IS NULL" for f in spec.schema.fields if not f.nullable]
+        found += [f"SELECT '{name}', 'check', '{rule}', count(*) FROM {name}_ WHERE NOT ({condition})" for rule, condition in spec.checks.items()]
+        for columns, where in constraints.uniques(spec):
+            names, there = ", ".join(columns), " AND ".join(f"{c} IS NOT NULL" for c in columns)
+            found.append(f"SELECT '{name}', 'unique', '{names}', count(*) - count(DISTINCT ({names})) FROM {name}_ WHERE {there} AND {where or 'true'}")
+        found += [f"SELECT '{name}', 'reference', '{c} -> {p}.{k}', count(*) FROM {name}_ WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {p}_ WHERE {k} IS NOT NULL)" for c, (p, k, _) in spec.references.items()]
+    return " UNION ALL ".join(found)
+
+
+_FILLED = ", ".join(f"{name}_ AS ({sql.format(**{t: t for t in ('customer', 'orders', 'lineitem', 'events', 'labels', 'part')})})" for name, sql in FILLED.items())
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
+
 ORACLE_SQL = {
+    "constraint_violations": f"WITH {_FILLED} {_rules()}",
+    "catalog_columns": f"""
+        WITH made AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{c}', '{k}')" for t, c, k, _ in constraints.catalog_columns())}) AS v(table_name, column_name, type)),
+        given AS (SELECT CASE data_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items())} END AS type, count(*) AS n FROM duckdb_columns() WHERE table_name IN ('orders', 'part', 'events') GROUP BY 1)
+        SELECT made.*, coalesce(n, 0) AS alike, {len(schemas.CATALOG)}::BIGINT AS lacking, {len(schemas.CATALOG)}::BIGINT AS gone FROM made LEFT JOIN given USING (type)""",
+    "kept_files": """SELECT p_partkey, stored_path FROM (SELECT p_partkey, (['orders.parquet', 'part.parquet', 'lost.parquet', 'region.parquet', 'gone.parquet', 'events.parquet'])[p_partkey % 7 + 1] AS stored_path FROM part)
+        WHERE replace(stored_path, '.parquet', '') IN (SELECT table_name FROM information_schema.tables)""",
+    "prompt_evidence": """
+        WITH p AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'orders' WHEN 1 THEN 'gone' ELSE 'part' END AS report, CASE p_partkey % 3 WHEN 0 THEN 'region' WHEN 1 THEN 'lost' ELSE 'nation' END AS gate FROM part),
+        e AS (SELECT id, report IN (SELECT table_name FROM information_schema.tables) AS report_exists, gate IN (SELECT table_name FROM information_schema.tables) AS gate_exists FROM p)
+        SELECT *, CASE WHEN report_exists AND gate_exists THEN 'PASSED' WHEN report_exists OR gate_exists THEN 'IN_PROGRESS' ELSE 'PENDING' END AS status,
+               CASE WHEN report_exists AND gate_exists THEN 'Report present and gate script verified' WHEN report_exists OR gate_exists THEN 'Report or gate script in progress' ELSE 'Pending execution' END AS notes FROM e""",
     "media_library": f"""
         SELECT o_custkey AS project_id, c_name AS project, o_orderkey AS sha256, o_orderpriority AS display_name, o_orderdate AS added_at, o_totalprice AS size,
                o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A' AND {_CURRENT}) AS "has_A",

@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Table:
-    """checks: SQL conditions a row must not fail (null passes); references: column -> (table, column, on delete)."""
+    """checks: SQL conditions a row must not fail (null passes); references: column -> (table, column, on delete); unique_where:
+    columns that are unique among the rows a condition holds for."""
 
     schema: T.StructType
     key: tuple[str, ...]
     unique: tuple[str, ...] = ()
+    unique_where: tuple[tuple[str, ...], str] | None = None
     checks: dict[str, str] = field(default_factory=dict)
     references: dict[str, tuple[str, str, str]] = field(default_factory=dict)
 
@@ -28,6 +30,7 @@ def _schema(text: str) -> T.StructType:
     return T.StructType([T.StructField(c[0], TYPES[c[1]], nullable=len(c) == 2) for c in columns])
 
 
+# Tables, columns, keys, checks and references of the catalog.
 CATALOG = {
     "projects": Table(_schema("id string NOT NULL, name string NOT NULL, created_at timestamp, updated_at timestamp"), ("id",)),
     "media_blobs": Table(
@@ -78,6 +81,7 @@ CATALOG = {
             "declared_sha256 string, part_path string, status string NOT NULL, created_at timestamp, updated_at timestamp"
         ),
         ("id",),
+        unique_where=(("project_id", "declared_sha256"), "status = 'in_progress'"),
         checks={"declared_not_negative": "declared_size_bytes >= 0", "received_not_negative": "bytes_received >= 0", "chunk_positive": "chunk_size_bytes > 0", "known_status": "status IN ('in_progress', 'completed', 'aborted')"},
         references={"project_id": ("projects", "id", "cascade")},
     ),
@@ -88,6 +92,7 @@ CATALOG = {
         ),
         ("id",),
         checks={"progress_in_range": "progress BETWEEN 0 AND 1", "known_status": "status IN ('queued', 'running', 'succeeded', 'failed', 'cancelled')"},
+        references={"project_id": ("projects", "id", "cascade"), "sha256": ("media_blobs", "sha256", "cascade")},
     ),
 }
 
