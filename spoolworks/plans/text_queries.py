@@ -3,6 +3,8 @@ marked-up files, conversations for lists with wrapped lines, events for requests
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from spoolworks.functions import text
 from spoolworks.operators import plan as plans
 from spoolworks.operators import rows, scan, sequences, tagging
 from spoolworks.sources import files
-from spoolworks.sources.tables import table
-from spoolworks.streaming import jobs, uploads
+from spoolworks.sources.tables import shared_dir, table
+from spoolworks.streaming import jobs, sinks, uploads
 
 # Inputs by rule over whole tables, as SQL that Spark and DuckDB both read.
 PLAN = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN lpad('' || (o_orderkey % 40), 2, '0') || '–' || lpad('' || (o_orderkey % 40 + o_custkey % 7), 2, '0') WHEN 1 THEN '' || (o_orderkey % 9)
@@ -174,6 +176,15 @@ def upload_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uploads.run_batch(_upload_actions(spark, sf_dir))
 
 
+def streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest event of each user, from a stream of all events into a sink that may be replayed."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    changes = sinks.once(events.withColumn("at", F.col("ts").cast("timestamp")), ["event_id"], "at", "400 days").select("user_id", "event_id", "event_type", "value")
+    place = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    sinks.write_changes(changes, f"{place}/table", f"{place}/marks").awaitTermination()
+    return sinks.current(spark, f"{place}/table", ["user_id"], ["event_id"])
+
+
 def adopted_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     digest = F.when(F.col("o_orderkey") % 6 != 0, F.concat(F.lit("d"), (F.col("o_orderkey") % 5).cast("string")))
@@ -189,7 +200,7 @@ def resume_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     title_matches, leak_verdict, leak_windows, text_windows, page_sections, folded_turns, plan_cells, plan_prompts, stored_files, clip_neighbours, plan_lookup, model_replies, prompt_metrics, token_bucket,
-    cached_tagging, cache_additions, job_state_machine, job_recovery, upload_fold, adopted_uploads, resume_offsets,
+    cached_tagging, cache_additions, job_state_machine, job_recovery, upload_fold, streamed_states, adopted_uploads, resume_offsets,
 )}
 
 _FLAT = "replace(lower(regexp_replace({0}, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')), 'ß', 'ss')"
@@ -289,6 +300,7 @@ ORACLE_SQL = {
         WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AND doc_id % 3 <> 0 AND length(text) <= 5000""",
     "job_recovery": """SELECT o_orderkey AS id, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'queued' ELSE 'succeeded' END AS status, CASE WHEN o_orderstatus IN ('O', 'P') THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS progress,
         CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN 'step' END AS step, CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN o_orderdate END AS started_at FROM orders""",
+    "streamed_states": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "adopted_uploads": """
         WITH e AS (SELECT o_custkey % 50 AS p, CASE WHEN o_orderkey % 6 <> 0 THEN 'd' || o_orderkey % 5 END AS h, o_orderkey AS k, o_orderdate AS t, o_orderstatus AS s FROM orders),
         o AS (SELECT p, h, k FROM e WHERE k % 2 = 0 AND s = 'O' AND h IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p, h ORDER BY t, k) = 1),
