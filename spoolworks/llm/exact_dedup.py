@@ -40,7 +40,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if shared.isEmpty():
         # A class of very many copies is known by its size, and its rows are dealt over many tasks.
         hot = hot_keys(classes.select("hash", F.col("group_size").alias("rows")), ["hash"])
-        return spread_join(hashed.select("doc_id", "hash"), classes, hot, ["hash"], ["doc_id"]).select(*found)
+        # By the row's place, as copies may share an id or have none; where a row goes decides nothing in the result.
+        placed = hashed.select("doc_id", "hash", F.monotonically_increasing_id().alias("__place"))
+        return spread_join(placed, classes, hot, ["hash"], ["__place"]).select(*found)
     # A collision of MD5: these hashes are told apart by the SHA-256 of the texts, of which classes has one each.
     sided = hashed.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)).drop("norm")
     return sided.join(classes, ["hash", "text_sha256"]).select(*found)

@@ -15,6 +15,8 @@ from spoolworks.sources.tables import written
 
 FANOUT = 16
 RECORDS_PER_FILE = 256
+#: Equal records that one task writes out at most.
+PIECE = 1 << 16
 # The first byte of what is hashed tells records from ranges.
 LEAF, RANGE = "00", "01"
 
@@ -52,15 +54,28 @@ def bucket_digits(rows: int, rows_of_a_bucket: int = 1 << 22) -> int:
 def manifest(records: DataFrame, per_file: int = RECORDS_PER_FILE, digits: int = 2) -> DataFrame:
     """`records` placed into files: file, record (0, 1, ... in the file), offset and length besides what they have.
 
-    A file holds `per_file` records at most, in the order of page_id, of one bucket: the first `digits` hex digits of the
-    MD5 of the id (zeros for a null id). Hashes and lengths stand for the records here, so numbering moves no bodies.
+    A file holds `per_file` records at most, in the order of page_id (null first), url and digest, of one bucket: the first `digits`
+    hex digits of the MD5 of the id (zeros for a null id). Hashes and lengths stand for the records here, so numbering moves no
+    bodies. Equal records are counted and then numbered one after another. The others are put in order by ranges: a task
+    numbers the records of its range, after those of the ranges before, so an id that very many records share, or none, is
+    many tasks' work.
     """
     bucket = F.coalesce(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, digits), F.lit("0" * digits))
-    inside = Window.partitionBy("bucket").orderBy("page_id", "url", "digest")
-    numbered = records.withColumn("bucket", bucket).withColumn("n", F.row_number().over(inside) - 1)
-    filed = numbered.withColumn("file", F.concat_ws("-", "bucket", F.floor(F.col("n") / per_file).cast("string"))).withColumn("record", (F.col("n") % per_file).cast("long"))
+    order = ["__bucket", "page_id", "url", "digest", *[c for c in records.columns if c not in ("page_id", "url", "digest")]]
+    equal = written(records.withColumn("__bucket", bucket).groupBy(*order).agg(F.count("*").alias("__rows")), "records")
+    ranged = written(equal.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "record-ranges")
+    earlier = Window.partitionBy("__bucket").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("__bucket", "__range").agg(F.sum("__rows").alias("__n")).select("__bucket", "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__bucket", "__range").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("__first", F.coalesce(F.sum("__rows").over(inside), F.lit(0))).join(starts, ["__bucket", "__range"])
+    pieces = placed.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("__rows") - 1) / PIECE))))
+    if (equal.agg(F.max("__rows")).first()[0] or 0) > PIECE:
+        pieces = pieces.repartition("__bucket", "digest", "__piece")
+    ends = F.least(F.col("__rows"), (F.col("__piece") + 1) * PIECE) - 1
+    numbered = pieces.withColumn("__n", F.explode(F.sequence(F.col("__piece") * PIECE, ends))).withColumn("__n", F.col("__start") + F.col("__first") + F.col("__n"))
+    filed = numbered.select(*records.columns, F.concat_ws("-", "__bucket", F.floor(F.col("__n") / per_file).cast("string")).alias("file"), (F.col("__n") % per_file).cast("long").alias("record"))
     before = Window.partitionBy("file").orderBy("record").rowsBetween(Window.unboundedPreceding, -1)
-    return filed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("bucket", "n")
+    return filed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
 def tree(placed: DataFrame, fanout: int = FANOUT, per_file: int = RECORDS_PER_FILE) -> DataFrame:
