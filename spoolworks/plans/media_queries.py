@@ -131,7 +131,7 @@ def scaled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.when(F.col("vec_id") % 9 != 4, F.col("embedding")).alias("embedding"))
-    return frames.flow_motion(clips, "label", "vec_id", "embedding", 8, 8)
+    return frames.flow_motion(clips, "label", "vec_id", "embedding", 8, 8).select("label", F.round("motion", 6).alias("motion"))
 
 
 def indexed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
