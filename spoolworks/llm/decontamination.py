@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spoolworks.llm.skew import hot_keys, spread_join
 from spoolworks.llm.words import WIDTH, shingle_hashes, slices, words
 from spoolworks.sources.tables import written
 
@@ -141,7 +142,8 @@ def _filter_of(sketched: DataFrame, bits: int) -> np.ndarray:
 
 def _by_join(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """The same for a benchmark of any size: sketch values and shingles meet in shuffled joins. Of a document only the
-    shingles that a bit filter over the sketch values lets through are shuffled."""
+    shingles that a bit filter over the sketch values lets through are shuffled, once for all equal rows. The documents of a
+    value that very many hold are dealt over tasks, with the items of that value repeated for each."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -179,8 +181,9 @@ def _by_join(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     items = items.withColumn("row", F.xxhash64("item_id", "text"))
     sketched = written(items.select("row", "text").mapInArrow(sketch, "item long, value long, least long"), "item-sketches")
     passing = docs.sparkSession.sparkContext.broadcast(_filter_of(sketched, JOIN_FILTER_BITS))
-    spread_out = docs.select("row", "text").mapInArrow(spread, "doc long, value long, n long")
-    pairs = spread_out.join(sketched, "value").where("n >= least").select("doc", "item").distinct()
+    held = written(docs.select("row", "text").mapInArrow(spread, "doc long, value long, n long").distinct(), "held-values")
+    hot = hot_keys(held.join(sketched.select("value"), "value", "left_semi").groupBy("value").agg(F.count("*").alias("rows")), ["value"])
+    pairs = spread_join(held, sketched.distinct(), hot, ["value"], ["doc"]).where("n >= least").select("doc", "item").distinct()
     texts = docs.select(F.col("row").alias("doc"), "doc_id", "text")
     wanted = items.select(F.col("row").alias("item"), "item_id", F.col("text").alias("wanted"))
     both = pairs.join(texts, "doc").join(wanted, "item")

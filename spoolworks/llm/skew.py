@@ -20,8 +20,8 @@ def hot_keys(counted: DataFrame, keys: list[str]) -> DataFrame | None:
 
 
 def spread_join(rows: DataFrame, table: DataFrame, hot: DataFrame | None, keys: list[str], by: list[str]) -> DataFrame:
-    """`rows` joined with `table`, which has one row for each of `keys`, so that no hot key is one task's: its rows are dealt
-    over as many parts as they fill, by the hash of `by`, and its row of `table` is repeated for each."""
+    """`rows` joined with `table`, which has few rows for each of `keys`, so that no hot key is one task's: its rows are dealt
+    over as many parts as they fill, by the hash of `by`, and its rows of `table` are repeated for each."""
     if hot is None:
         return rows.join(table, keys)
     salts = F.coalesce("__salts", F.lit(1))

@@ -232,6 +232,24 @@ def test_decontamination_is_the_same_on_both_paths(spark, odd):
     assert collections.Counter((r.doc_id, r.item_id) for r in found) == want
 
 
+def test_decontamination_with_a_shingle_that_all_hold(spark, monkeypatch):
+    """A passage in every document and many items: its values are hot, dealt over tasks, and the rows are those of the other path."""
+    common = " ".join(f"c{i}" for i in range(30))
+    docs = [(i, f"{common} " + " ".join(f"d{i}x{k}" for k in range(i % 40))) for i in range(120)] + [(500, f"{common} {common}")] * 60 + [(600 + i, f"own words of {i} alone here and there") for i in range(40)]
+    items = [(i, common if i % 2 else f"{common} i{i} i{i}") for i in range(20)] + [(99, "own words of 7 alone here and there")]
+    docs, benchmark = spark.createDataFrame(rows(*docs), SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    dealt = []
+    spread = decontamination.spread_join
+    monkeypatch.setattr(decontamination, "spread_join", lambda held, table, hot, keys, by: dealt.append((held, hot)) or spread(held, table, hot, keys, by))
+    ways = [sorted(map(tuple, decontamination.contaminated(docs, benchmark, broadcast_bytes=limit).collect())) for limit in (decontamination.BROADCAST_BYTES, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 180 * 20 + 1
+    [(held, hot)] = dealt
+    salts = {r.value: r["__salts"] for r in hot.collect()}
+    most = max(r["count"] for r in held.groupBy("value").count().collect())
+    assert salts and min(salts.values()) >= 2 and held.where("doc IS NOT NULL").groupBy("doc", "value").count().where("count > 1").isEmpty()
+    assert most == 121  # the 60 equal rows count once
+
+
 def segmentations(text, number, unknown):
     if not text:
         yield []
