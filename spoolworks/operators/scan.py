@@ -16,8 +16,12 @@ from spoolworks.sources.tables import written
 AUTOMATON_BYTES = 4 << 20
 WINDOW, OVERLAP = 1_000_000, 4_096
 GRAM = 8
-#: Bits of the filter over the titles' first grams that the join sends ahead: 2 MB, whatever their number.
+#: Bits of the filter over the titles' grams that the join sends ahead: 2 MB, whatever their number.
 FILTER_BITS = 24
+#: Counts of the sketch that tells rare grams from frequent ones: 8 MB, whatever the number of grams and documents.
+COUNTERS = 1 << 20
+#: Documents that one part of an anchor takes.
+PART_ROWS = 200_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,6 +36,12 @@ def gram_hashes(text: str) -> np.ndarray:
     return ((total ^ (total >> np.uint64(32))) * FACTOR).view(np.int64)
 
 
+def _passing(packed: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Which of `grams` a packed bitmap lets through."""
+    place = grams & ((1 << FILTER_BITS) - 1)
+    return (packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _filter(grams: DataFrame) -> np.ndarray:
     """A packed bitmap over the last FILTER_BITS bits of `grams` (gram); tasks fill blocks of 2**15 bits."""
 
@@ -48,31 +58,80 @@ def _filter(grams: DataFrame) -> np.ndarray:
     return packed
 
 
-def _titles_by_join(flat_docs: DataFrame, flat_titles: DataFrame) -> DataFrame:
-    """A document holds the first gram of each title in it. Of a document only the grams that a bit filter lets through are
-    shuffled, without its text, which is fetched once for each candidate and searched."""
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, gram): the distinct grams of each row's text."""
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = np.unique(gram_hashes(text or ""))
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found)], ["key", "gram"])
+
+
+def gram_counts(flat_docs: DataFrame, grams: DataFrame) -> np.ndarray:
+    """In how many of `flat_docs` (flat) each of `grams` (gram) is, as a sketch: COUNTERS counts, that of a gram at its last bits,
+    never too small. A task adds up its own and sends them once, so neither the driver nor the shuffle grows with the texts."""
+    passing = flat_docs.sparkSession.sparkContext.broadcast(_filter(grams))
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, counts = passing.value, np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            grams = [int(gram_hashes(t[:GRAM])[0]) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.int64())], ["key", "gram"])
+            for text in batch.column(0).to_pylist():
+                found = np.unique(gram_hashes(text or ""))
+                counts[np.unique(found[_passing(packed, found)] & (COUNTERS - 1))] += 1
+        held = np.flatnonzero(counts)
+        for first in range(0, len(held), 1 << 16):
+            at = held[first : first + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["place", "n"])
+
+    summed = flat_docs.select("flat").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[summed.column("place").to_numpy()] = summed.column("n").to_numpy()
+    return counts
+
+
+def anchors(titles: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(key, gram): of each of `titles` (key, title) the gram that the fewest documents hold, by `counts`; the smaller one of equals."""
+    shared = titles.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = []
+            for title in batch.column(1).to_pylist():
+                found = np.unique(gram_hashes(title))
+                chosen.append(int(found[np.argmin(shared.value[found & (COUNTERS - 1)])]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.int64())], ["key", "gram"])
+
+    return titles.select("key", "title").mapInArrow(rarest, "key long, gram long")
+
+
+def _titles_by_join(flat_docs: DataFrame, flat_titles: DataFrame, part: int = PART_ROWS) -> DataFrame:
+    """A document that contains a title holds its anchor, the gram of it that the fewest documents hold, so titles that begin alike
+    don't meet under one key. Of a document only anchors are shuffled, without its text, which is fetched once for each candidate
+    and searched. Documents of an anchor that more than `part` hold are dealt over parts; equal titles are one."""
+    titles = written(flat_titles.select("title").distinct().withColumn("key", F.monotonically_increasing_id()), "titles")
+    counts = gram_counts(flat_docs, titles.select("key", "title").mapInArrow(_grams_of, "key long, gram long"))
+    chosen = written(anchors(titles, counts), "title-anchors")
+    context = flat_docs.sparkSession.sparkContext
+    passing, salts = context.broadcast(_filter(chosen)), context.broadcast(-(-counts // part))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = passing.value
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = np.unique(gram_hashes(text or ""))
-                place = found & ((1 << FILTER_BITS) - 1)
-                near = found[(packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(near), pa.int64()), pa.array(near)], ["row", "gram"])
+                near = found[_passing(passing.value, found)]
+                salt = row % np.maximum(1, salts.value[near & (COUNTERS - 1)])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(near), pa.int64()), pa.array(near), pa.array(salt, pa.int64())], ["row", "gram", "salt"])
+
+    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, gram in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = max(1, int(salts.value[gram & (COUNTERS - 1)]))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([gram] * n, pa.int64()), pa.array(np.arange(n))], ["key", "gram", "salt"])
 
-    titles = written(flat_titles.withColumn("key", F.monotonically_increasing_id()), "titles")
-    grams = written(titles.select("key", "title").mapInArrow(first, "key long, gram long"), "title-grams")
-    passing = flat_docs.sparkSession.sparkContext.broadcast(_filter(grams))
     rows = flat_docs.withColumn("row", F.xxhash64("doc_id", "flat"))
-    pairs = rows.select("row", "flat").mapInArrow(spread, "row long, gram long").join(grams, "gram").select("row", "key").distinct()
-    both = rows.join(pairs, "row").join(titles, "key")
-    return both.where(F.contains("flat", F.col("title"))).select("doc_id", "title_id")
+    held = rows.select("row", "flat").mapInArrow(spread, "row long, gram long, salt long")
+    pairs = held.join(chosen.mapInArrow(repeat, "key long, gram long, salt long"), ["gram", "salt"]).select("row", "key").distinct()
+    both = rows.join(pairs, "row").join(titles, "key").where(F.contains("flat", F.col("title")))
+    return both.select("doc_id", "title").join(flat_titles, "title").select("doc_id", "title_id")
 
 
 def title_matches(docs: DataFrame, titles: DataFrame, least: int = GRAM, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -80,7 +139,7 @@ def title_matches(docs: DataFrame, titles: DataFrame, least: int = GRAM, automat
 
     docs (doc_id, text), titles (title_id, text). A row for each row of `docs` and row of `titles` that is in it: repeated rows
     give repeated results, on both ways. One pass of an automaton over each document finds all titles at once; titles too
-    large for one executor are joined on a gram. Titles shorter than `least` (GRAM at least) are left out.
+    large for one executor are joined on the gram of theirs that the fewest documents hold. Titles shorter than `least` (GRAM at least) are left out.
     """
     flat_docs = docs.select("doc_id", folded(F.col("text")).alias("flat"))
     flat_titles = titles.select("title_id", folded(stripped(F.col("text"))).alias("title")).where(F.length("title") >= max(least, GRAM))

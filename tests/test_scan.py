@@ -94,3 +94,26 @@ def test_titles_match_whatever_their_case(spark):
     titles = spark.createDataFrame([(10, " straße der Fische "), (11, "Ὀδυσσεύς und")], "title_id long, text string")
     for size in (1 << 20, 0):
         assert sorted(map(tuple, scan.title_matches(docs, titles, automaton_bytes=size).collect())) == [(1, 10), (2, 11)]
+
+
+def test_titles_that_begin_alike_are_joined_on_their_rarest_gram(spark):
+    """Titles with one beginning that every document has: each is anchored where documents differ, and no key is hot."""
+    docs = [(i, f"chapter of the book, part {i * 7919:08d} and more") for i in range(200)] + [(900, "Chapter of the  book, part 00000000 and more")] * 3 + [(None, None), (901, "")]
+    titles = [(i, f"chapter of the book, part {i * 7919:08d}") for i in range(0, 260, 2)] + [(777, "CHAPTER OF THE BOOK"), (778, "chapter of the book"), (None, "of the book, "), (779, "short")]
+    docs, titles = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(titles, "title_id long, text string")
+    ways = [sorted(map(str, scan.title_matches(docs, titles, automaton_bytes=n).collect())) for n in (scan.AUTOMATON_BYTES, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 100 + 3 + 203 * 3
+    flat = docs.select("doc_id", text.folded(F.col("text")).alias("flat"))
+    keyed = titles.where("length(text) > 30").select(F.col("title_id").alias("key"), F.col("text").alias("title"))
+    grams = keyed.mapInArrow(scan._grams_of, "key long, gram long")
+    counts = scan.gram_counts(flat, grams)
+    chosen = [r.gram for r in scan.anchors(keyed, counts).collect()]
+    assert len(chosen) == 130 and max(counts[g & (scan.COUNTERS - 1)] for g in chosen) < 30 and counts.max() >= 203
+
+
+def test_hot_anchors_are_dealt_over_parts(spark):
+    docs = spark.createDataFrame([(i, "the same words in all of them") for i in range(50)], "doc_id long, flat string")
+    titles = spark.createDataFrame([(1, "same words"), (1, "same words"), (2, "in all of them")], "title_id long, title string")
+    found = scan._titles_by_join(docs, titles, part=7).collect()
+    assert sorted((r.doc_id, r.title_id) for r in found) == sorted((i, t) for i in range(50) for t in (1, 1, 2))
+    assert scan._titles_by_join(docs.where("false"), titles).isEmpty() and scan._titles_by_join(docs, titles.where("false")).isEmpty()
