@@ -13,6 +13,7 @@ from spoolworks.sources.tables import table
 
 STATUS = "CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'running' ELSE event_type END"
 STEP = "CASE WHEN event_id % 3 = 0 THEN concat('sending scene ', event_id % 7, ' of 7 to Gemini for analysis') WHEN event_id % 3 = 1 THEN 'sending scene 1 of 7' END"
+FAULT = "CASE event_type WHEN 'error' THEN 'tool_unavailable' WHEN 'view' THEN 'not_video' WHEN 'click' THEN 'unreadable' END"
 
 
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +57,7 @@ def player_seeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finalized_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fault = F.when(F.col("event_type") == "error", "tool_unavailable").when(F.col("event_type") == "view", "not_video").when(F.col("event_type") == "click", "unreadable")
-    ended = requests.finalize_outcome(fault)
+    ended = requests.finalize_outcome(F.expr(FAULT))
     return table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"), ended["code"].alias("code"), ended["status"].alias("status")).groupBy("day", "code", "status").agg(F.count("*").alias("n"))
 
 
@@ -93,10 +93,10 @@ ORACLE_SQL = {
     "player_seeks": """
         SELECT DISTINCT l_linenumber, l_quantity, 1.0::DOUBLE / CASE WHEN l_linenumber % 3 = 0 AND l_quantity > 0 THEN l_quantity ELSE 30 END AS frame,
                least(greatest(0.0::DOUBLE, l_quantity + l_linenumber * 10 - 30), CASE WHEN l_linenumber = 2 THEN 0 ELSE 40 END) AS at FROM lineitem""",
-    "finalized_uploads": """
-        SELECT ts::DATE::VARCHAR AS day, CASE event_type WHEN 'error' THEN 503 WHEN 'view' THEN 415 WHEN 'click' THEN 415 ELSE 200 END AS code,
-               CASE event_type WHEN 'error' THEN 'in_progress' WHEN 'view' THEN 'aborted' WHEN 'click' THEN 'aborted' ELSE 'complete' END AS status, count(*) AS n
-        FROM events GROUP BY ALL""",
+    "finalized_uploads": f"""
+        WITH f AS (SELECT ts::DATE::VARCHAR AS day, {FAULT} AS fault FROM events)
+        SELECT day, CASE WHEN fault IS NULL THEN 200 WHEN fault = 'tool_unavailable' THEN 503 ELSE 415 END AS code,
+               CASE WHEN fault IS NULL THEN 'complete' WHEN fault = 'tool_unavailable' THEN 'in_progress' ELSE 'aborted' END AS status, count(*) AS n FROM f GROUP BY ALL""",
     "shown_labels": """
         SELECT doc_id, concat_ws(',', 'lang=' || lang, CASE WHEN doc_id % 2 = 0 THEN 'source=' || source END) AS tags,
                'waves' || coalesce('.' || lang, '') || ', totals' AS fields FROM documents""",

@@ -124,6 +124,10 @@ _SENT = f"""
                 LEFT JOIN r ON r.scene_id = n.scene_id AND r.request = n.request)))),
     sent AS (SELECT * FROM g WHERE i > 0)"""
 
+def _quoted(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
 ORACLE_SQL = {
     "sent_requests": f"""{_SENT}
         SELECT key, scene_id, request, attempt, again, round(at_s, 6) AS "at", granted, status, verdict, round(waited, 6) AS waited, round(tokens, 6) AS tokens, day_count FROM sent""",
@@ -131,7 +135,8 @@ ORACLE_SQL = {
         SELECT key, scene_id, CASE WHEN max(verdict) IN ('reply', 'unusable') THEN 'api' ELSE 'degraded' END AS source, max(verdict) IN ('reply', 'unusable') AS cached, max(attempt) + 1 AS tries,
                count(*) FILTER (granted) AS tokens, round(max(waited), 6) AS waited, max(verdict) AS verdict FROM sent GROUP BY key, scene_id""",
     "failure_causes": f"""
-        SELECT CASE WHEN event_id % 6 IN (0, 3) THEN event_type WHEN event_id % 6 IN (1, 4) THEN '{requests.STORE_CAUSE}' ELSE '{requests.UNKNOWN_CAUSE}' END AS cause, count(*) AS n FROM events GROUP BY cause""",
+        WITH k AS (SELECT event_type, ['job_failed', 'os_error', 'key_error', 'probe', 'disk_full'][event_id % 6 + 1] AS kind FROM events)
+        SELECT CASE WHEN kind IN ({_quoted(requests.NAMED_FAULTS)}) THEN event_type WHEN kind IN ({_quoted(requests.STORE_FAULTS)}) THEN '{requests.STORE_CAUSE}' ELSE '{requests.UNKNOWN_CAUSE}' END AS cause, count(*) AS n FROM k GROUP BY cause""",
     "guide_titles": rf"""
         WITH t AS (SELECT doc_id, {PLAN_TEXT} AS plan FROM documents),
         f AS (SELECT doc_id, unnest(regexp_extract_all(plan, '(?:PROMPT|Prompt)\s*\d{{1,2}}\s*[—–:\-]\s*([^\n|]{{4,80}})', 1) || regexp_extract_all(plan, '(?:WAVE|Wave)\s*\d\s*[—–:\-]\s*([^\n|]{{3,60}})', 1)) AS raw FROM t)
@@ -153,5 +158,12 @@ ORACLE_SQL = {
         l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1)
         SELECT c_custkey AS job_id, CASE c_custkey % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'cancelled' END AS status, CASE WHEN c_custkey % 3 = 0 THEN 1.0::DOUBLE ELSE coalesce(progress, 0.0::DOUBLE) END AS progress,
                step, CASE WHEN c_custkey % 3 = 1 THEN c_name END AS error, c_acctbal AS finished_at FROM customer LEFT JOIN l ON job_id = c_custkey""",
-    "stripped_images": f"SELECT p_partkey, {IMAGE.format(exif=chr(39) * 2).replace('STRING', 'VARCHAR')} AS image FROM part",
+    "stripped_images": f"""
+        WITH RECURSIVE i AS (SELECT p_partkey, {IMAGE.format(exif=EXIF).replace('STRING', 'VARCHAR')} AS h FROM part),
+        w AS (SELECT p_partkey, h[1:4] AS kept, h[5:] AS rest FROM i WHERE h[1:4] = 'FFD8'
+              UNION ALL
+              SELECT p_partkey, CASE WHEN rest[1:4] = 'FFE1' AND rest[9:size] LIKE '457869660000%' THEN kept ELSE kept || rest[1:size] END, rest[size + 1:]
+              FROM (SELECT *, CASE WHEN rest[3:4] BETWEEN 'D0' AND 'D9' THEN 4 ELSE 4 + 2 * ('0x' || rest[5:8])::INT END AS size FROM w WHERE rest[1:2] = 'FF' AND rest[3:4] <> 'DA'))
+        SELECT p_partkey, kept || rest AS image FROM w WHERE rest[1:2] <> 'FF' OR rest[3:4] = 'DA'
+        UNION ALL SELECT p_partkey, h FROM i WHERE h[1:4] <> 'FFD8'""",
 }

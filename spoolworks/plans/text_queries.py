@@ -225,6 +225,16 @@ def _windows(size: int, overlap: int, texts: str) -> str:
         windows AS (SELECT doc_id, w, start, substring(t, start + 1, stop - start) AS piece FROM tails)"""
 
 
+def _rows(pattern: str, *names: str) -> str:
+    """The matches of a pattern in `text`, a row each: its groups by name, its place `i`."""
+    found = [f"unnest(regexp_extract_all(text, '{pattern}', {n + 1})) AS {name}" for n, name in enumerate(names)]
+    return ", ".join([*found, f"unnest(range(len(regexp_extract_all(text, '{pattern}', 1)))) AS i"])
+
+
+def _plain(text_: str) -> str:
+    return f"trim(regexp_replace({text_}, '[*`]+', '', 'g'))"
+
+
 ORACLE_SQL = {
     "title_matches": f"SELECT doc_id, item_id AS title_id FROM documents d JOIN benchmark b ON contains({_FLAT.format('d.text')}, {_FLAT.format('trim(b.text)')}) WHERE length(b.text) >= 8",
     "leak_verdict": f"""
@@ -249,10 +259,23 @@ ORACLE_SQL = {
         SELECT o_orderkey, coalesce(array_to_string(list_transform(range(a, coalesce(b, a) + 1), lambda n: lpad(n::VARCHAR, 2, '0')), ','), '') AS ids, contains(lower(review), 'yes') AS required,
                nullif(trim(regexp_replace(review, '[*`]+', '', 'g')), '') AS note, array_to_string(list_filter(list_transform(regexp_split_to_array(tech, '\s*[·|]\s*'), lambda t: trim(t)), lambda t: t <> ''), ',') AS tech,
                trim(regexp_replace(cell, '[*`]+', '', 'g')) AS cell FROM p""",
-    "plan_prompts": """
-        WITH c AS (SELECT *, c_custkey % 60 + 10 AS one, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 9 + 1) || ' weeks' ELSE 'not stated' END AS timeline, (c_custkey % 6)::INT AS wave FROM customer)
-        SELECT c_custkey, one::VARCHAR AS id, c_name AS name, c_custkey % 5 = 0 AS review_required, wave, 'Camp ' || c_name AS wave_title, timeline, 'Spark,' || c_mktsegment AS tech, c_mktsegment || ' goes on ' || c_custkey || ';two' AS deliverables FROM c
-        UNION ALL SELECT c_custkey, (one + 2)::VARCHAR, 'Second', false, CASE WHEN c_custkey % 2 = 0 THEN wave ELSE -1 END, CASE WHEN c_custkey % 2 = 0 THEN 'Camp ' || c_name ELSE 'Unassigned' END, CASE WHEN c_custkey % 2 = 0 THEN timeline ELSE 'not stated' END, 'Arrow', '' FROM c""",
+    "plan_prompts": f"""
+        WITH g AS ({GUIDES.format(customer="customer")}),
+        p AS (SELECT c_custkey, {_rows(plans.PLAN_ROW, "id", "name", "summary", "review", "tech")} FROM g),
+        w AS (SELECT * FROM (SELECT c_custkey, {_rows(plans.WAVE_ROW, "number", "title", "prompts")} FROM g) QUALIFY row_number() OVER (PARTITION BY c_custkey, number ORDER BY i) = 1),
+        t AS (SELECT * FROM (SELECT c_custkey, {_rows(plans.TIMELINE_ROW, "number", "timeline")} FROM g) QUALIFY row_number() OVER (PARTITION BY c_custkey, number ORDER BY i DESC) = 1),
+        r AS (SELECT *, try_cast(nullif(regexp_extract(prompts, '{text.NUMBER_RANGE}', 1), '') AS INT) AS a, try_cast(nullif(regexp_extract(prompts, '{text.NUMBER_RANGE}', 2), '') AS INT) AS b FROM w),
+        m AS (SELECT c_custkey, number, title, lpad(unnest(range(a, coalesce(b, a) + 1))::VARCHAR, 2, '0') AS id FROM r),
+        h AS (SELECT c_custkey, m.id, number::INT AS wave, {_plain("title")} AS wave_title, coalesce({_plain("timeline")}, 'not stated') AS timeline FROM m LEFT JOIN t USING (c_custkey, number) QUALIFY row_number() OVER (PARTITION BY c_custkey, m.id ORDER BY number) = 1),
+        s AS (SELECT c_custkey, unnest(regexp_extract_all(text, '{plans.PROMPT_HEADING}', 1)) AS id, unnest(string_split_regex(text, '{plans.PROMPT_HEADING}')[2:]) AS piece FROM g),
+        l AS (SELECT c_custkey, id, unnest(string_split(block, chr(10))) AS line, unnest(range(len(string_split(block, chr(10))))) AS i
+              FROM (SELECT c_custkey, id, string_split_regex(string_split_regex(piece, '{plans.DELIVERABLES}')[2], '{plans.NEXT_HEADING}')[1] AS block FROM s WHERE regexp_matches(piece, '{plans.DELIVERABLES}'))),
+        n AS (SELECT *, regexp_matches(line, '{plans.LIST_ITEM}') AS opens, count(*) FILTER (regexp_matches(line, '{plans.LIST_ITEM}')) OVER (PARTITION BY c_custkey, id ORDER BY i) AS item FROM l WHERE trim(line) <> ''),
+        f AS (SELECT c_custkey, id, item, string_agg(CASE WHEN opens THEN {_plain(f"regexp_extract(line, '{plans.LIST_ITEM}', 1)")} ELSE trim(line) END, ' ' ORDER BY i) AS deliverable FROM n WHERE item > 0 AND (opens OR NOT starts_with(ltrim(line), '#')) GROUP BY ALL),
+        d AS (SELECT c_custkey, id, string_agg(deliverable, ';' ORDER BY item) AS deliverables FROM f GROUP BY ALL)
+        SELECT c_custkey, id, {_plain("name")} AS name, contains(lower(review), 'yes') AS review_required, coalesce(wave, -1) AS wave, coalesce(wave_title, 'Unassigned') AS wave_title, coalesce(timeline, 'not stated') AS timeline,
+               array_to_string(list_filter(list_transform(regexp_split_to_array({_plain("tech")}, '{text.PARTS}'), lambda x: trim(x)), lambda x: x <> ''), ',') AS tech, coalesce(deliverables, '') AS deliverables
+        FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY c_custkey, id ORDER BY i) = 1) LEFT JOIN h USING (c_custkey, id) LEFT JOIN d USING (c_custkey, id)""",
     "token_bucket": """
         WITH RECURSIVE q AS (SELECT (user_id % 4)::VARCHAR AS key, event_id AS request_id, floor(epoch(ts)) AS at_s, ts::DATE::VARCHAR AS day, row_number() OVER (PARTITION BY user_id % 4 ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
         f AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS request_id, false AS granted, 3.0::DOUBLE AS tokens, NULL::DOUBLE AS last_s, NULL::VARCHAR AS day, 0::BIGINT AS day_count FROM (SELECT DISTINCT key FROM q)
