@@ -34,6 +34,15 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return current.join(latest.select(*key), key, "left_anti").unionByName(latest)
 
 
+def updated(current: DataFrame, changes: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """`current` with `fields` of the rows that `changes` (key, fields, change_seq) names set to what the last change says, null
+    included; other columns and rows stay. Of changes with one `change_seq` the greatest fields count. Keys that are not there and
+    null keys change nothing. A key's changes are cut to one before the shuffle, however many there are."""
+    latest = changes.groupBy(*key).agg(F.max(F.struct("change_seq", *fields)).alias("__new"))
+    joined = current.join(latest, key, "left")
+    return joined.select(*[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in current.columns])
+
+
 def append_new(current: DataFrame, rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     """The rows to append: those whose key is not there, one a key. A second run appends nothing. Null keys are distinct."""
     known = rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))

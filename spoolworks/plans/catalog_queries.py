@@ -200,6 +200,15 @@ def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.agg(F.count("*").alias("added")).withColumn("run", F.lit(1)).unionByName(second.agg(F.count("*").alias("added")).withColumn("run", F.lit(2)))
 
 
+def updated_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as blobs: balance and segment are set by the last of their finished orders, a segment to null by some."""
+    blobs = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    changes = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("change_seq"), F.col("o_totalprice").alias("c_acctbal"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("c_mktsegment"),
+    )
+    return rows.updated(blobs, changes, ["c_custkey"], ["c_acctbal", "c_mktsegment"])
+
+
 def claimed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compare and set: of orders asked for, those still open are taken."""
     jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
@@ -223,7 +232,7 @@ def stored_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     media_library, scene_tags, recent_jobs, point_lookup, open_jobs, wave_rollup, plan_totals, empty_report, artifacts_complete, artifact_lookup,
     analysis_missing, analysis_done, restricted_delete, cascaded_delete, first_per_key, next_position, constraint_violations, catalog_columns, kept_files, prompt_evidence, catalog_violations, upsert_artifacts,
-    idempotent_append, claimed_jobs, table_difference, stored_bytes,
+    idempotent_append, updated_blobs, claimed_jobs, table_difference, stored_bytes,
 )}
 
 _ROLL = """count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS passed, count(*) FILTER (o_orderstatus = 'P') AS in_progress,
@@ -295,6 +304,9 @@ ORACLE_SQL = {
         FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)""",
     "idempotent_append": """SELECT 1 AS run, count(*) AS added FROM (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem WHERE l_orderkey % 2 <> 0)
         UNION ALL SELECT 2, 0""",
+    "updated_blobs": """
+        WITH l AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
+        SELECT c_custkey, c_name, coalesce(o_totalprice, c_acctbal) AS c_acctbal, CASE WHEN o_orderkey IS NULL THEN c_mktsegment WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS c_mktsegment FROM customer LEFT JOIN l ON o_custkey = c_custkey""",
     "claimed_jobs": """SELECT CASE WHEN o_orderkey % 7 = 0 AND o_orderstatus = 'O' THEN 'P' ELSE o_orderstatus END AS status, count(*) AS rows FROM orders GROUP BY 1
         UNION ALL SELECT 'claimed', count(*) FROM orders WHERE o_orderkey % 7 = 0 AND o_orderstatus = 'O'""",
     "table_difference": "SELECT unnest(['X', 'X']) AS kind",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolworks.functions import text, timing
-from spoolworks.sources import files
+from spoolworks.sources import files, settings
 from spoolworks.sources.tables import table
 
 # Inputs as SQL that Spark and DuckDB both read; `|` stands for the NUL of a listing.
@@ -23,6 +23,9 @@ LOUDNESS = """CASE WHEN event_id % 7 = 0 THEN '' ELSE concat('RMS level dB: -',
 STATE = """CASE c_custkey % 6 WHEN 0 THEN concat('{"date": "2024-05-01", "count": ', c_custkey % 40, '}') WHEN 1 THEN '{"date": "2024-04-30", "count": 3}' WHEN 2 THEN 'not json'
     WHEN 3 THEN '{"date": "2024-05-01"}' WHEN 4 THEN concat('{"date": "2024-05-01", "count": -', c_custkey, '}') END"""
 INK, PAPER = ("concat('#', substring(md5({}), 1, 6))".format(c) for c in ("p_name", "p_brand"))
+LINES = """SELECT o_custkey AS scope, o_orderkey % 2 AS rank, o_orderkey AS place, CASE o_orderkey % 13 WHEN 0 THEN concat('ENGINE_PORT=', o_orderkey) WHEN 1 THEN concat(' log_level = "', CASE o_custkey % 3 WHEN 0 THEN 'debug' WHEN 1 THEN 'Info' ELSE o_orderpriority END, '" ')
+    WHEN 2 THEN concat('export Torch_Device=', CASE o_custkey % 4 WHEN 0 THEN 'CUDA' WHEN 1 THEN ' cpu' ELSE 'tpu' END) WHEN 3 THEN concat('# UI_PORT=', o_custkey) WHEN 4 THEN concat('EXTRA_ALLOWED_HOSTS= a, ,', o_orderpriority, ' ,b,') WHEN 5 THEN concat('data_dir=./store/../', o_orderstatus)
+    WHEN 6 THEN concat('DATA_DIR=/abs//', o_orderstatus, '/.') WHEN 7 THEN concat('GEMINI_RPM_LIMIT=', o_custkey % 3 - 1) WHEN 8 THEN 'UNKNOWN=1' WHEN 9 THEN concat('ui_port=', o_orderstatus) WHEN 10 THEN concat('engine_host=', chr(39), '0.0.0.', o_custkey % 9, chr(39)) WHEN 11 THEN 'engine_url' END AS line FROM {orders}"""
 CLIP_SECONDS, TODAY, DAY_LIMIT = 60.0, "2024-05-01", 20
 
 
@@ -70,7 +73,12 @@ def spent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", files.day_count(F.expr(STATE), F.lit(TODAY), DAY_LIMIT).alias("spent"))
 
 
-QUERIES = {f.__name__: f for f in (listed_files, setting_values, served_chunks, tool_versions, progress_lines, loudness_levels, label_contrasts, spent_requests)}
+def effective_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every setting of every customer, whose orders are lines of its environment and of its file."""
+    return settings.effective(spark.sql(LINES, orders=table(spark, sf_dir, "orders")), "/srv/engine")
+
+
+QUERIES = {f.__name__: f for f in (listed_files, setting_values, effective_settings, served_chunks, tool_versions, progress_lines, loudness_levels, label_contrasts, spent_requests)}
 
 
 def _luminance(colour: str) -> str:
@@ -87,6 +95,18 @@ ORACLE_SQL = {
         r AS (SELECT p_partkey, trim(unnest(parts)) AS value, generate_subscripts(parts, 1) AS i FROM s),
         v AS (SELECT p_partkey, value, min(i) AS first FROM r WHERE value <> '' GROUP BY p_partkey, value)
         SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY first) - 1 AS INTEGER) AS pos, value FROM v""",
+    "effective_settings": rf"""
+        WITH l AS ({LINES.format(orders="orders")}),
+        a AS (SELECT scope, rank, place, lower(regexp_extract(line, '^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$', 1)) AS name, regexp_extract(line, '^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$', 2) AS v FROM l),
+        g AS (SELECT scope, name, rank, CASE WHEN v[1] IN ('"', chr(39)) AND length(v) > 1 AND v[-1] = v[1] THEN v[2:-2] ELSE v END AS v FROM a QUALIFY row_number() OVER (PARTITION BY scope, name ORDER BY rank DESC, place DESC) = 1),
+        d(name, kind, v) AS (VALUES {", ".join(f"('{n}', '{k}', '{v}')" for n, (k, v) in settings.SETTINGS.items())}),
+        e AS (SELECT s.scope, d.name, d.kind, g.rank AS origin, coalesce(g.v, d.v) AS v FROM (SELECT DISTINCT scope FROM l) s CROSS JOIN d LEFT JOIN g ON g.scope = s.scope AND g.name = d.name),
+        n AS (SELECT *, try_cast(CASE WHEN regexp_matches(trim(v), '^[+-]?[0-9]+$') THEN trim(v) END AS BIGINT) AS num, CASE WHEN v[1] = '/' THEN v ELSE '/srv/engine/' || v END AS whole FROM e),
+        p AS (SELECT *, CASE WHEN kind = 'number' AND num IS NULL THEN 'no whole number' WHEN name IN ('engine_port', 'ui_port') AND num < 1 OR kind = 'number' AND num < 0 THEN 'too small' WHEN name IN ('engine_port', 'ui_port') AND num > 65535 THEN 'too large'
+                        WHEN name = 'log_level' AND upper(trim(v)) NOT IN ('DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL') OR name = 'torch_device' AND lower(trim(v)) NOT IN ('auto', 'cuda', 'cpu') THEN 'unknown word' END AS problem FROM n)
+        SELECT scope, name, origin, problem, CASE WHEN problem IS NOT NULL THEN NULL ELSE CASE kind WHEN 'number' THEN num::VARCHAR WHEN 'upper' THEN upper(trim(v)) WHEN 'lower' THEN lower(trim(v))
+               WHEN 'list' THEN array_to_string(list_filter(list_transform(string_split(v, ','), lambda x: trim(x)), lambda x: x <> ''), ',')
+               WHEN 'path' THEN list_reduce(list_prepend('', list_filter(string_split(whole, '/'), lambda x: x NOT IN ('', '.'))), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END) ELSE v END END AS value FROM p""",
     "served_chunks": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         c AS (SELECT doc_id, h, unnest(range(doc_id % 100, length(h) // 2, 65536)) AS "start" FROM d),

@@ -36,6 +36,9 @@ JOB_ACTIONS = """SELECT (event_id - event_id % 12) / 12 AS job_id, event_id AS s
     WHEN 2 THEN 'finish' WHEN 3 THEN 'cancel' WHEN 4 THEN 'fail' WHEN 5 THEN 'recover' WHEN 6 THEN 'task' ELSE 'report' END END AS action, value / 100 AS value FROM {events}"""
 UPLOAD_ACTIONS = """SELECT (event_id - event_id % 20) / 20 AS upload_id, event_id AS seq, CASE WHEN event_id % 20 >= 17 THEN 'finalize' WHEN event_id % 20 = 16 AND event_id % 9 = 0 THEN 'abort' ELSE 'chunk' END AS action,
     event_id % 20 * 10 - CASE WHEN event_id % 9 = 4 THEN 10 ELSE 0 END AS offset, 10 AS length, 160 AS declared FROM {events}"""
+# Pieces of 700 characters in requests: some are sent again, some never, and some uploads declare too little.
+CHUNKS = """SELECT doc_id, i * 2 AS seq, begun AS start, size, whole - CASE WHEN doc_id % 11 = 0 THEN 5 ELSE 0 END AS declared, piece FROM {pieces} WHERE (doc_id * 7 + i) % 23 <> 0
+    UNION ALL SELECT doc_id, i * 2 + 1, begun, size, whole, piece FROM {pieces} WHERE (doc_id + i) % 5 = 0"""
 PLANTED = """concat_ws(chr(10), CASE WHEN doc_id % 3 = 0 THEN 'Wave 1 - Solid Ground' || chr(10) || 'Wave 2 - Next Step' || chr(10) || 'Wave 3 - Last Mile' END,
     CASE WHEN doc_id % 5 = 0 THEN 'make verify-01 make verify-02 and make verify-02' END, CASE WHEN doc_id % 7 = 0 THEN 'docs/reports/prompt-01.md docs/reports/prompt-02.md' END,
     CASE WHEN doc_id % 4 = 0 THEN '2-3 weeks (Wave 1 total), 4 weeks for Prompt 2' END, CASE WHEN doc_id % 11 = 0 THEN 'id: "01", x name: "First of all" and ID = 02 then name="Second"' END,
@@ -176,6 +179,16 @@ def upload_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uploads.run_batch(_upload_actions(spark, sf_dir))
 
 
+def uploaded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and digest of what each text's upload holds, of pieces that came twice, never, or beyond the declared size."""
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("whole"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,700}"), F.lit(0))).alias("i", "piece"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    sized = cut.withColumn("size", F.octet_length("piece").cast("long"))
+    chunks = spark.sql(CHUNKS, pieces=sized.withColumn("begun", F.coalesce(F.sum("size").over(before), F.lit(0))))
+    bodies = uploads.received(chunks.select(F.col("doc_id").alias("upload_id"), F.col("seq").cast("long"), F.col("start").alias("offset"), F.col("piece").cast("binary").alias("body"), F.col("declared").cast("long")))
+    return uploads.stored_digests(bodies)
+
+
 def streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event of each user, from a stream of all events into a sink that may be replayed."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
@@ -200,7 +213,7 @@ def resume_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     title_matches, leak_verdict, leak_windows, text_windows, page_sections, folded_turns, plan_cells, plan_prompts, stored_files, clip_neighbours, plan_lookup, model_replies, prompt_metrics, token_bucket,
-    cached_tagging, cache_additions, job_state_machine, job_recovery, upload_fold, streamed_states, adopted_uploads, resume_offsets,
+    cached_tagging, cache_additions, job_state_machine, job_recovery, upload_fold, uploaded_texts, streamed_states, adopted_uploads, resume_offsets,
 )}
 
 _FLAT = "replace(lower(regexp_replace({0}, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')), 'ß', 'ss')"
@@ -309,6 +322,13 @@ ORACLE_SQL = {
                            WHEN q.start <> f.received THEN 'wrong_offset' WHEN q.start + q.length > q.declared THEN 'too_large' ELSE 'accepted' END AS outcome
                     FROM f JOIN q ON q.upload_id = f.upload_id AND q.i = f.i + 1))
         SELECT upload_id, seq, action, outcome, received, status FROM f WHERE i > 0""",
+    "uploaded_texts": f"""
+        WITH RECURSIVE c AS (SELECT doc_id, strlen(text) AS whole, unnest(regexp_extract_all(text, '(?s).{{1,700}}')) AS piece, unnest(range(len(regexp_extract_all(text, '(?s).{{1,700}}')))) AS i FROM documents),
+        pieces AS (SELECT *, strlen(piece) AS size, CAST(coalesce(sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begun FROM c),
+        q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM ({CHUNKS.format(pieces="pieces")})),
+        f AS (SELECT DISTINCT doc_id, 0::BIGINT AS n, 0::BIGINT AS received, false AS accepted FROM q
+              UNION ALL SELECT q.doc_id, q.n, CASE WHEN q.start = received AND q.start + size <= declared THEN q.start + size ELSE received END, q.start = received AND q.start + size <= declared FROM f JOIN q ON q.doc_id = f.doc_id AND q.n = f.n + 1)
+        SELECT doc_id AS upload_id, CAST(sum(size) AS BIGINT) AS bytes, sha256(string_agg(piece, '' ORDER BY start)) AS sha256 FROM f JOIN q USING (doc_id, n) WHERE accepted GROUP BY doc_id""",
     "clip_neighbours": """WITH t AS (SELECT user_id, event_id AS moment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame FROM events)
         SELECT event_id, (event_id % 90)::INT AS frame, coalesce(abs(moment - event_id)::DOUBLE, 1e308::DOUBLE) AS error FROM events e LEFT JOIN t ON t.user_id = e.user_id AND t.frame = event_id % 90""",
     "plan_lookup": """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE -1 END AS wave, CASE o_orderpriority WHEN '1-URGENT' THEN 'now' WHEN '2-HIGH' THEN 'soon' ELSE 'Unassigned' END AS title FROM orders""",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +55,47 @@ def run_batch(actions: DataFrame) -> DataFrame:
 
 def run_stream(actions: DataFrame) -> DataFrame:
     return stream_fold(actions.select("upload_id", "seq", "action", "offset", "length", "declared"), "upload_id", ["seq"], step, OUT, STATE)
+
+
+def received(chunks: DataFrame) -> DataFrame:
+    """(upload_id, offset, body) of the chunks (upload_id, seq, offset, body, declared) that count.
+
+    A body counts whole or not at all, by the rule of `step`: what a broken request still brought is its body. The rule is
+    decided on lengths, and bodies meet the decisions once. Chunks without an upload or a body are none.
+    """
+    known = chunks.where("upload_id IS NOT NULL AND seq IS NOT NULL AND body IS NOT NULL")
+    actions = known.select("upload_id", "seq", F.lit("chunk").alias("action"), "offset", F.octet_length("body").cast("long").alias("length"), "declared")
+    accepted = run_batch(actions).where("outcome = 'accepted'").select("upload_id", "seq")
+    return known.join(accepted, ["upload_id", "seq"], "left_semi").select("upload_id", "offset", "body")
+
+
+def stored_digests(bodies: DataFrame) -> DataFrame:
+    """(upload_id, bytes, sha256) of what each upload holds, from rows (upload_id, offset, body) that go on without a gap.
+
+    Bodies are sorted by offset and stream through the digest, so an upload may be larger than a task's memory. One without bytes
+    has no row, or the digest of nothing if an empty body came.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, digest = None, 0, None
+
+        def ended(rows: list[tuple]) -> pa.RecordBatch:
+            ids, sizes, hexes = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hexes, pa.string())], ["upload_id", "bytes", "sha256"])
+
+        for batch in batches:
+            done = []
+            for upload, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if upload != at:
+                    if digest:
+                        done.append((at, size, digest.hexdigest()))
+                    at, size, digest = upload, 0, hashlib.sha256()
+                view = body.as_buffer()
+                digest.update(view)
+                size += len(view)
+            yield ended(done)
+        if digest:
+            yield ended([(at, size, digest.hexdigest())])
+
+    ordered = bodies.repartition("upload_id").sortWithinPartitions("upload_id", "offset").select(F.col("upload_id").cast("long"), F.col("body").cast("binary"))
+    return ordered.mapInArrow(run, "upload_id long, bytes long, sha256 string")
