@@ -185,8 +185,7 @@ def uploaded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     sized = cut.withColumn("size", F.octet_length("piece").cast("long"))
     chunks = spark.sql(CHUNKS, pieces=sized.withColumn("begun", F.coalesce(F.sum("size").over(before), F.lit(0))))
-    bodies = uploads.received(chunks.select(F.col("doc_id").alias("upload_id"), F.col("seq").cast("long"), F.col("start").alias("offset"), F.col("piece").cast("binary").alias("body"), F.col("declared").cast("long")))
-    return uploads.stored_digests(bodies)
+    return uploads.stored_digests(chunks.select(F.col("doc_id").alias("upload_id"), F.col("seq").cast("long"), F.col("start").alias("offset"), F.col("piece").cast("binary").alias("body"), F.col("declared").cast("long")))
 
 
 def streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:

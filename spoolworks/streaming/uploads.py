@@ -57,27 +57,16 @@ def run_stream(actions: DataFrame) -> DataFrame:
     return stream_fold(actions.select("upload_id", "seq", "action", "offset", "length", "declared"), "upload_id", ["seq"], step, OUT, STATE)
 
 
-def received(chunks: DataFrame) -> DataFrame:
-    """(upload_id, offset, body) of the chunks (upload_id, seq, offset, body, declared) that count.
+def stored_digests(chunks: DataFrame) -> DataFrame:
+    """(upload_id, bytes, sha256) of what each upload holds after its chunks (upload_id, seq, offset, body, declared).
 
-    A body counts whole or not at all, by the rule of `step`: what a broken request still brought is its body. The rule is
-    decided on lengths, and bodies meet the decisions once. Chunks without an upload or a body are none.
-    """
-    known = chunks.where("upload_id IS NOT NULL AND seq IS NOT NULL AND body IS NOT NULL")
-    actions = known.select("upload_id", "seq", F.lit("chunk").alias("action"), "offset", F.octet_length("body").cast("long").alias("length"), "declared")
-    accepted = run_batch(actions).where("outcome = 'accepted'").select("upload_id", "seq")
-    return known.join(accepted, ["upload_id", "seq"], "left_semi").select("upload_id", "offset", "body")
-
-
-def stored_digests(bodies: DataFrame) -> DataFrame:
-    """(upload_id, bytes, sha256) of what each upload holds, from rows (upload_id, offset, body) that go on without a gap.
-
-    Bodies are sorted by offset and stream through the digest, so an upload may be larger than a task's memory. One without bytes
-    has no row, or the digest of nothing if an empty body came.
+    A body counts whole or not at all, by the rule of `step`: what a broken request still brought is its body. Those that count go
+    on without a gap in the order of seq, so bodies are shuffled once and stream past the offset and the digest, and an upload may be larger
+    than a task's memory. Chunks without an upload, a place or a body are none; an upload none of whose chunks count has no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, size, digest = None, 0, None
+        at, state, digest = None, None, None
 
         def ended(rows: list[tuple]) -> pa.RecordBatch:
             ids, sizes, hexes = zip(*rows, strict=True) if rows else ((), (), ())
@@ -85,17 +74,21 @@ def stored_digests(bodies: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for upload, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for upload, seq, offset, body, declared in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3), batch.column(4).to_pylist(), strict=True):
                 if upload != at:
                     if digest:
-                        done.append((at, size, digest.hexdigest()))
-                    at, size, digest = upload, 0, hashlib.sha256()
+                        done.append((at, state["received"], digest.hexdigest()))
+                    at, state, digest = upload, None, None
                 view = body.as_buffer()
-                digest.update(view)
-                size += len(view)
+                state, answer = step(state, {"upload_id": upload, "seq": seq, "action": "chunk", "offset": offset, "length": len(view), "declared": declared})
+                if answer["outcome"] == "accepted":
+                    digest = digest or hashlib.sha256()
+                    digest.update(view)
             yield ended(done)
         if digest:
-            yield ended([(at, size, digest.hexdigest())])
+            yield ended([(at, state["received"], digest.hexdigest())])
 
-    ordered = bodies.repartition("upload_id").sortWithinPartitions("upload_id", "offset").select(F.col("upload_id").cast("long"), F.col("body").cast("binary"))
-    return ordered.mapInArrow(run, "upload_id long, bytes long, sha256 string")
+    known = chunks.where("upload_id IS NOT NULL AND seq IS NOT NULL AND offset IS NOT NULL AND body IS NOT NULL AND declared IS NOT NULL")
+    longs = [F.col(c).cast("long").alias(c) for c in ("upload_id", "seq", "offset")]
+    ordered = known.select(*longs, F.col("body").cast("binary").alias("body"), F.col("declared").cast("long").alias("declared"))
+    return ordered.repartition("upload_id").sortWithinPartitions("upload_id", "seq").mapInArrow(run, "upload_id long, bytes long, sha256 string")
