@@ -24,12 +24,19 @@ def test_stages_keep_columns_and_take_anything(spark, sf):
         assert corpus_pipeline.STAGES[-1][1](spark, frame, sf).count() == frame.count()
 
 
-def test_null_and_repeated_ids_are_decided_row_by_row(spark, sf):
+@pytest.mark.parametrize("files", [0, 3])
+def test_null_and_repeated_ids_are_decided_row_by_row(spark, sf, tmp_path, files):
+    """Rows of no file, and of several: equal rows lie in one file and in different ones."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, n int"
     item = spark.read.parquet(f"{sf}/benchmark.parquet").where("text IS NOT NULL").first().text
     twin, other = "one plain text of seven small words", "quite another text that has no twin here"
     rows = [(None, twin), (None, twin), (5, twin), (5, twin), (7, twin), (7, other), (None, "a null id with its own text"), (None, None), (None, item), (9, item), (9, "nine again without any item inside")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1, n) for n, (i, t) in enumerate(rows)], schema)
+    if files:
+        for part in range(files):
+            docs.where(f"n % {files} = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        assert len(docs.inputFiles()) == files
     near = {r.n for r in stage("near_dedup")(spark, docs, sf).collect()}
     assert len(near & {2, 3}) == 1 and near - {2, 3} == {5, 6, 7, 9, 10}
     clean = sorted(r.n for r in stage("decontamination")(spark, docs, sf).collect())
