@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 Handler = Callable[[DataFrame], DataFrame]
+# Fixed value: the cause of a job that nobody handles.
 UNSUPPORTED = "this job type is not supported by the engine"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.spoolworks.shared.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spoolworks-')}"
         spark.conf.set("spark.spoolworks.shared.dir", where)

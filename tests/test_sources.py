@@ -95,12 +95,13 @@ def test_written_tables_go_and_a_cluster_needs_a_shared_folder(spark, tmp_path):
     assert kept.count() == 5 and not os.path.exists(where) and set(scratch.paths) == {"kept"}
 
     class Elsewhere:
-        master = "spark://host:7077"
         getConf = staticmethod(lambda: {})
 
     session = SimpleNamespace(sparkContext=Elsewhere, conf=SimpleNamespace(get=lambda *_: None))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        tables.shared_dir(session)
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]"):
+        Elsewhere.master = master
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            tables.shared_dir(session)
 
 
 def test_windows_cover_and_overlap(spark):
