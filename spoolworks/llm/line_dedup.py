@@ -131,8 +131,9 @@ def drop_repeated_lines(docs: DataFrame, shortest: int = SHORTEST, id_col: str =
 
     A line's key is the line without white space at both ends, A-Z lower-cased. Keys of at least `shortest` code points
     found in two documents or more lose all their lines except in the smallest id that holds them; a document keeps
-    its own repeats. A null or empty text is one empty line. Rows that repeat an id are one document. Rows with a null
-    id are no document: they keep all lines and take none from others. Other columns are left behind.
+    its own repeats. A null or empty text is one empty line. Rows that repeat an id are one document: what it loses is
+    one set of 16 bytes a key, and each of its rows gets that set. Rows with a null id are no document: they keep all
+    lines and take none from others. Other columns are left behind.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession)

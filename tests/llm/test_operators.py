@@ -394,6 +394,12 @@ def test_line_dedup_corner_cases(odd, none):
     assert of[8].text.startswith("ß é 中文")
 
 
+def test_lines_of_an_id_that_repeats_often(spark):
+    docs = [(1, "the shared line\nfirst of its own")] + [(2, f"The Shared Line \nonly in row {n:05}\nin all of its rows") for n in range(3000)]
+    found = line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in found) == [(1, 2, 0, docs[0][1])] + [(2, 3, 1, t.split("\n", 1)[1]) for _, t in docs[1:]]
+
+
 def test_only_hot_shards_are_salted(spark):
     hashes = spark.createDataFrame([(8, i, i) for i in range(600)] + [(i, 0, i) for i in range(1200)], "hi long, lo long, doc_id long")
     assert {(r.shard, r.salts) for r in line_dedup.salted(hashes, 64, 12).collect()} == {(8, 5)}
