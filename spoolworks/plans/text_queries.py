@@ -104,7 +104,8 @@ def clip_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     asked = events.select("user_id", "event_id", (F.col("event_id") % 90).cast("int").alias("frame"))
     # Only positions that can be asked for are kept of a user, so a busy one is cut short before the shuffle.
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    # Events without an id come last, as in the SQL, so they move no other event's position.
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.asc_nulls_last("event_id")))
     times = events.select("user_id", F.col("event_id").alias("moment"), place.alias("place")).where("place <= 90").select("user_id", "moment", (F.col("place") - 1).alias("frame"))
     return asked.join(times, ["user_id", "frame"], "left").select("event_id", "frame", F.coalesce(F.abs(F.col("moment") - F.col("event_id")).cast("double"), F.lit(1e308)).alias("error"))
 

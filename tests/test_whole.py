@@ -2,8 +2,10 @@
 
 import collections
 
+import duckdb
+
 from spoolworks.operators import lookups, sequences
-from spoolworks.plans.registry import QUERIES
+from spoolworks.plans.registry import ORACLE_SQL, QUERIES
 from spoolworks.sources import files
 
 
@@ -46,6 +48,16 @@ def test_clip_neighbours_answers_all_events(spark, sf):
     assert {r.event_id: (r.frame, r.error) for r in QUERIES["clip_neighbours"](spark, sf).collect()} == want
 
 
+def test_clip_neighbours_of_missing_repeated_and_many_ids(spark, tmp_path):
+    ids = [(u, i * 7 + u) for u in range(5) for i in range(60 * u)]  # users 2 to 4 have ids beyond the 90 positions that are asked for
+    ids += [(u, None) for u in range(6) for _ in range(40 * u)] + [(None, 3), (None, None), (7, -5), *[(8, 10)] * 3]
+    spark.createDataFrame(ids, "user_id long, event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["clip_neighbours"]).fetchall()
+    assert len(want) == len(ids) and collections.Counter(map(tuple, QUERIES["clip_neighbours"](spark, str(tmp_path)).collect())) == collections.Counter(want)
+
+
 def test_scoped_scenes_numbers_every_clip(spark, sf):
     lines = collections.Counter(r.l_orderkey for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").collect())
     places = collections.defaultdict(list)
